@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MULT = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _TABLES: dict = {}
 _POWERS: dict = {}
@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _table(seed: int, fold: bool) -> np.ndarray:
     if (seed, fold) not in _TABLES:
         t = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 7919 + 1))
-        t[_SPACE] = 0
+        t[SPACE] = 0
         if fold:
             t[65:91] = t[97:123]
         _TABLES[seed, fold] = t
@@ -71,7 +71,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Start and end byte of every word, and the n + 1 word offsets of the rows."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -45,12 +45,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flatgraph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(table(spark, sf_dir, "documents"), shards=40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbsvm import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=5, rest=0, threshold=0.3)
+
+
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf import score_toxicity
+
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, rest=2, threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import copies
 
@@ -59,7 +78,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz_backoff, op2_anchor_dedup, op3_decontaminate, op4_line_spread, op5_simhash, op7_minimax_shards, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_anchor_dedup, op3_decontaminate, op4_line_spread, op5_simhash, op6_flat_graph, op7_minimax_shards, op8_nbsvm_quality, op9_crf_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,7 +32,7 @@ from . import words as W
 from .labelled import held_out, logistic, probability, sample
 
 U64 = np.uint64
-SAMPLE = 8192
+SAMPLE = 6144
 BITS = 16
 SLICE_BYTES = 4 << 20
 EPOCHS, RATE, RIDGE = 4, 0.5, 1e-6
@@ -66,7 +66,7 @@ def features(units: np.ndarray, at: np.ndarray) -> np.ndarray:
     after[at[1:][at[:-1] < at[1:]] - 1] = 0
     top = U64(64 - BITS)
     kinds = [*units.T, W.mix(before + U64(11)), W.mix(after + U64(23))]
-    return np.stack([(x >> top) + U64(k << BITS) for k, x in enumerate(kinds)], axis=1).astype(np.int64)
+    return np.stack([(x >> top) + U64(k << BITS) for k, x in enumerate(kinds)], axis=1).astype(np.int32)
 
 
 def _grouped(lens: np.ndarray):

@@ -58,22 +58,30 @@ def draw(seed: int, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+_ADDED = ("size", "source_size", "target", "copies")
+
+
+def _rated(docs: DataFrame, share: float, most: float, weights: tuple, seed: int) -> DataFrame:
+    """docs with the columns mix_size, mix_source_size, mix_target and mix_copies."""
+    rows = docs.withColumn("mix_size", n_words(F.col("text").cast("string")))
+    targets = source_targets(rows.select("source", F.col("mix_size").alias("size")), share, most, weights).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    both = rows.join(targets, rows["source"].eqNullSafe(targets["mix_source"])).drop("mix_source")
+    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    return both.withColumn("mix_copies", (F.floor(rate) + (draw(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")).cast("long"))
+
+
 def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
     """docs with size, source_size, target and copies (long): how often the mix takes each row.
 
     The sources' table is broadcast if Spark sees that it is small, else joined by shuffle with large
-    keys split.  Equal rows get equal draws.  Columns of docs with these names are replaced.
+    keys split.  Equal doc_ids get equal draws.  Columns of docs with these names are replaced.
     """
-    rows = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text").cast("string")))
-    targets = source_targets(rows.select("source", "size"), share, most, weights).withColumnRenamed("source", "of_source")
-    both = rows.join(targets, rows.source.eqNullSafe(F.col("of_source"))).drop("of_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    return both.withColumn("copies", (whole + (draw(seed, F.col("doc_id")) < rate - whole).cast("long")).cast("long"))
+    rated = _rated(docs, share, most, weights, seed)
+    return rated.drop(*_ADDED).withColumnsRenamed({f"mix_{c}": c for c in _ADDED})
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs."""
-    rows = copies(docs, **how)
-    times = F.when(F.col("copies") > 0, F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(times).alias("again_")).drop("again_")
+    rated = _rated(docs, share, most, weights, seed)
+    times = F.when(F.col("mix_copies") > 0, F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
+    return rated.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(times).alias("mix_again")).drop("mix_again")

@@ -204,17 +204,78 @@ def link_fingerprints(distinct: DataFrame, most: int = 4, groups: int = 7, agree
     return dealt.repartition(n, "grid", "cell").sortWithinPartitions("grid", "cell", "fp").mapInArrow(_links(most), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4) -> DataFrame:
+def _shingle_sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for piece in W.slices(batch, "text", SLICE_BYTES):
+                data, offsets = W.text_bytes(piece.column("text"))
+                starts, ends, at = W.word_spans(data, offsets)
+                h = W.word_hashes(data, starts, ends, fold=True)
+                sets = []
+                for i, j in zip(at[:-1], at[1:], strict=True):
+                    n = j - i
+                    sets.append(W.pack_sorted(np.unique(W.window_hashes(h[i:j], min(k, n)) if n else h[i:j])))
+                yield pa.RecordBatch.from_arrays([piece.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                a, b = W.unpack_sorted(a), W.unpack_sorted(b)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verify(links: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, sure: int) -> DataFrame:
+    """The links of at most ``sure`` bits, and those others whose texts' sets of k-word shingles have at least that Jaccard similarity.
+
+    own: (doc_id, fp) of docs.  A fingerprint's text is that of its smallest doc_id.  Only texts in doubt are read again.
+    """
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    doubtful = links.where(apart > sure)
+    nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select(F.col("b").alias("fp"))).distinct()
+    wanted = own.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
+    sets = texts.select("fp", "text").mapInArrow(_shingle_sets(k), "fp long, shingles binary").dropDuplicates(["fp"])
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return links.where(apart <= sure).unionByName(doubtful.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, groups: int = 7, agree: int = 3, similarity: float | None = None, sure: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links of ``most`` bits or fewer reach.
 
+    With ``similarity``, links of more than ``sure`` bits also need that Jaccard similarity of their shingles.
     One row per input row; equal fingerprints are one node.  Rows whose doc_id is null take part and
     get the component's smallest id that isn't null, or null if there is none.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     own = ws.save(fingerprints(docs, k), "fingerprints")
     distinct = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = ws.save(link_fingerprints(distinct.select("fp"), most), "links")
+    links = ws.save(link_fingerprints(distinct.select("fp"), most, groups, agree).distinct(), "links")
+    if similarity is not None:
+        links = ws.save(verify(links, docs, own, k, similarity, sure), "verified")
     roots = components(links, ws)
     known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, most: int = 8, groups: int = 11, agree: int = 3, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id, once if it is repeated.
+
+    All columns stay.  Rows whose doc_id is null have no place in that order and stay.
+    """
+    ws = Workspace(docs.sparkSession, "one-of-each")
+    found = near_duplicates(docs.select("doc_id", "text"), k, most, groups, agree, similarity).where(F.col("doc_id") == F.col("component_id"))
+    kept = ws.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_many")).select(F.col("doc_id").alias("kept_id"), "kept_many"), "kept")
+    both = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept["kept_id"])
+    once = both.where("kept_many = 1").select(*docs.columns)
+    again = both.where("kept_many > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -70,6 +70,8 @@ def fallback(language: str) -> Extractor:
     return Extractor(language, lambda src: Extraction(tokens=tokenize(src, DEFAULT)), 0)
 
 
+#: Words that never are a declaration's type.
+NOT_TYPES = frozenset("return throw new else case goto import package using delete typeof await yield in is as if while for switch do try catch extends implements".split())
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -112,7 +114,7 @@ def relabel(tokens: list[Token], keywords: frozenset, ignore_case: bool = False)
 class Decl:
     """A declaration: ``head`` is a pattern of words; NAME is the declared name, NAME? an optional one.
 
-    Words are compared with token texts; ``*`` skips to the next part within the statement;
+    Words are compared with token texts; TYPE is any identifier that can name a type; ``*`` skips to the next part within the statement;
     ``(...)`` is a bracket group, ``<...>`` an optional angle group.
     reach: brace, statement, indent, block, line, file, group (brackets after the name), token.
     inside: the kinds of the innermost enclosing declaration that the rule needs, if any.
@@ -170,9 +172,10 @@ class Scanner:
                 first = self._first(i)
                 name = code[name_at].text if name_at is not None else (d.lang_kind or d.kind)
                 out.append((first, last, symbol(self._clean(name), kind, d.lang_kind, code[first], code[last])))
-                if last > i and d.reach not in ("statement", "line", "token", "group"):
+                if last > i and (d.reach not in ("statement", "line", "token", "group") or body is not None and kind == "type"):
                     open_.append((last, kind if d.lang_kind != "impl" else "type"))
-                    i = max(i, (body if body is not None else name_at if name_at is not None else i))
+                    at = body if body is not None else name_at if name_at is not None else i
+                    i = max(i, at if at < len(code) and code[at].text == "{" else at - 1)
                 elif name_at is not None:
                     i = max(i, name_at)
             i += 1
@@ -230,7 +233,7 @@ class Scanner:
             k += 1
             if w == "*":
                 want = words[k][0]
-                while i < len(code) and not self._is(i, want) and code[i].text not in (";", "{", "}"):
+                while i < len(code) and not self._is(i, want) and code[i].text not in (";", "{", "}") and not (self.lang.starts == "line" and code[i].start_line > code[i - 1].end_line):
                     i = self.close.get(i, i) + 1
                 continue
             if w == "<...>":
@@ -248,19 +251,22 @@ class Scanner:
                 i = self.close[i] + 1 if w == "(...)" else i + 1
             elif not optional:
                 return None
-        return name_at, i
+        # a rule that ends in a brace or semicolon only looks at it
+        return name_at, i - 1 if i and code[i - 1].text in ("{", ";") else i
 
     def _is(self, i: int, w: str) -> bool:
         t = self.code[i]
         if w == "NAME":
             return t.cls in ("identifier", "keyword") and self.fold(t.text) not in self.lang.keywords
-        if w == "UPPER":
-            return t.cls == "identifier" and t.text.isupper()
+        if w == "TYPE":
+            return t.cls == "identifier" and self.fold(t.text) not in NOT_TYPES
         if w == "TEXT":
             return t.cls == "literal"
         if w == "(...)":
             return t.text == "(" and i in self.close
-        return any(self.fold(t.text) == x for x in w.split("|"))
+        if len(w) > 1 and "|" in w:
+            return any(self._is(i, x) for x in w.split("|"))
+        return self.fold(t.text) == w
 
     def _call(self, i: int, inside: str | None):
         """NAME (...) followed, within the signature, by a brace block."""
@@ -295,7 +301,7 @@ class Scanner:
                     return j, end
                 if t == ";":
                     return None, j
-                if t == "}" or (t == "," and d.inside):
+                if t == "}" or (t == "," and d.inside) or (self.lang.starts == "line" and j > after and code[j].start_line > code[j - 1].end_line):
                     return None, max(i, j - 1)
                 j = self.close.get(j, j) + 1
             return None, n - 1

@@ -40,6 +40,7 @@ KEYWORDS = {
 }
 KEYWORDS["typescript"] = KEYWORDS["javascript"]
 _TYPES = ("type",)
+_OUTER = (None, "module")
 _ACCESS = _w("public private protected internal static final abstract sealed virtual override async export default declare readonly unsafe extern partial inline native synchronized transient volatile strictfp new pub const implicit lazy open case")
 _FLOW = _w("if for while switch catch return else do try using lock foreach fixed synchronized match when with function constructor sizeof typeof await throw new case")
 
@@ -51,17 +52,17 @@ def _types(words: str, tail: str = "", **how) -> tuple[Decl, ...]:
 LANGUAGES = (
     Language("csharp", (
         Decl("namespace NAME * {|;", "module", "namespace"), *_types("class struct interface record enum"), Decl("delegate * (...)", "type", "delegate", "statement"),
-        Decl("event * NAME ;|{", "variable", "event", "statement", _TYPES), Decl("const NAME NAME", "constant", "const", "statement", _TYPES),
-        Decl("NAME|int|string|bool|double|object|var|long NAME {", "variable", "property", "group", _TYPES), Decl("NAME|int|string|bool|double|object|long NAME ;|=", "variable", "field", "statement", _TYPES),
+        Decl("event * NAME ;|{", "variable", "event", "statement", _TYPES), Decl("const TYPE NAME", "constant", "const", "statement", _TYPES),
+        Decl("TYPE <...> NAME {", "variable", "property", "group", _TYPES), Decl("TYPE <...> NAME ;|=", "variable", "field", "statement", _TYPES),
     ), KEYWORDS["csharp"], ("cs", "csx"), DIALECTS["csharp"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW),
     Language("javascript", (
         Decl("function *? NAME (...)", "function", "function"), Decl("class NAME", "type", "class"),
-        Decl("const|let|var NAME = async? function", "function", "fn_expr", "statement"), Decl("const|let|var NAME = async? (...) = >", "function", "arrow_fn", "statement"), Decl("const|let|var NAME = async? NAME = >", "function", "arrow_fn", "statement"),
+        Decl("const|let|var NAME = async? function", "function", "fn_expr", "statement"), Decl("const|let|var NAME = async? (...) = >", "function", "arrow_fn", "statement"), Decl("const|let|var NAME = async? TYPE = >", "function", "arrow_fn", "statement"),
         Decl("get NAME (...) {", "method", "get", "group", _TYPES), Decl("set NAME (...) {", "method", "set", "group", _TYPES), Decl("constructor (...)", "method", "constructor", "brace", _TYPES),
     ), KEYWORDS["javascript"], ("js", "mjs", "cjs", "jsx"), DIALECTS["javascript"], modifiers=_w("export default async static"), call_is_function=True, not_names=_FLOW),
     Language("java", (
         Decl("package NAME", "module", "package", "file"), Decl("@ interface NAME", "type", "annotation"), *_types("class interface enum record"),
-        Decl("static final * NAME =", "constant", "constant", "statement", _TYPES), Decl("NAME|int|long|boolean|double|float|char|byte|short <...> NAME ;|=", "variable", "field", "statement", _TYPES), Decl("NAME|int|long|boolean|double|float|void <...> NAME (...) ;", "method", "method", "statement", _TYPES),
+        Decl("static final * NAME =", "constant", "constant", "statement", _TYPES), Decl("TYPE <...> NAME ;|=", "variable", "field", "statement", _TYPES), Decl("TYPE <...> NAME (...) ;", "method", "method", "statement", _TYPES),
     ), KEYWORDS["java"], ("java",), DIALECTS["java"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW),
     Language("shell", (
         Decl("function NAME", "function", "function"), Decl("NAME ( ) {", "function", "function"), Decl("export NAME", "variable", "export", "line"), Decl("readonly NAME", "constant", "readonly", "line"),
@@ -72,7 +73,7 @@ LANGUAGES = (
     ), KEYWORDS["r"], ("r", "rmd", "qmd"), DIALECTS["r"], starts="anywhere"),
     Language("fsharp", (
         Decl("namespace NAME", "module", "namespace", "file"), Decl("module NAME =", "module", "module", "indent"), Decl("module NAME", "module", "module", "file"), Decl("type NAME", "type", "type", "indent"), Decl("exception NAME", "type", "exception", "indent"),
-        Decl("static? member val NAME", "variable", "member val", "indent"), Decl("static member NAME", "method", "static member", "indent"), Decl("member NAME . NAME", "method", "member", "indent"), Decl("member NAME", "method", "member", "indent"), Decl("override NAME . NAME", "method", "override", "indent"), Decl("default NAME . NAME", "method", "default", "indent"), Decl("abstract NAME", "method", "abstract", "indent"),
+        Decl("static? member val NAME", "variable", "member val", "indent"), Decl("static member NAME", "method", "static member", "indent"), Decl("member TYPE . NAME", "method", "member", "indent"), Decl("member NAME", "method", "member", "indent"), Decl("override TYPE . NAME", "method", "override", "indent"), Decl("default TYPE . NAME", "method", "default", "indent"), Decl("abstract NAME", "method", "abstract", "indent"),
         Decl("val mutable? NAME", "variable", "val", "indent"), Decl("let rec? inline? NAME =|:", "variable", "let", "indent"), Decl("let mutable NAME", "variable", "let", "indent"), Decl("let rec? inline? NAME", "function", "let", "indent", method=True),
     ), KEYWORDS["fsharp"] - _w("val new"), ("fs", "fsi", "fsx"), DIALECTS["fsharp"], starts="line", modifiers=_w("private public internal")),
     Language("elixir", (
@@ -85,7 +86,7 @@ LANGUAGES = (
     ), KEYWORDS["gdscript"], ("gd",), DIALECTS["gdscript"], starts="line"),
     Language("c", (
         Decl("# define NAME", "other", "macro", "line"), *(Decl(f"typedef * {w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")), *(Decl(f"{w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")),
-        Decl("typedef * NAME ;", "type", "typedef", "statement"), Decl("const|constexpr * NAME =", "constant", "const", "statement"), Decl("static? int|char|long|double|float|short|unsigned|NAME NAME =|;", "variable", "variable", "statement"),
+        Decl("typedef TYPE NAME ;", "type", "typedef", "statement", _OUTER), Decl("const|constexpr TYPE NAME =", "constant", "const", "statement", _OUTER), Decl("TYPE NAME =|;", "variable", "variable", "statement", _OUTER),
     ), KEYWORDS["c"], ("c", "h"), DIALECTS["c"], modifiers=_w("static inline extern unsigned signed const"), call_is_function=True, not_names=_FLOW),
     Language("scala", (
         Decl("package NAME * {", "module", "package"), Decl("package NAME", "module", "package", "file"), Decl("case object NAME", "module", "case object"), Decl("object NAME", "module", "object"), Decl("case class NAME", "type", "case class"), *_types("class trait enum"),
@@ -99,11 +100,11 @@ LANGUAGES = (
 _BY_NAME = {x.name: x for x in LANGUAGES}
 _TS = replace(
     _BY_NAME["javascript"], name="typescript", extensions=("ts", "tsx", "mts", "cts"), modifiers=_w("export default async static declare public private protected readonly override const"),
-    decls=(Decl("abstract class NAME", "type", "abstract_class"), *_BY_NAME["javascript"].decls, Decl("interface NAME", "type", "interface"), Decl("type NAME <...> =", "type", "type", "statement"), Decl("enum NAME {", "type", "enum"), Decl("namespace NAME * {", "module", "namespace"), Decl("module NAME|TEXT {", "module", "module"), Decl("NAME (...) :|; ", "method", "method", "statement", _TYPES), Decl("NAME : NAME", "variable", "field", "statement", _TYPES)),
+    decls=(Decl("abstract class NAME", "type", "abstract_class"), *_BY_NAME["javascript"].decls, Decl("interface NAME", "type", "interface"), Decl("type NAME <...> =", "type", "type", "statement"), Decl("enum NAME {", "type", "enum"), Decl("namespace NAME * {", "module", "namespace"), Decl("module NAME|TEXT {", "module", "module"), Decl("NAME (...) :|;", "method", "method", "statement", _TYPES), Decl("NAME : TYPE", "variable", "field", "statement", _TYPES)),
 )
 _CPP = replace(
     _BY_NAME["c"], name="cpp", extensions=("cpp", "cc", "cxx", "hpp", "hh", "hxx", "ipp"), keywords=KEYWORDS["cpp"],
-    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("~ NAME (...)", "method", "destructor", "brace", _TYPES), Decl("NAME|int|bool|void|double|auto NAME (...) ;|const|override", "method", "method", "brace", _TYPES), Decl("NAME|int|bool|double|float|char|long NAME ;|=|{", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
+    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("~ NAME (...)", "method", "destructor", "brace", _TYPES), Decl("TYPE NAME (...) ;|const|override|{", "method", "method", "brace", _TYPES), Decl("TYPE NAME ;|=|{", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
 )
 
 

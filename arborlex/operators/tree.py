@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import FILE_KEY, Graph
 
-#: Pre-order inside and across files.
-PRE_ORDER = (F.col("org"), F.col("repo").asc_nulls_first(), F.col("path").asc_nulls_first(), F.coalesce("start", F.lit(-1)), F.when(F.col("kind") == "token", 1).otherwise(0), F.desc("end"), F.col("seq"), F.col("key"))
+
+def pre_order() -> tuple:
+    """Pre-order inside and across files."""
+    return (F.col("org"), F.col("repo").asc_nulls_first(), F.col("path").asc_nulls_first(), F.coalesce("start", F.lit(-1)), F.when(F.col("kind") == "token", 1).otherwise(0), F.desc("end"), F.col("seq"), F.col("key"))
 
 
 def node(nodes: DataFrame, key: str) -> DataFrame:
@@ -59,7 +61,7 @@ def descendants(nodes: DataFrame, key: str, offset: int = 0, limit: int | None =
         .otherwise(False)
     )
     found = nodes.join(F.broadcast(top), same("org")).where(below).select(*nodes.columns)
-    return page(found.orderBy(*PRE_ORDER), offset, limit)
+    return page(found.orderBy(*pre_order()), offset, limit)
 
 
 def ancestors(g: Graph, kind: str, org: str, repo: str | None = None, path: str | None = None, index: int | None = None) -> DataFrame:

@@ -271,10 +271,10 @@ class Store:
 
     def export(self, path: str) -> None:
         """One JSON object per node, in pre-order, as text files."""
-        from ..operators.tree import PRE_ORDER
+        from ..operators.tree import pre_order
         from ..plans.graph import nodes
 
-        nodes(self.graph()).orderBy(*PRE_ORDER).select(F.to_json(F.struct("key", "parent", "kind", "name", "start", "end")).alias("value")).write.text(path)
+        nodes(self.graph()).orderBy(*pre_order()).select(F.to_json(F.struct("key", "parent", "kind", "name", "start", "end")).alias("value")).write.text(path)
 
     def export_snapshot(self, root: str) -> Store:
         """A copy of the live rows as a store of its own."""

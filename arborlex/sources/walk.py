@@ -128,6 +128,17 @@ def encoding_of(path: str, rules: list[tuple[re.Pattern, str]]) -> str | None:
     return None if label == "auto" else label
 
 
+def _open(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        contents = []
+        for name in batch.column("full").to_pylist():
+            with open(name.removeprefix("file:"), "rb") as f:
+                contents.append(f.read())
+        yield pa.RecordBatch.from_arrays([batch.column("full"), pa.array(contents, pa.binary())], names=["full", "content"])
+
+
 def directory(spark: SparkSession, root: str, org: str, repo: str) -> tuple[DataFrame, DataFrame]:
     """(files to index, skipped files with reasons) of a folder that the executors can read too."""
     found = list(walk(root))
@@ -142,7 +153,12 @@ def directory(spark: SparkSession, root: str, org: str, repo: str) -> tuple[Data
     if not wanted:
         return spark.createDataFrame([], schema), skipped
     listed = spark.createDataFrame(wanted, "rel string, full string, encoding string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "file:/").alias("full"), "content")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # Spark's listing leaves out names that start with a dot or an underscore; the executors open those themselves
+    hidden = [(full,) for rel, full, _ in wanted if any(part[0] in "._" for part in rel.split("/"))]
+    raw = raw.select(F.regexp_replace("path", "^file:/+", "file:/").alias("full"), "content")
+    if hidden:
+        raw = raw.unionByName(spark.createDataFrame(hidden, "full string").mapInArrow(_open, "full string, content binary")).dropDuplicates(["full"])
     files = raw.join(F.broadcast(listed), "full") if len(wanted) < 100_000 else raw.join(listed, "full")
     return files.select(F.lit(org).alias("org"), F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content", F.lit("directory").alias("origin"), "encoding"), skipped
 

@@ -177,6 +177,7 @@ def _train(batches):
     rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["y"] != 0 for r in rows], np.int64)
     texts = [W.unpack(r["x"]).reshape(-1, len(UNITS)) for r in rows]
+    rows.clear()
     check = np.arange(len(y)) % 4 == 3
 
     def flat(keep):

@@ -36,7 +36,7 @@ _LOWER[65:91] += 32
 _ONES = U64(0x0101010101010101)
 _EVEN = 0x5555555555555555
 SLICE_BYTES = 4 << 20
-FEW = 8  # up to so many members, a cell's links are found by comparing neighbours at each distance
+FEW = 512  # up to so many members, all cells' members are compared together, array by array
 MANY = 4096  # beyond, a cell is first dealt again by exact blocks of bits
 
 
@@ -155,20 +155,50 @@ def _grow(fp: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _span(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a, b) between n nodes to keep, so that they join the same nodes without most of the rest.
+
+    In each round every component takes its first link to another one.
+    """
+    label, kept = np.arange(n), []
+    while True:
+        x, y = label[a], label[b]
+        across = np.flatnonzero(x != y)
+        if not len(across):
+            return np.unique(np.concatenate([np.zeros(0, np.int64), *kept]))
+        first = np.full(n, len(a))
+        np.minimum.at(first, x[across], across)
+        np.minimum.at(first, y[across], across)
+        took = np.unique(first[first < len(a)])
+        kept.append(took)
+        while True:
+            low = np.minimum(label[a[took]], label[b[took]])
+            if (label[a[took]] == low).all() and (label[b[took]] == low).all():
+                break
+            for end in (a[took], b[took]):
+                np.minimum.at(label, label[end], low)
+                np.minimum.at(label, end, low)
+            label = label[label]
+
+
 def _links(most: int):
-    """Over batches sorted by (grid, cell, fp): links within cells."""
+    """Over batches sorted by (grid, cell, fp): links that span each cell's components."""
 
     def within(grid, cell, fp):
         new = np.r_[True, (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1])]
         first = np.flatnonzero(new)
         size = np.diff(np.r_[first, len(fp)])
-        small = np.repeat(size <= FEW, size)
-        group, wide, out = np.cumsum(new) - 1, unary(fp), []
-        for d in range(1, FEW):
-            i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(fp) > d else np.zeros(0, np.int64)
-            i = i[np.bitwise_count(wide[i] ^ wide[i + d]) <= most]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
-            out.append((fp[i], fp[i + d]))
+        behind = np.repeat(first + size, size) - np.arange(len(fp)) - 1  # members after this one
+        wide, found = unary(fp), []
+        i, d = np.flatnonzero(np.repeat(size <= FEW, size)), 1
+        while len(i := i[behind[i] >= d]):
+            near = i[np.bitwise_count(wide[i] ^ wide[i + d]) <= most]
+            near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= most]
+            found.append((near, near + d))
+            d += 1
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+        keep = _span(a, b, len(fp))
+        out = [(fp[a[keep]], fp[b[keep]])]
         for f, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
             out += _forest(fp[f : f + n], most)
         a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))

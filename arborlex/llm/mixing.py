@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from .workspace import fresh
+
 WEIGHTS = (3, 1, 2)  # by the sources' code-point order, repeating
 
 
@@ -61,13 +63,15 @@ def draw(seed: int, doc_id: Column) -> Column:
 _ADDED = ("size", "source_size", "target", "copies")
 
 
-def _rated(docs: DataFrame, share: float, most: float, weights: tuple, seed: int) -> DataFrame:
-    """docs with the columns mix_size, mix_source_size, mix_target and mix_copies."""
-    rows = docs.withColumn("mix_size", n_words(F.col("text").cast("string")))
-    targets = source_targets(rows.select("source", F.col("mix_size").alias("size")), share, most, weights).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    both = rows.join(targets, rows["source"].eqNullSafe(targets["mix_source"])).drop("mix_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    return both.withColumn("mix_copies", (F.floor(rate) + (draw(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")).cast("long"))
+def _rated(docs: DataFrame, names: list[str], share: float, most: float, weights: tuple, seed: int) -> DataFrame:
+    """docs with four more columns, named ``names``: size, source_size, target and copies."""
+    size, source_size, target, times = names
+    (source,) = fresh([*docs.columns, *names], "mix_source")
+    rows = docs.withColumn(size, n_words(F.col("text").cast("string")))
+    targets = source_targets(rows.select("source", F.col(size).alias("size")), share, most, weights).select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    both = rows.join(targets, rows["source"].eqNullSafe(targets[source])).drop(source)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
+    return both.withColumn(times, (F.floor(rate) + (draw(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
@@ -76,12 +80,12 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
     The sources' table is broadcast if Spark sees that it is small, else joined by shuffle with large
     keys split.  Equal doc_ids get equal draws.  Columns of docs with these names are replaced.
     """
-    rated = _rated(docs, share, most, weights, seed)
-    return rated.drop(*_ADDED).withColumnsRenamed({f"mix_{c}": c for c in _ADDED})
+    return _rated(docs.drop(*_ADDED), list(_ADDED), share, most, weights, seed)
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs."""
-    rated = _rated(docs, share, most, weights, seed)
-    times = F.when(F.col("mix_copies") > 0, F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))
-    return rated.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(times).alias("mix_again")).drop("mix_again")
+    *names, again = fresh(docs.columns, *_ADDED, "again")
+    rated = _rated(docs, names, share, most, weights, seed)
+    times = F.when(F.col(names[3]) > 0, F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))
+    return rated.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(times).alias(again)).drop(again)

@@ -25,21 +25,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, fresh
 
 FIRST, STEP = 4, 1  # hexadecimal digits of the segments' prefixes, and of each split
 PER_BIN, MOST_BINS = 50_000, 4096  # documents in a bin, about; bins of a shard at most
 OVERHEAD = 16
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with the columns size, text_crc32 and key; null texts count as empty."""
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumns({"size": F.octet_length(raw).cast("long") + OVERHEAD, "text_crc32": F.crc32(raw).cast("long"), "key": F.sha2(raw, 256)})
+def _raw() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
 
 
 def _greedy(sums: list[int], single: list[bool], shards: int, capacity: int, hopeful: bool) -> list[int]:
@@ -104,22 +102,25 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[str], int]:
 def shard(docs: DataFrame, shards: int = 40, ws: Workspace | None = None) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (null: the law isn't ``key``).
 
-    Columns of docs with these names are replaced.  Null texts are empty.  A shard may stay empty if
+    Columns of docs with these names are replaced, all others stay.  Null texts are empty.  A shard may stay empty if
     there are fewer groups than shards.
     """
     ws = ws or Workspace(docs.sparkSession, "sharding")
-    rows = sized(docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", "key"))
-    groups = ws.save(rows.groupBy("key").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
+    own = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    key, bin_, before, within = fresh([*own.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "key", "bin", "before", "within")
+    rows = own.withColumns({"size": F.octet_length(_raw()).cast("long") + OVERHEAD, "text_crc32": F.crc32(_raw()).cast("long"), key: F.sha2(_raw(), 256)})
+    groups = ws.save(rows.groupBy(F.col(key).alias("key")).agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
     cuts, _ = minimax_cuts(groups.select("key", "size"), shards)
     number = F.lit(0)
     for c in cuts:
-        number = number + (F.col("key") >= F.lit(c)).cast("int")
+        number = number + (F.col(key) >= F.lit(c)).cast("int")
     count = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, min(MOST_BINS, count // shards // PER_BIN))
-    placed = rows.withColumns({"shard": number.cast("int"), "bin": F.pmod(F.xxhash64("doc_id", "key"), F.lit(bins)).cast("int")})
-    starts = placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("many"))
-    before = F.coalesce(F.sum("many").over(Win.partitionBy("shard").orderBy("bin").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.select("shard", "bin", before.alias("before"))  # at most shards x MOST_BINS rows
-    within = F.row_number().over(Win.partitionBy("shard", "bin").orderBy("key", "doc_id"))
-    out = placed.withColumn("within", within).join(F.broadcast(starts), ["shard", "bin"])
-    return out.withColumns({"slot": (F.col("before") + F.col("within") - 1).cast("long"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).drop("key", "bin", "before", "within")
+    placed = rows.withColumns({"shard": number.cast("int"), bin_: F.pmod(F.xxhash64("doc_id", key), F.lit(bins)).cast("int")})
+    starts = placed.groupBy("shard", bin_).agg(F.count(F.lit(1)).alias("many"))
+    running = F.coalesce(F.sum("many").over(Win.partitionBy("shard").orderBy(bin_).rowsBetween(Win.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("shard", bin_, running.alias(before))  # at most shards x MOST_BINS rows
+    place = F.row_number().over(Win.partitionBy("shard", bin_).orderBy(key, "doc_id"))
+    out = placed.withColumn(within, place).join(F.broadcast(starts), ["shard", bin_])
+    out = out.withColumns({"slot": (F.col(before) + F.col(within) - 1).cast("long"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return out.select(*own.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .workspace import Workspace
+from .workspace import Workspace, fresh
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -304,8 +304,9 @@ def one_of_each(docs: DataFrame, k: int = 5, most: int = 8, groups: int = 11, ag
     """
     ws = Workspace(docs.sparkSession, "one-of-each")
     found = near_duplicates(docs.select("doc_id", "text"), k, most, groups, agree, similarity).where(F.col("doc_id") == F.col("component_id"))
-    kept = ws.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_many")).select(F.col("doc_id").alias("kept_id"), "kept_many"), "kept")
-    both = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept["kept_id"])
-    once = both.where("kept_many = 1").select(*docs.columns)
-    again = both.where("kept_many > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    key, many = fresh(docs.columns, "kept_id", "kept_many")
+    kept = ws.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).select(F.col("doc_id").alias(key), many), "kept")
+    both = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept[key])
+    once = both.where(F.col(many) == 1).drop(key, many)
+    again = both.where(F.col(many) > 1).drop(key, many).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -42,9 +42,20 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (Spark compares names without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def buckets_for(items: int, each: int) -> int:
     """Powers of two only, so that a bucket is a prefix of a hash."""
     return 1 << max(0, (max(1, items) - 1) // each).bit_length()
 
 
-__all__ = ["Workspace", "buckets_for", "shared_dir"]
+__all__ = ["Workspace", "buckets_for", "fresh", "shared_dir"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ _ITEM = [("start", "bigint"), ("end", "bigint"), ("start_line", "bigint"), ("sta
 _SYM = [("sidx", "int"), ("name", "string"), ("kind", "string"), ("lang_kind", "string"), ("owner", "string"), ("qualified", "string"), ("parent_sidx", "int"), ("depth", "int"), ("chain", S.CHAIN), *_ITEM, ("first_tok", "int"), ("last_tok", "int")]
 _TOK = [("ordinal", "int"), ("text", "string"), ("class", "string"), ("parent_sidx", "int"), *_ITEM]
 _struct = lambda fields: "struct<" + ",".join(f"`{n}`:{t}" for n, t in fields) + ">"
-PREPARED = f"org string, repo string, path string, language string, has_errors boolean, origin string, fingerprint string, encoding string, lossy boolean, n_bytes bigint, status string, note string, symbols array<{_struct(_SYM)}>, tokens array<{_struct(_TOK)}>"
+PREPARED = f"org string, repo string, path string, language string, has_errors boolean, origin string, fingerprint string, encoding string, lossy boolean, n_bytes bigint, status string, note string, symbols array<{_struct(_SYM)}>, tokens array<{_struct(_TOK)}>, postings array<struct<text:string,count:bigint>>, counters array<struct<what:string,label:string,count:bigint>>"
 INPUT = ("org", "repo", "path", "content", "language", "origin", "encoding", "strict")
 
 
@@ -52,7 +53,7 @@ def _detect(path: str, text: str, registry: Registry) -> str:
 def prepare_one(row: dict, registry: Registry) -> dict:
     """The outcome for one file: status ok, or the reason why it was refused."""
     out = dict.fromkeys(("language", "has_errors", "fingerprint", "encoding", "lossy", "note")) | {k: row[k] for k in ("org", "repo", "path")}
-    out |= {"origin": row.get("origin"), "n_bytes": len(row["content"] or b""), "status": "ok", "symbols": [], "tokens": []}
+    out |= {"origin": row.get("origin"), "n_bytes": len(row["content"] or b""), "status": "ok", "symbols": [], "tokens": [], "postings": [], "counters": []}
     data = row["content"] or b""
     for what in ("org", "repo", "path"):
         if not row[what] or "\0" in row[what]:
@@ -87,7 +88,15 @@ def prepare_one(row: dict, registry: Registry) -> dict:
     print_ = f"sha256:{hashlib.sha256(data).hexdigest()}|{language}|{registry.version(language)}|1"
     if encoding != "UTF-8" or lossy:
         print_ += f"|enc={encoding}{'+lossy' if lossy else ''}@1"
-    return out | {"language": language, "has_errors": found.has_errors, "fingerprint": print_, "encoding": encoding, "lossy": lossy, "note": note, "symbols": symbols, "tokens": tokens}
+    return out | {"language": language, "has_errors": found.has_errors, "fingerprint": print_, "encoding": encoding, "lossy": lossy, "note": note, "symbols": symbols, "tokens": tokens} | derived(symbols, tokens, encoding, lossy)
+
+
+def derived(symbols: list[dict], tokens: list[dict], encoding: str, lossy: bool) -> dict:
+    """A file's postings and counters; made where the file is parsed, so that no shuffle is needed for them."""
+    label = lambda s: s["kind"] if s["lang_kind"] in (None, s["kind"]) else f"{s['kind']}/{s['lang_kind']}"
+    counted = [("files", {"": 1}), ("symbol_kind", Counter(map(label, symbols))), ("token_class", Counter(t["class"] for t in tokens))]
+    counted += [("encoding", {encoding: 1})] * (encoding != "UTF-8") + [("lossy", {"": 1})] * bool(lossy)
+    return {"postings": [{"text": t, "count": n} for t, n in sorted(Counter(t["text"] for t in tokens).items())], "counters": [{"what": w, "label": k, "count": n} for w, c in counted for k, n in sorted(c.items())]}
 
 
 def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
@@ -119,7 +128,13 @@ def graph_of(prepared: DataFrame) -> Graph:
     syms = ok.select(*FILE_KEY, "language", F.explode("symbols").alias("s")).select(*FILE_KEY, "s.*", "language")
     syms = syms.withColumns({"name_fold": C.ascii_fold(F.col("name")), "dir": C.directory(F.col("path"))}).select(*S.SYMBOLS.names)
     toks = ok.select(*FILE_KEY, "language", F.explode("tokens").alias("t")).select(*FILE_KEY, "t.*", "language").select(*S.TOKENS.names)
-    return Graph(files, syms, toks)
+    coded = ok.select(*FILE_KEY, "language", "encoding", "lossy", F.explode("postings").alias("p")).select("p.text", *FILE_KEY, "language", "encoding", "lossy", "p.count")
+    return Graph(files, syms, toks, coded.select(*S.POSTINGS.names), counters_of(ok.select(*FILE_KEY, "language", F.explode("counters").alias("c")).select(*FILE_KEY, "language", "c.*")))
+
+
+def counters_of(rows: DataFrame) -> DataFrame:
+    """The catalog from counters by file."""
+    return rows.groupBy("org", "repo", "language", "what", "label").agg(F.sum("count").alias("count"))
 
 
 def graph_from_declarations(spark, declared: list[dict]) -> Graph:

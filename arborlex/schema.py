@@ -33,6 +33,8 @@ CHAIN = "array<struct<sidx:int,name:string,kind:string,lang_kind:string,owner:st
 SYMBOLS = _struct(*KEY, "sidx int", "name string", "name_fold string", "kind string", "lang_kind string", "owner string", "qualified string", "parent_sidx int", "depth int", T.StructField("chain", T.ArrayType(_struct("sidx int", "name string", "kind string", "lang_kind string", "owner string"))), *SPAN_FIELDS, "first_tok int", "last_tok int", "dir string", "language string")
 TOKENS = _struct(*KEY, "ordinal int", "text string", "class string", "parent_sidx int", *SPAN_FIELDS, "language string")
 POSTINGS = _struct("text string", *KEY, "language string", "encoding string", "lossy boolean", "count bigint")
+#: Counters by file; the catalog is their sum.
+COUNTERS = _struct(*KEY, "language string", "what string", "label string", "count bigint")
 CATALOG = _struct("org string", "repo string", "language string", "what string", "label string", "count bigint")
 HIT = _struct("org string", "repo string", "file string", "language string", "symbol string", "symbol_kind string", "lang_kind string", "token_class string", *SPAN_FIELDS, "name_byte bigint", "name_line bigint", "name_col bigint", "count bigint", "no_symbols boolean", "no_matching_symbol boolean", "encoding string", "lossy boolean")
 SYMBOL_HIT = _struct("org string", "repo string", "file string", "language string", "name string", "qualified string", "kind string", "lang_kind string", "owner string", *SPAN_FIELDS, "name_byte bigint", "name_line bigint", "name_col bigint", "encoding string", "lossy boolean")

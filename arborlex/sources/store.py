@@ -24,10 +24,12 @@ from ..functions import columns as C
 from ..functions.extract import Registry
 from ..functions.languages import default_registry
 from ..operators import catalog as K
-from ..plans.build import graph_of, prepare
-from ..plans.graph import FILE_KEY, Graph
+from ..plans.build import counters_of, graph_from_declarations, graph_of, prepare
+from ..plans.graph import FILE_KEY, Graph, postings
 
-TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "tokens": S.TOKENS}
+TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "tokens": S.TOKENS, "postings": S.POSTINGS, "counters": S.COUNTERS}
+#: What each table is sorted by inside its files, so that row groups are skipped by their statistics.
+SORTED = {"files": FILE_KEY, "symbols": ["name_fold", *FILE_KEY], "tokens": [*FILE_KEY, "ordinal"], "postings": ["text", *FILE_KEY], "counters": FILE_KEY}
 SNAPSHOT_SECONDS = 15 * 60
 
 
@@ -49,6 +51,27 @@ class Manifest:
     next_seq: int = 0
 
 
+def segment_rows(prepared: DataFrame) -> dict[str, DataFrame]:
+    g = graph_of(prepared)
+    counters = prepared.where("status = 'ok'").select(*FILE_KEY, "language", F.explode("counters").alias("c")).select(*FILE_KEY, "language", "c.*")
+    return {"files": g.files, "symbols": g.symbols, "tokens": g.tokens, "postings": g.postings, "counters": counters}
+
+
+def file_counters(g: Graph) -> DataFrame:
+    """Counters by file from the base tables."""
+    by = [*FILE_KEY, "language"]
+    count = lambda df, what, label: df.groupBy(*by, label.alias("label")).agg(F.count(F.lit(1)).alias("count")).select(*by, F.lit(what).alias("what"), "label", "count")
+    none = F.lit("")
+    parts = [
+        count(g.files, "files", none), count(g.symbols, "symbol_kind", C.kind_label(F.col("kind"), F.col("lang_kind"))), count(g.tokens, "token_class", F.col("class")),
+        count(g.files.where("encoding <> 'UTF-8'"), "encoding", F.col("encoding")), count(g.files.where("lossy"), "lossy", none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, pinned: Manifest | None = None):
         self.spark, self.root, self.registry = spark, root.rstrip("/"), registry or default_registry()
@@ -118,34 +141,49 @@ class Store:
 
     def graph(self) -> Graph:
         m = self.manifest()
+        return self._graph(m)
+
+    def _counters(self) -> DataFrame:
+        m = self.manifest()
+        return self._read(m, self._live(m), "counters")
+
+    def _graph(self, m: Manifest) -> Graph:
         live = self._live(m)
 
         def read(name: str) -> DataFrame:
-            schema = TABLES[name]
-            out = None
-            for n, s in enumerate(m.segments):
-                part = self.spark.read.schema(schema).parquet(f"{self.root}/segments/{s}/{name}").withColumn("nth", F.lit(n))
-                out = part if out is None else out.unionByName(part)
-            if out is None:
-                return self.spark.createDataFrame([], schema)
-            if live is not None:
-                out = out.join(live, [*FILE_KEY, "nth"], "left_semi")
-            return out.drop("nth").select(*schema.names)
-
-        g = Graph(*(read(n) for n in TABLES))
-        return g.with_derived()
+            return self._read(m, live, name)
+
+        base = [read(n) for n in ("files", "symbols", "tokens", "postings")]
+        return Graph(*base, counters_of(read("counters")))
+
+    def _read(self, m: Manifest, live: DataFrame | None, name: str) -> DataFrame:
+        schema = TABLES[name]
+        out = None
+        for n, s in enumerate(m.segments):
+            part = self.spark.read.schema(schema).parquet(f"{self.root}/segments/{s}/{name}").withColumn("nth", F.lit(n))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        if live is not None:
+            out = out.join(live, [*FILE_KEY, "nth"], "left_semi")
+        return out.select(*schema.names)
+
+    def _rows(self) -> dict[str, DataFrame]:
+        g = self.graph()
+        return {n: getattr(g, n) for n in ("files", "symbols", "tokens", "postings")} | {"counters": self._counters()}
 
     # writing
 
-    def _write_segment(self, g: Graph | None, gone: DataFrame | None) -> str:
+    def _write_segment(self, rows: dict[str, DataFrame] | None, gone: DataFrame | None, clustered: bool = False) -> str:
         name = uuid.uuid4().hex
         base = f"{self.root}/segments/{name}"
         key_schema = ", ".join(f"{c} string" for c in FILE_KEY)
         empty = self.spark.createDataFrame([], key_schema)
         for table, schema in TABLES.items():
-            df = getattr(g, table) if g is not None else self.spark.createDataFrame([], schema)
-            # rows of a file stay together and sorted by it, so that row groups can be skipped
-            df.select(*schema.names).sortWithinPartitions(*FILE_KEY).write.parquet(f"{base}/{table}")
+            df = rows[table].select(*schema.names) if rows is not None else self.spark.createDataFrame([], schema)
+            if clustered:  # a compaction also brings what is read together into the same files
+                df = df.repartitionByRange(*SORTED[table])
+            df.sortWithinPartitions(*SORTED[table]).write.parquet(f"{base}/{table}")
         added = self.spark.read.parquet(f"{base}/files").select(*FILE_KEY, F.lit(False).alias("gone"))
         removed = (gone if gone is not None else empty).select(*FILE_KEY, F.lit(True).alias("gone"))
         added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{base}/keys")
@@ -182,8 +220,7 @@ class Store:
         prepare(todo.drop("nth", "old", "old_origin"), self.registry).write.parquet(base)
         done = self.spark.read.parquet(base)
         numbered = done.withColumn("seq", F.lit(m.next_seq).cast("bigint"))
-        g = graph_of(numbered)
-        segment = self._write_segment(g, None)
+        segment = self._write_segment(segment_rows(numbered), None)
         m.segments = [*m.segments, segment]
         m.next_seq += 1
         if stream is not None:
@@ -198,6 +235,29 @@ class Store:
         self._commit(m)
         return self.spark.read.parquet(f"{base}-outcomes")
 
+    def ingest_declared(self, declared: list[dict]) -> DataFrame:
+        """Files whose symbols and tokens the caller supplies; spans are checked, nothing is dropped silently."""
+        m = self.manifest()
+        for d in declared:
+            for what in ("org", "repo", "path", "language"):
+                if not d[what] or "\0" in d[what]:
+                    raise ValueError(f"invalid {what}")
+        g = graph_from_declarations(self.spark, declared)
+        files = g.files.withColumn("seq", F.lit(m.next_seq).cast("bigint"))
+        counters = file_counters(g)
+        m.segments = [*m.segments, self._write_segment({"files": files, "symbols": g.symbols, "tokens": g.tokens, "postings": g.postings, "counters": counters}, None)]
+        m.next_seq += 1
+        self._commit(m)
+        return files.select(*FILE_KEY)
+
+    def rebuild(self) -> None:
+        """Recomputes postings and counters from the base tables, as one clustered segment."""
+        m = self.manifest()
+        if m.segments:
+            g = self.graph()
+            m.segments = [self._write_segment({"files": g.files, "symbols": g.symbols, "tokens": g.tokens, "postings": postings(g), "counters": file_counters(g)}, None, clustered=True)]
+            self._commit(m)
+
     def begin_batch(self) -> None:
         """Marks that a run of several commits is under way."""
         m = self.manifest()
@@ -259,7 +319,7 @@ class Store:
         """Rewrites the live rows into one segment; readers of older manifests keep theirs."""
         m = self.manifest()
         if m.segments:
-            m.segments = [self._write_segment(self.graph(), None)]
+            m.segments = [self._write_segment(self._rows(), None, clustered=True)]
             self._commit(m)
 
     def space(self) -> DataFrame:
@@ -279,7 +339,7 @@ class Store:
     def export_snapshot(self, root: str) -> Store:
         """A copy of the live rows as a store of its own."""
         other = Store(self.spark, root, self.registry)
-        other._commit(Manifest(segments=[Store._write_segment(other, self.graph(), None)]))
+        other._commit(Manifest(segments=[other._write_segment(self._rows(), None, clustered=True)]))
         return other
 
     def extractor_gaps(self) -> DataFrame:

@@ -6,7 +6,11 @@ import os
 import pytest
 
 from arborlex.functions.encoding import decode, is_binary, sniff_utf16
+from arborlex.operators.catalog import describe, describe_by_scan, differences
+from arborlex.operators.render import as_json, hits_as_text, symbols_as_text
 from arborlex.operators.search import Query, SymbolQuery, search, search_symbols
+from arborlex.plans.deadline import DeadlineExceeded, collect_within
+from arborlex.plans.graph import postings
 from arborlex.plans.tools import BadArgument, Tools
 from arborlex.sources import walk
 from arborlex.sources.store import Conflict, Manifest, Store
@@ -119,3 +123,37 @@ def test_stream_is_idempotent(spark, tmp_path):
     (src / "b.txt").write_text("foo bar")
     ingest(folder_stream(spark, str(src), "o", "r"), s, "files", str(tmp_path / "ck")).awaitTermination()
     assert search(s.graph(), Query("foo")).count() == 2 and s.manifest().stream_batches == {"files": 1}
+
+
+def test_declared_files_and_rebuild(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    token = {"text": "foo", "class": "identifier", "start": 0, "end": 3, "start_line": 1, "start_col": 1, "end_line": 1, "end_col": 4}
+    s.ingest_declared([{"org": "o", "repo": "r", "path": "a.zig", "language": "zig", "symbols": [], "tokens": [token, {**token, "start": 4, "end": 7}]}])
+    before = [(r["file"], r["count"]) for r in search(s.graph(), Query("foo", "file")).collect()]
+    s.rebuild()
+    assert before == [("a.zig", 2)] == [(r["file"], r["count"]) for r in search(s.graph(), Query("foo", "file")).collect()]
+    assert [(r["files"], r["tokens"]) for r in describe(s.graph()).collect()] == [(1, 2)]
+    with pytest.raises(ValueError):
+        s.ingest_declared([{"org": "", "repo": "r", "path": "a", "language": "zig", "symbols": [], "tokens": []}])
+
+
+def test_stored_counters_equal_a_scan(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.py", "class A:\n    x = 1\n"), ("o", "r", "b.go", "package p\nfunc F() {}\n"), ("o", "q", "c.txt", "a b")))
+    s.upsert(frame(spark, ("o", "r", "a.py", "def f():\n    return 2\n")))
+    g = s.graph()
+    assert describe(g).collect() == describe_by_scan(g).collect()
+    assert differences(g.postings, postings(g)).count() == 0
+
+
+def test_renderers_and_deadline(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.py", "class A:\n    def m(self):\n        foo()\n")))
+    g = s.graph()
+    assert [r[0] for r in hits_as_text(search(g, Query("foo", "method"))).collect()] == ["o/r/a.py:2:5-3:14  A::m  method  x1"]
+    assert [r[0] for r in symbols_as_text(search_symbols(g, SymbolQuery("A"))).collect()] == ["o/r/a.py:1:7  A  type/class"]
+    assert json.loads(as_json(search(g, Query("foo", "repo"))).first()[0])["count"] == 1
+    assert len(collect_within(spark, 60, lambda: g.files)) == 1
+    with pytest.raises(DeadlineExceeded):
+        slow = spark.range(0, 10**12, 1, 4).selectExpr("sum(sqrt(id))")
+        collect_within(spark, 1.0, lambda: slow)

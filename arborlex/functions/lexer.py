@@ -127,6 +127,7 @@ class State:
 class Rule(NamedTuple):
     cls: str
     find: Callable[[State, int], int]  # end of the match, or -1
+    plain: str | None = None  # the pattern, if that is all there is to the rule
 
 
 def _re(pattern: str, flags: int = regex.S) -> regex.Pattern:
@@ -142,7 +143,8 @@ def _rule(cls: str, pattern: str, guard: Callable[[State], bool] | None = None)
         m = compiled.match(s.src, s.pos, limit)
         return m.end() if m else -1
 
-    return Rule(cls, find)
+    simple = guard is None and not regex.search(r"\\[1-9]|\(\?[0-9]|\((?!\?)", pattern)
+    return Rule(cls, find, pattern if simple else None)
 
 
 def _until(s: State, limit: int, close: str, skip: int) -> int:
@@ -277,7 +279,7 @@ def _hash_ok(d: Dialect) -> Callable[[State], bool]:
 @lru_cache(maxsize=64)
 def _rules(d: Dialect) -> tuple[Rule, ...]:
     """The rules that a dialect has, in order."""
-    text_mode = lambda s: not (d.markup and not s.code)  # noqa: E731  markup rules are off
+    text_mode = (lambda s: s.code) if d.markup else None  # markup rules are off
     out: list[Rule] = []
     add = lambda on, *rules: out.extend(rules if on else ())
 
@@ -341,6 +343,33 @@ def _rules(d: Dialect) -> tuple[Rule, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=64)
+def _combined(d: Dialect) -> regex.Pattern | None:
+    """All rules of a dialect as one pattern, if none of them looks at the state."""
+    rules = _rules(d)
+    if d.fixed_columns or any(r.plain is None for r in rules):
+        return None
+    return _re("|".join([f"(?P<gap>{GAP}++)", *(f"(?P<{r.cls}{n}>{r.plain})" for n, r in enumerate(rules))]))
+
+
+def _scan(src: str, combined: regex.Pattern) -> list[Token]:
+    """The tokens of a dialect without state, in one pass of its combined pattern."""
+    out, byte, line, col = [], 0, 1, 1
+    ascii_ = src.isascii()
+    for m in combined.finditer(src):
+        text, kind = m[0], m.lastgroup
+        size = len(text) if ascii_ or text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if "\n" in text:
+            end_line, tail = line + text.count("\n"), text[text.rindex("\n") + 1 :]
+            end_col = 1 + len(tail) - tail.count("\ufeff")
+        else:
+            end_line, end_col = line, col + len(text) - (0 if ascii_ else text.count("\ufeff"))
+        if kind != "gap":
+            out.append(Token(text, kind.rstrip("0123456789"), byte, byte + size, line, col, end_line, end_col))
+        byte, line, col = byte + size, end_line, end_col
+    return out
+
+
 class Lexer:
     def __init__(self, src: str, dialect: Dialect):
         self.s, self.d = State(src), dialect
@@ -458,6 +487,9 @@ _DATA_FIXED = _re(r"^\*\*(?:CTDATA|FTRANS|ALTSEQ|(?=[ \t\r\n]|\Z))", regex.M | r
 
 def tokenize(src: str, dialect: Dialect = DEFAULT) -> list[Token]:
     """All tokens of a text, in order."""
+    combined = _combined(dialect)
+    if combined is not None:
+        return _scan(src, combined)
     lexer = Lexer(src, dialect)
     free = bool(_FREE.match(src))
     marks = [m.start() for m in (_DATA_FREE if free else _DATA_FIXED).finditer(src)] if dialect.rpg_compile_time_data else []

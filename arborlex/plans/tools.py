@@ -58,6 +58,14 @@ class Tools:
             raise BadArgument("invalid_offset", "offset is 0 or more")
         return limit, offset
 
+    def _known(self, language: str | None, kind: str | None) -> None:
+        """A language or kind that nothing has is a mistake, and the answer says what there is."""
+        if language or kind:
+            try:
+                K.check_filters(self.graph, language=language, kind=kind)
+            except ValueError as e:
+                raise BadArgument("unknown_filter", str(e)) from e
+
     @staticmethod
     def _page(df: DataFrame, limit: int, offset: int) -> Page:
         rows = [r.asDict(recursive=True) for r in df.collect()]
@@ -78,6 +86,7 @@ class Tools:
             raise BadArgument("empty_text", "the text is empty")
         self._named("search", filters.get("org"), filters.get("repo"))
         limit, offset = self._limits(limit, offset)
+        self._known(filters.get("language"), filters.get("symbol_kind"))
         try:
             q = Query(text, grain, limit=limit + 1, offset=offset, **filters)
         except ValueError as e:
@@ -87,6 +96,7 @@ class Tools:
     def find_symbols(self, pattern: str, limit: int | None = None, offset: int = 0, **filters) -> Page:
         self._named("find_symbols", filters.get("org"), filters.get("repo"))
         limit, offset = self._limits(limit, offset)
+        self._known(filters.get("language"), filters.get("kind"))
         try:
             q = SymbolQuery(pattern, limit=limit + 1, offset=offset, **filters)
         except ValueError as e:

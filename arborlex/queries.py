@@ -14,6 +14,7 @@ from .operators import tree as TR
 from .operators.scope import Rules, Scope, parse_policies, scoped
 from .operators.search import Query, SymbolQuery, search, search_symbols
 from .plans import graph as G
+from .plans.build import prepare
 from .sources import tables as TB
 from .streaming.ingest import latest_per_key
 
@@ -414,6 +415,14 @@ def html_tokens(spark, sf):
     return TB.pages(spark, sf).tokens.groupBy("org", "class").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query()
+def ingest_documents(spark, sf):
+    """Decode, detect, fingerprint, lex, extract and arrange every document: files, tokens and terms by source."""
+    raw = TB.table(spark, sf, "documents").select(F.col("source").alias("org"), F.col("lang").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    done = prepare(raw)
+    return done.groupBy("org", "status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("postings")).alias("terms"))
+
+
 @query()
 def tokenize_default(spark, sf):
     """The default dialect with built-in functions: classes of all tokens of all documents."""

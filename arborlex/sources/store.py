@@ -342,5 +342,23 @@ class Store:
         other._commit(Manifest(segments=[other._write_segment(self._rows(), None, clustered=True)]))
         return other
 
+    def install_snapshot(self, root: str) -> None:
+        """Replaces everything by the live rows of another store."""
+        other = Store(self.spark, root, self.registry)
+        m = self.manifest()
+        m.segments = [self._write_segment(other._rows(), None, clustered=True)]
+        m.next_seq = max(m.next_seq, other.manifest().next_seq)
+        self._commit(m)
+
+    def snapshot_age(self) -> float | None:
+        """Milliseconds since this snapshot was pinned; None for the store itself."""
+        return None if self.pinned is None else (time.time() - self.pinned_at) * 1000
+
+    def check_gaps(self, force: bool = False) -> None:
+        """Refuses to go on when stored symbols come from languages that no extractor is registered for."""
+        gaps = [] if force else [r["language"] for r in self.extractor_gaps().select("language").distinct().limit(50).collect()]
+        if gaps:
+            raise RuntimeError(f"no extractor for {', '.join(sorted(gaps))}: re-indexing would lose their symbols; force to go on")
+
     def extractor_gaps(self) -> DataFrame:
         return K.extractor_gaps(self.graph(), sorted(self.registry.by_language))

@@ -63,6 +63,14 @@ def test_reindex_export_and_batches(spark, tmp_path):
     lines = [json.loads(x) for f in sorted(os.listdir(tmp_path / "out")) if f.startswith("part") for x in open(tmp_path / "out" / f)]
     assert [x["kind"] for x in lines[:5]] == ["org", "repo", "file", "symbol", "token"] and not s.manifest().open_batch
     copy = s.export_snapshot(str(tmp_path / "copy"))
+    third = Store(spark, str(tmp_path / "third"))
+    third.upsert(frame(spark, ("x", "y", "old.txt", "old")))
+    third.install_snapshot(str(tmp_path / "copy"))
+    assert [r["path"] for r in third.graph().files.collect()] == ["a.go"] and third.snapshot_age() is None and third.snapshot().snapshot_age() >= 0
+    third.registry.by_language.pop("go")
+    with pytest.raises(RuntimeError, match="go"):
+        third.check_gaps()
+    third.check_gaps(force=True)
     assert copy.graph().tokens.count() == s.graph().tokens.count() and s.space().count() >= 2
 
 
@@ -92,6 +100,8 @@ def test_walk_and_tools(spark, tmp_path):
         tools.search("", "file")
     with pytest.raises(BadArgument):
         tools.find_symbols("*g*")
+    with pytest.raises(BadArgument, match="python"):
+        tools.find_symbols("*", language="pyhton")
     (root / "a.py").unlink()
     assert tools.prune(str(root), "o", "r") == ["a.py"] and search_symbols(tools.graph, SymbolQuery("f")).count() == 0
 

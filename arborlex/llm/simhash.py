@@ -263,15 +263,15 @@ def _similar(similarity: float):
     return run
 
 
-def verify(links: DataFrame, docs: DataFrame, own: DataFrame, k: int, similarity: float, sure: int) -> DataFrame:
+def verify(links: DataFrame, docs: DataFrame, distinct: DataFrame, k: int, similarity: float, sure: int) -> DataFrame:
     """The links of at most ``sure`` bits, and those others whose texts' sets of k-word shingles have at least that Jaccard similarity.
 
-    own: (doc_id, fp) of docs.  A fingerprint's text is that of its smallest doc_id.  Only texts in doubt are read again.
+    distinct: (fp, least), each fingerprint with its smallest doc_id, whose text stands for it.  Only texts in doubt are shuffled.
     """
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     doubtful = links.where(apart > sure)
     nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select(F.col("b").alias("fp"))).distinct()
-    wanted = own.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    wanted = distinct.join(nodes, "fp", "left_semi").select("fp", F.col("least").alias("id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
     sets = texts.select("fp", "text").mapInArrow(_shingle_sets(k), "fp long, shingles binary").dropDuplicates(["fp"])
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, groups: int = 7,
     distinct = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = ws.save(link_fingerprints(distinct.select("fp"), most, groups, agree).distinct(), "links")
     if similarity is not None:
-        links = ws.save(verify(links, docs, own, k, similarity, sure), "verified")
+        links = ws.save(verify(links, docs, distinct, k, similarity, sure), "verified")
     roots = components(links, ws)
     known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

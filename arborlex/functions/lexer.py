@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import pairwise
 from typing import NamedTuple
 
@@ -128,8 +128,10 @@ class Rule(NamedTuple):
     cls: str
     find: Callable[[State, int], int]  # end of the match, or -1
     plain: str | None = None  # the pattern, if that is all there is to the rule
+    starts: Callable[[str], bool] | None = None  # whether a match can start with a character; None: with any
 
 
+@cache
 def _re(pattern: str, flags: int = regex.S) -> regex.Pattern:
     return regex.compile(pattern, flags | regex.V1)
 
@@ -144,7 +146,11 @@ def _rule(cls: str, pattern: str, guard: Callable[[State], bool] | None = None)
         return m.end() if m else -1
 
     simple = guard is None and not regex.search(r"\\[1-9]|\(\?[0-9]|\((?!\?)", pattern)
-    return Rule(cls, find, pattern if simple else None)
+
+    def starts(c: str) -> bool:
+        return compiled.match(c, partial=True) is not None
+
+    return Rule(cls, find, pattern if simple else None, starts)
 
 
 def _until(s: State, limit: int, close: str, skip: int) -> int:
@@ -292,10 +298,10 @@ def _rules(d: Dialect) -> tuple[Rule, ...]:
                 s.code = m[0][0] == "<"
             return m.end() if m else -1
 
-        add(True, Rule("comment", lambda s, limit: _until(s, limit, "--%>", 4) if s.src.startswith("<%--", s.pos, limit) else -1), Rule("punctuation", server))
+        add(True, Rule("comment", lambda s, limit: _until(s, limit, "--%>", 4) if s.src.startswith("<%--", s.pos, limit) else -1, starts="<".__eq__), Rule("punctuation", server, starts="<%".__contains__))
     if d.markup:
         add(True, Rule("literal", lambda s, limit: _attribute(s, limit, s.pending, 0, d.aspx) if s.pending and not s.code else -1))
-        add(True, Rule("comment", lambda s, limit: _until(s, limit, "-->", 2) if not s.code and s.src.startswith("<!--", s.pos, limit) else -1))
+        add(True, Rule("comment", lambda s, limit: _until(s, limit, "-->", 2) if not s.code and s.src.startswith("<!--", s.pos, limit) else -1, starts="<".__eq__))
     add(d.hash_comments, _rule("comment", r"#[^\n]*+", _hash_ok(d)))
     add(d.sql_hash_comments, _rule("comment", r"#(?=\s|\Z)[^\n]*+", lambda s: s.line_clean))
     add(d.fixed_columns == "cobol", _rule("comment", r"\*>[^\n]*+"))
@@ -303,16 +309,16 @@ def _rules(d: Dialect) -> tuple[Rule, ...]:
         dashes = rf"--++(?![{regex.escape(HASKELL_SYMBOLS)}])[^\n]*+" if d.haskell_block_comments else r"--[^\n]*+"
         add(True, _rule("comment", dashes, (lambda s: s.before() not in HASKELL_SYMBOLS) if d.haskell_block_comments else None))
     add(d.semicolon_comments, _rule("comment", r";[^\n]*+"))
-    add(d.haskell_block_comments, Rule("comment", _nested("{-", "-}")))
-    add(d.ml_block_comments, Rule("comment", _nested("(*", "*)", "(*)")))
+    add(d.haskell_block_comments, Rule("comment", _nested("{-", "-}"), starts="{".__eq__))
+    add(d.ml_block_comments, Rule("comment", _nested("(*", "*)", "(*)"), starts="(".__eq__))
     if not d.no_line_slash_comments:
         add(d.aspx, _rule("comment", r"//(?:(?!%>)[^\n])*+", lambda s: s.code))
         add(not d.aspx, _rule("comment", r"//[^\n]*+", text_mode))
-    add(d.rust_literals, Rule("comment", _nested("/*", "*/")))
+    add(d.rust_literals, Rule("comment", _nested("/*", "*/"), starts="/".__eq__))
     add(not d.no_block_slash_comments and not d.rust_literals, _rule("comment", r"/\*.*?(?:\*/|\Z)", text_mode))
     if d.shell_words:
         add(True, _rule("identifier", rf"\$(?:[\p{{Alphabetic}}_]{WORD}*+|[0-9@*#?$!-]|(\{{(?:[^{{}}\n]|(?1))*+\}}))"))
-        add(True, Rule("operator", _heredoc), _rule("literal", r"\$" + _quoted("'")), _rule("literal", r"'(?:[^']*+'|[^\n]*?(?=\r?\n|\Z))"))
+        add(True, Rule("operator", _heredoc, starts="<".__eq__), _rule("literal", r"\$" + _quoted("'")), _rule("literal", r"'(?:[^']*+'|[^\n]*?(?=\r?\n|\Z))"))
     if d.triple_quote_strings:
         body = r".*?" if d.triple_quote_raw else r"(?:[^\\]|\\.)*?"
         add(not d.python_string_prefixes, _rule("literal", rf"(\"\"\"|'''){body}(?:\1|\\?\Z)"))
@@ -332,17 +338,23 @@ def _rules(d: Dialect) -> tuple[Rule, ...]:
     add(True, _rule("identifier", rf"[\p{{Alphabetic}}_]{tail}"))
     add(True, _rule("literal", rf"[0-9](?:[\p{{Alphabetic}}\p{{N}}_.]*{WORD})?"))
     if d.markup:
-        add(True, Rule("literal", lambda s, limit: _attribute(s, limit, s.src[s.pos], 1, d.aspx) if not s.code and s.tag and s.src[s.pos] in "\"'" else -1))
+        add(True, Rule("literal", lambda s, limit: _attribute(s, limit, s.src[s.pos], 1, d.aspx) if not s.code and s.tag and s.src[s.pos] in "\"'" else -1, starts="\"'".__contains__))
         add(True, _rule("punctuation", r"[\"'`]", lambda s: not s.code))
     add(d.doubled_single_quotes, _rule("literal", _ONE_LINE_DOUBLED))
     add(d.single_quote_strings, _rule("literal", _ONE_LINE_SINGLE))
-    add(d.shell_words, Rule("literal", _shell_string))
+    add(d.shell_words, Rule("literal", _shell_string, starts='"'.__eq__))
     add(True, _rule("literal", _quoted('"')), _rule("literal", _quoted("`")), _rule("literal", r"(?='(?:\\.{0,9}'|[^'\\\n]'))" + _quoted("'")))
-    add(d.regex_literals, Rule("literal", lambda s, limit: m.end() if _regex_ok(s) and (m := _REGEX_LITERAL.match(s.src, s.pos, limit)) else -1))
+    add(d.regex_literals, Rule("literal", lambda s, limit: m.end() if _regex_ok(s) and (m := _REGEX_LITERAL.match(s.src, s.pos, limit)) else -1, starts="/".__eq__))
     add(True, _rule("operator", f"[{regex.escape(OPERATORS)}]"), _rule("punctuation", "."))
     return tuple(out)
 
 
+@lru_cache(maxsize=64)
+def _first_chars(d: Dialect) -> dict[str, list[Rule]]:
+    """What Lexer.rules_at remembers, shared by all texts of a dialect."""
+    return {}
+
+
 @lru_cache(maxsize=64)
 def _combined(d: Dialect) -> regex.Pattern | None:
     """All rules of a dialect as one pattern, if none of them looks at the state."""
@@ -373,11 +385,18 @@ def _scan(src: str, combined: regex.Pattern) -> list[Token]:
 class Lexer:
     def __init__(self, src: str, dialect: Dialect):
         self.s, self.d = State(src), dialect
-        self.rules = _rules(dialect)
+        self.rules, self.by_first = _rules(dialect), _first_chars(dialect)
         self.out: list[Token] = []
         self.byte, self.line, self.col = 0, 1, 1
         self.gap = _re(GAP + "++")
 
+    def rules_at(self, first: str) -> list[Rule]:
+        """The rules that can match at a character; rules without state are tried on it once and remembered."""
+        found = self.by_first.get(first)
+        if found is None:
+            found = self.by_first[first] = [r for r in self.rules if r.starts is None or r.starts(first)]
+        return found
+
     def skip(self, to: int) -> None:
         piece = self.s.src[self.s.pos : to]
         self.byte += len(piece.encode("utf-8", "surrogatepass"))
@@ -417,7 +436,7 @@ class Lexer:
                     self.heredoc_bodies(limit)
                 continue
             markup_char = s.src[s.pos] if d.markup and not s.code else ""
-            for rule in self.rules:
+            for rule in self.rules_at(s.src[s.pos]):
                 end = rule.find(s, limit)
                 if end > s.pos:
                     break

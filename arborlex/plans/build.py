@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,8 @@ from ..functions import columns as C
 from ..functions.encoding import decode, hint_from_label, is_binary
 from ..functions.extract import Registry
 from ..functions.languages import default_registry
-from .graph import FILE_KEY, Graph, SpanError, arrange, check_nesting
+from ..functions.lexer import Token
+from .graph import FILE_KEY, Graph, SpanError, arrange, check_nesting, enclosing
 
 #: Larger files are skipped.
 MOST_BYTES = 64 << 20
@@ -53,7 +55,7 @@ def _detect(path: str, text: str, registry: Registry) -> str:
 def prepare_one(row: dict, registry: Registry) -> dict:
     """The outcome for one file: status ok, or the reason why it was refused."""
     out = dict.fromkeys(("language", "has_errors", "fingerprint", "encoding", "lossy", "note")) | {k: row[k] for k in ("org", "repo", "path")}
-    out |= {"origin": row.get("origin"), "n_bytes": len(row["content"] or b""), "status": "ok", "symbols": [], "tokens": [], "postings": [], "counters": []}
+    out |= {"origin": row.get("origin"), "n_bytes": len(row["content"] or b""), "status": "ok", "symbols": [], "tokens": [], "parents": [], "postings": [], "counters": []}
     data = row["content"] or b""
     for what in ("org", "repo", "path"):
         if not row[what] or "\0" in row[what]:
@@ -72,31 +74,28 @@ def prepare_one(row: dict, registry: Registry) -> dict:
     if row.get("strict") and (lossy or encoding != "UTF-8" and not hint):
         return out | {"status": "not UTF-8" if encoding != "UTF-8" else "lossy"}
     language = (row.get("language") or _detect(row["path"], text, registry)).lower()
-    e = registry.get(language)
-    found = e.run(text)
-    tokens = [{"text": t.text, "class": t.cls, **{k: getattr(t, k) for k in S.SPAN}} for t in found.tokens]
-    symbols, note = found.symbols, found.note
+    found = registry.get(language).run(text)
+    tokens, symbols, note = sorted(found.tokens, key=lambda t: t.start), found.symbols, found.note
     try:
-        check_nesting(symbols, tokens)
+        if symbols:  # a lexer's own tokens follow each other
+            check_nesting(symbols, ({"start": t.start, "end": t.end} for t in tokens))
     except SpanError as err:
         symbols, note = [], f"symbols dropped: {err}"
-        try:
-            check_nesting([], tokens)
-        except SpanError as bad:
-            return out | {"status": "invalid spans", "note": str(bad)}
-    symbols, tokens = arrange(symbols, tokens)
+    symbols, _ = arrange(symbols, [])
+    parents = enclosing(symbols, [t.start for t in tokens]) if symbols else [None] * len(tokens)
     print_ = f"sha256:{hashlib.sha256(data).hexdigest()}|{language}|{registry.version(language)}|1"
     if encoding != "UTF-8" or lossy:
         print_ += f"|enc={encoding}{'+lossy' if lossy else ''}@1"
-    return out | {"language": language, "has_errors": found.has_errors, "fingerprint": print_, "encoding": encoding, "lossy": lossy, "note": note, "symbols": symbols, "tokens": tokens} | derived(symbols, tokens, encoding, lossy)
+    out |= {"language": language, "has_errors": found.has_errors, "fingerprint": print_, "encoding": encoding, "lossy": lossy, "note": note, "symbols": symbols, "tokens": tokens, "parents": parents}
+    return out | derived(symbols, tokens, encoding, lossy)
 
 
 def derived(symbols: list[dict], tokens: list[dict], encoding: str, lossy: bool) -> dict:
     """A file's postings and counters; made where the file is parsed, so that no shuffle is needed for them."""
     label = lambda s: s["kind"] if s["lang_kind"] in (None, s["kind"]) else f"{s['kind']}/{s['lang_kind']}"
-    counted = [("files", {"": 1}), ("symbol_kind", Counter(map(label, symbols))), ("token_class", Counter(t["class"] for t in tokens))]
+    counted = [("files", {"": 1}), ("symbol_kind", Counter(map(label, symbols))), ("token_class", Counter(t.cls for t in tokens))]
     counted += [("encoding", {encoding: 1})] * (encoding != "UTF-8") + [("lossy", {"": 1})] * bool(lossy)
-    return {"postings": [{"text": t, "count": n} for t, n in sorted(Counter(t["text"] for t in tokens).items())], "counters": [{"what": w, "label": k, "count": n} for w, c in counted for k, n in sorted(c.items())]}
+    return {"postings": [{"text": t, "count": n} for t, n in sorted(Counter(t.text for t in tokens).items())], "counters": [{"what": w, "label": k, "count": n} for w, c in counted for k, n in sorted(c.items())]}
 
 
 def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
@@ -105,6 +104,10 @@ def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     kinds = {"content": "binary", "strict": "boolean"}
     rows = files.select(*((F.col(c) if c in files.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in INPUT))
     rows = rows.withColumn("path", C.normalize_path(F.col("path")))
+    # parsing is far costlier than moving a file: a source of fewer splits than cores is dealt over all of them
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
     target = T.StructType.fromDDL(PREPARED)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -113,12 +116,44 @@ def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([prepare_one(row, registry)], schema=arrow)
+            for i in range(0, batch.num_rows, FILES_AT_ONCE):
+                yield _batch([prepare_one(r, registry) for r in batch.slice(i, FILES_AT_ONCE).to_pylist()], arrow)
 
     return rows.mapInArrow(run, target)
 
 
+#: Files whose outcomes make one Arrow batch.
+FILES_AT_ONCE = 64
+
+
+def _lists(per_file: list[list], kind: pa.DataType, columns: list[list]) -> pa.Array:
+    """A list array, one list of structs a file, from the structs' columns."""
+    offsets = pa.array([0, *accumulate(map(len, per_file))], pa.int32())
+    struct = kind.value_type
+    fields = [struct.field(i) for i in range(struct.num_fields)]
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields), type=kind)
+
+
+def _batch(done: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """The outcomes column by column: most of the data is tokens, which never become dictionaries."""
+    tokens = [d["tokens"] for d in done]
+    columns = [list(c) for c in zip(*(t for own in tokens for t in own), strict=True)] or [[] for _ in Token._fields]
+    named = dict(zip(Token._fields, columns, strict=True))
+    named |= {"class": named["cls"], "ordinal": [n for own in tokens for n in range(len(own))], "parent_sidx": [p for d in done for p in d["parents"]]}
+    arrays = []
+    for f in schema:
+        if f.name == "tokens":
+            arrays.append(_lists(tokens, f.type, [named[n] for n, _ in _TOK]))
+        elif f.name in ("postings", "counters"):
+            own = [d[f.name] for d in done]
+            names = [f.type.value_type.field(i).name for i in range(f.type.value_type.num_fields)]
+            arrays.append(_lists(own, f.type, [[x[n] for o in own for x in o] for n in names]))
+        else:
+            arrays.append(pa.array([d[f.name] for d in done], f.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def graph_of(prepared: DataFrame) -> Graph:
     """The graph of the prepared rows whose status is ok; write ``prepared`` first if it is costly."""
     ok = prepared.where("status = 'ok'")

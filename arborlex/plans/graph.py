@@ -79,22 +79,33 @@ def arrange(symbols: list[dict], tokens: list[dict]) -> tuple[list[dict], list[d
         out.append({**s, **own, "parent_sidx": up["sidx"] if up else None, "depth": len(stack), "chain": [own, *(up["chain"] if up else [])], "qualified": f"{up['qualified']}::{s['name']}" if up else s["name"], "first_tok": None, "last_tok": None})
         if s["end"] > s["start"]:
             stack.append(i)
-    placed, at, stack = [], 0, []
-    for n, t in enumerate(tokens):
-        while at < len(out) and out[at]["start"] <= t["start"]:
-            while stack and out[stack[-1]]["end"] <= out[at]["start"]:
+    parents = enclosing(out, [t["start"] for t in tokens])
+    return out, [{**t, "ordinal": n, "parent_sidx": p} for n, (t, p) in enumerate(zip(tokens, parents, strict=True))]
+
+
+def enclosing(symbols: list[dict], starts: list[int]) -> list[int | None]:
+    """For each of the ascending start bytes, the number of the innermost symbol around it.
+
+    symbols are arranged already; their token ranges are filled in.
+    """
+    if not symbols:
+        return [None] * len(starts)
+    out, at, stack = [], 0, []
+    for n, start in enumerate(starts):
+        while at < len(symbols) and symbols[at]["start"] <= start:
+            while stack and symbols[stack[-1]]["end"] <= symbols[at]["start"]:
                 stack.pop()
-            if out[at]["end"] > out[at]["start"]:
+            if symbols[at]["end"] > symbols[at]["start"]:
                 stack.append(at)
             at += 1
-        while stack and out[stack[-1]]["end"] <= t["start"]:
+        while stack and symbols[stack[-1]]["end"] <= start:
             stack.pop()
         for k in stack:
-            if out[k]["first_tok"] is None:
-                out[k]["first_tok"] = n
-            out[k]["last_tok"] = n
-        placed.append({**t, "ordinal": n, "parent_sidx": stack[-1] if stack else None})
-    return out, placed
+            if symbols[k]["first_tok"] is None:
+                symbols[k]["first_tok"] = n
+            symbols[k]["last_tok"] = n
+        out.append(stack[-1] if stack else None)
+    return out
 
 
 def containment_join(symbols: DataFrame, items: DataFrame, key: list[str], item: str) -> DataFrame:

@@ -17,14 +17,15 @@ class DeadlineExceeded(RuntimeError):
 @contextmanager
 def deadline(spark: SparkSession, seconds: float):
     """Cancels the jobs that the body starts once the time is over."""
+    sc = spark.sparkContext
     tag, over = f"deadline-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         over.set()
-        spark.interruptTag(tag)
+        sc.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.addJobTag(tag)
     timer.start()
     try:
         yield
@@ -34,7 +35,7 @@ def deadline(spark: SparkSession, seconds: float):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)
 
 
 def collect_within(spark: SparkSession, seconds: float, query: Callable[[], DataFrame]) -> list:

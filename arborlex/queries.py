@@ -143,12 +143,12 @@ def vacuum_dead_terms(spark, sf):
     return every.select("text").distinct().join(live, "text", "left_anti").agg(F.count(F.lit(1)).alias("dead"))
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text,'')) AS h FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN doc_id%3=0 THEN coalesce(text,'')||' ' ELSE coalesce(text,'') END) AS h FROM documents)
+@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text,'')) AS h FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN source='src0' THEN coalesce(text,'')||' ' ELSE coalesce(text,'') END) AS h FROM documents)
  SELECT count(*) FILTER (WHERE a.h=b.h) AS unchanged, count(*) FILTER (WHERE a.h<>b.h) AS changed FROM a JOIN b USING (doc_id)""")
 def unchanged_files(spark, sf):
     stored = docs(spark, sf).files.select("path", "fingerprint")
-    raw = TB.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    body = F.when(F.col("doc_id") % 3 == 0, F.concat("t", F.lit(" "))).otherwise(F.col("t"))
+    raw = TB.table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
+    body = F.when(F.col("source") == "src0", F.concat("t", F.lit(" "))).otherwise(F.col("t"))
     incoming = raw.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), C.fingerprint(body.cast("binary"), F.lit("txt"), F.lit(0)).alias("now"))
     same = incoming.join(stored, "path").select((F.col("now") == F.col("fingerprint")).alias("same"))
     return same.agg(F.count(F.when(F.col("same"), 1)).alias("unchanged"), F.count(F.when(~F.col("same"), 1)).alias("changed"))
@@ -231,9 +231,9 @@ def symbols_limit_offset(spark, sf):
     return search_symbols(tree(spark, sf), SymbolQuery("*", kind="type", limit=100, offset=10)).select("org", "repo", F.col("file").alias("path"), "name", "start")
 
 
-@query(f"WITH {_DL}, w AS (SELECT DISTINCT org, repo, path, line FROM dl) SELECT org, repo, path, 'L'||line AS name, line+1 AS name_line FROM w WHERE line<=1")
+@query(f"WITH {_DL}, w AS (SELECT DISTINCT org, repo, path, line FROM dl) SELECT org, repo, path, 'L'||line AS name, line+1 AS name_line FROM w")
 def symbol_name_pos(spark, sf):
-    rows = search_symbols(docs(spark, sf, with_lines=True), SymbolQuery("L*", exact_case=True)).where("name in ('L0', 'L1')")
+    rows = search_symbols(docs(spark, sf, with_lines=True), SymbolQuery("L*", exact_case=True))
     return rows.select("org", "repo", F.col("file").alias("path"), "name", "name_line")
 
 

@@ -98,16 +98,22 @@ def derived(symbols: list[dict], tokens: list[dict], encoding: str, lossy: bool)
     return {"postings": [{"text": t, "count": n} for t, n in sorted(Counter(t.text for t in tokens).items())], "counters": [{"what": w, "label": k, "count": n} for w, c in counted for k, n in sorted(c.items())]}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores if their source has fewer splits than that; lexing costs far more than moving a text.
+
+    A large source has more splits than cores and stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     """One row of PREPARED for each of files: org, repo, path, content (binary), and optionally language, origin, encoding, strict."""
     registry = registry or default_registry()
     kinds = {"content": "binary", "strict": "boolean"}
     rows = files.select(*((F.col(c) if c in files.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in INPUT))
     rows = rows.withColumn("path", C.normalize_path(F.col("path")))
-    # parsing is far costlier than moving a file: a source of fewer splits than cores is dealt over all of them
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
+    rows = spread(rows)
     target = T.StructType.fromDDL(PREPARED)
 
     from pyspark.sql.pandas.types import to_arrow_schema

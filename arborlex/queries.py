@@ -14,7 +14,7 @@ from .operators import tree as TR
 from .operators.scope import Rules, Scope, parse_policies, scoped
 from .operators.search import Query, SymbolQuery, search, search_symbols
 from .plans import graph as G
-from .plans.build import prepare
+from .plans.build import prepare, spread
 from .sources import tables as TB
 from .streaming.ingest import latest_per_key
 
@@ -426,7 +426,7 @@ def ingest_documents(spark, sf):
 @query()
 def tokenize_default(spark, sf):
     """The default dialect with built-in functions: classes of all tokens of all documents."""
-    p = TB.table(spark, sf, "documents").select("doc_id", F.explode(C.pieces(F.coalesce("text", F.lit("")))).alias("p"))
+    p = spread(TB.table(spark, sf, "documents")).select("doc_id", F.explode(C.pieces(F.coalesce("text", F.lit("")))).alias("p"))
     return p.select("doc_id", C.piece_class(F.col("p")).alias("class")).where("class is not null").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("count"))
 
 

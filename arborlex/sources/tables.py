@@ -10,7 +10,7 @@ from .. import schema as S
 from ..functions import columns as C
 from ..functions.extract import Extractor, Registry
 from ..functions.languages import default_registry
-from ..plans.build import graph_of, prepare
+from ..plans.build import graph_of, prepare, spread
 from ..plans.graph import Graph
 
 
@@ -64,7 +64,7 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents", with_li
     raw = table(spark, sf_dir, name)
     if name == "benchmark":
         raw = raw.select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("benchmark").alias("source"))
-    docs = raw.select(F.col("source").alias("org"), F.col("lang").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("txt").alias("language"), F.coalesce("text", F.lit("")).alias("body"), "doc_id")
+    docs = spread(raw).select(F.col("source").alias("org"), F.col("lang").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("txt").alias("language"), F.coalesce("text", F.lit("")).alias("body"), "doc_id")
     files = _file_rows(docs, **{c: F.col(c) for c in ("org", "repo", "path", "language")}, n_bytes=F.octet_length("body").cast("bigint"), seq=F.col("doc_id"), fingerprint=C.fingerprint(F.col("body").cast("binary"), F.lit("txt"), F.lit(0)))
     spans = {c: F.lit(None).cast("bigint") for c in S.SPAN}
     base = ["org", "repo", "path", "language"]

@@ -234,18 +234,167 @@ def link_fingerprints(distinct: DataFrame, most: int = 4, groups: int = 7, agree
     return dealt.repartition(n, "grid", "cell").sortWithinPartitions("grid", "cell", "fp").mapInArrow(_links(most), "a long, b long")
 
 
-def _shingle_sets(k: int):
+def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, groups: int = 7, agree: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of ``most`` bits or fewer reach.
+
+    One row per input row; equal fingerprints are one node.  Rows whose doc_id is null take part and
+    get the component's smallest id that isn't null, or null if there is none.
+    """
+    ws = Workspace(docs.sparkSession, "simhash")
+    own = ws.save(fingerprints(docs, k), "fingerprints")
+    distinct = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    links = ws.save(link_fingerprints(distinct.select("fp"), most, groups, agree).distinct(), "links")
+    roots = components(links, ws)
+    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- near-duplicates by Jaccard similarity ---------------------------------------------------------
+#
+# Texts are nodes, named by a hash.  Four seeded SimHashes of a text's set of shingles make a sketch of 256
+# bits; its bits, permuted and cut into keys, deal it to cells.  Texts of a cell whose first two words differ
+# in few bits are candidates.  A cell yields a spanning forest of them, whose links are then checked exactly.
+# Where a checked link fails, the forest may have left out others that hold: there all texts are compared.
+
+SEEDS = 4
+KEY_BITS, ROUNDS = 16, 8  # each round permutes the sketch's bits and cuts them into keys
+WIDE = 34  # candidates differ in so many of 128 bits at most; 19 are expected at Jaccard 0.8
+TEXTS = 256  # texts of a block when all texts of a group are compared
+_ORDERS = [np.random.default_rng(i).permutation(64 * SEEDS) for i in range(ROUNDS)]
+
+
+def text_node(column) -> F.Column:
+    """The node of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' distinct lower-cased k-word shingles as hashes, ascending, and the row offsets; a shorter text is one shingle."""
+    starts, ends, at = W.word_spans(data, offsets)
+    h = W.word_hashes(data, starts, ends, fold=True)
+    n, row = np.diff(at), W.row_of(at)
+    whole = np.flatnonzero(W.whole_windows(at, k))
+    hashes, rows = [W.window_hashes(h, k)[whole]], [row[whole]]
+    for j in range(1, k):
+        short = np.flatnonzero(n == j)
+        if len(short):
+            hashes.append(W.window_hashes(h, j)[at[short]])
+            rows.append(short)
+    h, row = np.concatenate(hashes), np.concatenate(rows)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(len(n) + 1))
+
+
+def sketch(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SEEDS words a row: the SimHashes of its set of hashes; 0 for an empty set."""
+    many = np.diff(at)
+    out = np.zeros((len(many), SEEDS), U64)
+    rows = np.flatnonzero(many)
+    if not len(rows):
+        return out
+    size, first = many[rows], at[:-1][rows]
+    parts = -(-size // 255)  # lanes of eight bits count up to 255 hashes at a time
+    heads = np.cumsum(parts) - parts
+    cuts = np.repeat(first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(heads, parts))
+    for seed in range(SEEDS):
+        x = W.mix(h + U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for bit in range(8):
+            lanes = np.add.reduceat((x >> U64(bit)) & _ONES, cuts).view(np.uint8).reshape(-1, 8)
+            over = 2 * np.add.reduceat(lanes.astype(np.int64), heads, axis=0) > size[:, None]
+            out[rows, seed] |= (over.astype(U64) << (np.arange(8, dtype=U64) * U64(8) + U64(bit))[None, :]).sum(1, dtype=U64)
+    return out
+
+
+def _sketches(k: int):
     def run(batches):
         for batch in batches:
             for piece in W.slices(batch, "text", SLICE_BYTES):
-                data, offsets = W.text_bytes(piece.column("text"))
-                starts, ends, at = W.word_spans(data, offsets)
-                h = W.word_hashes(data, starts, ends, fold=True)
-                sets = []
-                for i, j in zip(at[:-1], at[1:], strict=True):
-                    n = j - i
-                    sets.append(W.pack_sorted(np.unique(W.window_hashes(h[i:j], min(k, n)) if n else h[i:j])))
-                yield pa.RecordBatch.from_arrays([piece.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+                x = sketch(*shingle_sets(*W.text_bytes(piece.column("text")), k))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "node", "sketch"])
+
+    return run
+
+
+def _deal(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            piece = batch.slice(i, 1024)
+            x = np.frombuffer(b"".join(piece.column("sketch").to_pylist()), U64).reshape(-1, SEEDS)
+            bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1)
+            keys = np.hstack([np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16) for order in _ORDERS]).astype(np.int32)
+            keys += np.arange(keys.shape[1], dtype=np.int32) << KEY_BITS
+            each = keys.shape[1]
+            columns = [np.repeat(c, each) for c in (piece.column("node").to_numpy(), x[:, 0].view(np.int64), x[:, 1].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, columns)], names=["cell", "node", "f0", "f1"])
+
+
+def _wide_grow(node: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    while len(node) > 1:
+        todo = [(node[0], f0[0], f1[0])]
+        node, f0, f1 = node[1:], f0[1:], f1[1:]
+        while todo and len(node):
+            x, y0, y1 = todo.pop()
+            near = np.bitwise_count(f0 ^ y0) + np.bitwise_count(f1 ^ y1) <= WIDE
+            if near.any():
+                out.append((np.full(near.sum(), x), node[near]))
+                todo += zip(node[near], f0[near], f1[near], strict=True)
+                node, f0, f1 = node[~near], f0[~near], f1[~near]
+    return out
+
+
+def _candidates(batches):
+    """Over batches sorted by (cell, node): links that span the candidates of each cell."""
+
+    def within(cell, node, f0, f1):
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        size = np.diff(np.r_[first, len(cell)])
+        behind = np.repeat(first + size, size) - np.arange(len(cell)) - 1
+        found, i, d = [], np.flatnonzero(np.repeat(size <= FEW, size)), 1
+        while len(i := i[behind[i] >= d]):
+            near = i[np.bitwise_count(f0[i] ^ f0[i + d]) + np.bitwise_count(f1[i] ^ f1[i + d]) <= WIDE]
+            found.append((near, near + d))
+            d += 1
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+        keep = _span(a, b, len(cell))
+        out = [(node[a[keep]], node[b[keep]])]
+        for f, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            out += _wide_grow(*(c[f : f + n] for c in (node, f0, f1)))
+        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        x = [batch.column(i).to_numpy() for i in range(4)]
+        x = [x[0], x[1], x[2].view(U64), x[3].view(U64)]
+        if held is not None:
+            x = [np.concatenate(p) for p in zip(held, x, strict=True)]
+        cut = int(np.searchsorted(x[0], x[0][-1])) if len(x[0]) else 0
+        held = [p[cut:] for p in x]
+        if cut:
+            yield within(*(p[:cut] for p in x))
+    if held is not None and len(held[0]):
+        yield within(*held)
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that span the candidates among ``nodes`` (node, sketch)."""
+    dealt = nodes.select("node", "sketch").mapInArrow(_deal, "cell int, node long, f0 long, f1 long")
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates, "a long, b long").distinct()
+
+
+def _packed_sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for piece in W.slices(batch, "text", SLICE_BYTES):
+                h, at = shingle_sets(*W.text_bytes(piece.column("text")), k)
+                sets = [W.pack_sorted(h[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -253,59 +402,46 @@ def _shingle_sets(k: int):
 def _similar(similarity: float):
     def run(batches):
         for batch in batches:
-            keep = []
+            ok = []
             for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 a, b = W.unpack_sorted(a), W.unpack_sorted(b)
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                ok.append(common >= similarity * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return run
 
 
-def verify(links: DataFrame, docs: DataFrame, distinct: DataFrame, k: int, similarity: float, sure: int) -> DataFrame:
-    """The links of at most ``sure`` bits, and those others whose texts' sets of k-word shingles have at least that Jaccard similarity.
+def check_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """links (a, b) with ok: whether the texts' sets of shingles have that Jaccard similarity."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return links.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long, ok boolean")
 
-    distinct: (fp, least), each fingerprint with its smallest doc_id, whose text stands for it.  Only texts in doubt are shuffled.
-    """
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    doubtful = links.where(apart > sure)
-    nodes = doubtful.select(F.col("a").alias("fp")).union(doubtful.select(F.col("b").alias("fp"))).distinct()
-    wanted = distinct.join(nodes, "fp", "left_semi").select("fp", F.col("least").alias("id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
-    sets = texts.select("fp", "text").mapInArrow(_shingle_sets(k), "fp long, shingles binary").dropDuplicates(["fp"])
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return links.where(apart <= sure).unionByName(doubtful.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, groups: int = 7, agree: int = 3, similarity: float | None = None, sure: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of ``most`` bits or fewer reach.
 
-    With ``similarity``, links of more than ``sure`` bits also need that Jaccard similarity of their shingles.
-    One row per input row; equal fingerprints are one node.  Rows whose doc_id is null take part and
-    get the component's smallest id that isn't null, or null if there is none.
-    """
-    ws = Workspace(docs.sparkSession, "simhash")
-    own = ws.save(fingerprints(docs, k), "fingerprints")
-    distinct = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = ws.save(link_fingerprints(distinct.select("fp"), most, groups, agree).distinct(), "links")
-    if similarity is not None:
-        links = ws.save(verify(links, docs, distinct, k, similarity, sure), "verified")
-    roots = components(links, ws)
-    known = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int, similarity: float) -> DataFrame:
+    """(node, root) of the texts (node, text) that links of that similarity join; nodes: (node, sketch)."""
+    found = ws.save(candidate_links(nodes), "candidates")
+    met = ws.save(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "met")
+    chosen = texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = ws.save(chosen.mapInArrow(_packed_sets(k), "node long, shingles binary"), "sets")
+    checked = ws.save(check_links(found, sets, similarity), "checked")
+    return components(checked.where("ok").select("a", "b"), ws)
 
 
-def one_of_each(docs: DataFrame, k: int = 5, most: int = 8, groups: int = 11, agree: int = 3, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id, once if it is repeated.
+def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar texts: that with the smallest doc_id, once if it is repeated.
 
     All columns stay.  Rows whose doc_id is null have no place in that order and stay.
     """
     ws = Workspace(docs.sparkSession, "one-of-each")
-    found = near_duplicates(docs.select("doc_id", "text"), k, most, groups, agree, similarity).where(F.col("doc_id") == F.col("component_id"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_node(F.col("text")).alias("node"), F.col("text").cast("string"))
+    own = ws.save(texts.mapInArrow(_sketches(k), "doc_id long, node long, sketch binary"), "sketches")
+    nodes = ws.save(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
+    roots = similar_components(nodes, texts.select("node", "text"), ws, k, similarity)
+    known = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     key, many = fresh(docs.columns, "kept_id", "kept_many")
-    kept = ws.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).select(F.col("doc_id").alias(key), many), "kept")
+    least = known.where("least is not null").groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
+    kept = ws.save(own.join(least, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).select(F.col("doc_id").alias(key), many), "kept")
     both = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept[key])
     once = both.where(F.col(many) == 1).drop(key, many)
     again = both.where(F.col(many) > 1).drop(key, many).dropDuplicates(["doc_id", "text"])

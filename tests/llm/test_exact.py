@@ -264,6 +264,34 @@ def test_one_of_each(docs, rows):
     assert sum(i is None for i, _ in got) == sum(r[0] is None for r in rows)
 
 
+def shingle_set(t, k=5):
+    w = words((t or "").encode().translate(FOLD).decode())
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_one_of_each_finds_pairs_at_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for p in range(400):  # pairs of Jaccard 0.8 to 0.84
+        n = rng.randrange(60, 400)
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        while True:
+            other = list(base)
+            while jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(other))) > 0.84:
+                at = rng.randrange(n)
+                other[at] = f"e{at}"
+            if jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(other))) >= 0.8:
+                break
+        texts += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert set(range(0, 800, 2)) <= kept
+    assert len(kept) <= 400 + 0.02 * 400  # a pair in fifty may be missed
+
+
 # -- components --------------------------------------------------------------------------------
 
 

@@ -418,6 +418,52 @@ def check_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return links.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long, ok boolean")
 
 
+def _all_pairs(similarity: float):
+    """Over the texts (label, shingles) of one or two blocks: links between labels that similar texts join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        sets = [W.unpack_sorted(x) for x in table.column("shingles").to_pylist()]
+        size, n = np.array(list(map(len, sets))), len(sets)
+        _, column, count = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(n), size), count[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((n, n), np.float32)
+        for i in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, (i, i + 4096))
+            x = np.zeros((n, 4096), np.float32)
+            x[row[lo:hi], column[lo:hi] - i] = 1
+            common += x @ x.T
+        ok = (common >= similarity * (size[:, None] + size[None, :] - common.astype(np.float64))) & (label[:, None] < label[None, :])
+        a, b = (label[x] for x in np.nonzero(ok))
+        keep = _span(a, b, len(names))
+        return pa.Table.from_arrays([pa.array(names[a[keep]]), pa.array(names[b[keep]])], names=["a", "b"])
+
+    return run
+
+
+def compare_all(members: DataFrame, sets: DataFrame, ws: Workspace, similarity: float) -> DataFrame:
+    """Links (a, b) between the labels of a group that similar texts join, from all pairs of texts of different labels.
+
+    members: (node, label, g).  A group's texts are dealt to blocks of about TEXTS; those of a large label have
+    blocks of their own, which aren't compared with each other.  A task compares the texts of two blocks.
+    """
+    sizes = members.groupBy("g", "label").agg(F.count(F.lit(1)).alias("size"))
+    pools = sizes.groupBy("g").agg(F.sum(F.when(F.col("size") < TEXTS, F.col("size"))).alias("pool"))
+    large, part = F.col("size") >= TEXTS, lambda key, of: F.pmod(F.xxhash64(key), F.ceil(F.col(of) / TEXTS).cast("long"))
+    own = F.xxhash64(F.lit(1), "label", part("node", "size"))
+    pooled = F.xxhash64(F.lit(0), "g", part("label", "pool"))
+    placed = members.join(sizes, ["g", "label"]).join(pools, "g").select("g", "label", "node", F.when(large, F.col("label")).alias("own"), F.when(large, own).otherwise(pooled).alias("block"))
+    placed = ws.save(placed, "placed")
+    blocks = placed.select("g", "block", "own").distinct()
+    left, right = (blocks.select("g", F.col("block").alias(x), F.col("own").alias(f"own_{x}")) for x in "pq")
+    pairs = left.join(right, "g").where("p <= q and not (own_p is not null and own_p <=> own_q)").select("p", "q")
+    dealt = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block")).join(placed.select("block", "node", "label"), "block").join(sets, "node")
+    return dealt.select("p", "q", "label", "shingles").groupBy("p", "q").applyInArrow(_all_pairs(similarity), "a long, b long")
+
+
 def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int, similarity: float) -> DataFrame:
     """(node, root) of the texts (node, text) that links of that similarity join; nodes: (node, sketch)."""
     found = ws.save(candidate_links(nodes), "candidates")
@@ -425,7 +471,18 @@ def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int
     chosen = texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = ws.save(chosen.mapInArrow(_packed_sets(k), "node long, shingles binary"), "sets")
     checked = ws.save(check_links(found, sets, similarity), "checked")
-    return components(checked.where("ok").select("a", "b"), ws)
+    roots = components(checked.where("ok").select("a", "b"), Workspace(ws.spark, "similar")).withColumnRenamed("root", "label")
+    known = ws.save(met.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    left, right = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    failed = ws.save(checked.where("not ok").join(left, "a").join(right, "b").where("la <> lb").select("la", "lb").distinct(), "failed")
+    if failed.isEmpty():
+        return known.withColumnRenamed("label", "root")
+    ends = failed.select(F.col("la").alias("label")).union(failed.select("lb")).distinct()
+    groups = components(failed, Workspace(ws.spark, "failed")).withColumnRenamed("node", "label")
+    groups = ends.join(groups, "label", "left").select("label", F.coalesce("root", "label").alias("g"))
+    more = ws.save(compare_all(known.join(groups, "label"), sets, ws, similarity).distinct(), "more")
+    joined = components(more, Workspace(ws.spark, "joined")).withColumnRenamed("node", "label")
+    return known.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -292,6 +292,35 @@ def test_one_of_each_finds_pairs_at_the_threshold(spark):
     assert len(kept) <= 400 + 0.02 * 400  # a pair in fifty may be missed
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_one_of_each_joins_what_failed_links_hide(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXTS", block)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for i in range(150):  # versions of one text, many pairs of them just below or above the threshold
+        other = list(base)
+        for at in rng.sample(range(0, 200, 5), rng.randrange(2, 8)):
+            other[at] = f"e{rng.randrange(3)}"
+        texts.append((i, " ".join(other)))
+    sets = [shingle_set(t) for _, t in texts]
+    want = set(closure(list(range(150)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8).values())
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == want and 10 < len(want) < 140
+
+
+def test_failed_middle_member(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    near = base[:190] + [f"x{i}" for i in range(10)]
+    far = [f"y{i}" for i in range(30)] + base[30:]
+    texts = {1: " ".join(base), 2: " ".join(far), 3: " ".join(near)}
+    assert [jaccard(shingle_set(texts[a]), shingle_set(texts[b])) >= 0.8 for a, b in ((1, 3), (1, 2), (2, 3))] == [True, False, False]
+    monkeypatch.setattr(simhash, "candidate_links", lambda nodes: spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    df = spark.createDataFrame(list(texts.items()), "node long, text string")
+    got = {r["node"]: r["root"] for r in simhash.similar_components(df.select("node"), df, Workspace(spark, "test"), 5, 0.8).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 # -- components --------------------------------------------------------------------------------
 
 

@@ -321,6 +321,14 @@ def test_failed_middle_member(spark, monkeypatch):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_one_of_each_checks_every_link(spark):
+    line = "the same nine words stand on every such line"
+    texts = [(i, (line + "\n") * 100 + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(6)]
+    assert max(jaccard(shingle_set(a), shingle_set(b)) for i, a in texts for j, b in texts if i < j) < 0.1
+    kept = simhash.one_of_each(spark.createDataFrame(texts + [(9, texts[0][1])], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 5]
+
+
 # -- components --------------------------------------------------------------------------------
 
 

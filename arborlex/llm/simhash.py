@@ -486,7 +486,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of similar texts: that with the smallest doc_id, once if it is repeated.
+    """docs with one row of each component of similar texts: that with the smallest doc_id (then hash of the text), once if it is repeated.
 
     All columns stay.  Rows whose doc_id is null have no place in that order and stay.
     """
@@ -495,11 +495,12 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     own = ws.save(texts.mapInArrow(_sketches(k), "doc_id long, node long, sketch binary"), "sketches")
     nodes = ws.save(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
     roots = similar_components(nodes, texts.select("node", "text"), ws, k, similarity)
-    known = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    key, many = fresh(docs.columns, "kept_id", "kept_many")
-    least = known.where("least is not null").groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
-    kept = ws.save(own.join(least, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(many)).select(F.col("doc_id").alias(key), many), "kept")
-    both = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept[key])
-    once = both.where(F.col(many) == 1).drop(key, many)
-    again = both.where(F.col(many) > 1).drop(key, many).dropDuplicates(["doc_id", "text"])
+    known = nodes.join(roots, "node", "left").where("least is not null").select("least", "node", F.coalesce("root", "node").alias("root"))
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("least").alias("doc_id"), "node")).alias("first")).select("first.doc_id", "first.node")
+    key, name, many = fresh(docs.columns, "kept_id", "kept_node", "kept_many")
+    counts = own.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias(many))
+    kept = ws.save(counts.join(least, ["doc_id", "node"]).select(F.col("doc_id").alias(key), F.col("node").alias(name), many), "kept")
+    both = docs.join(kept.hint("shuffle_hash"), (docs["doc_id"].cast("long") == kept[key]) & (text_node(docs["text"]) == kept[name]))
+    once = both.where(F.col(many) == 1).drop(key, name, many)
+    again = both.where(F.col(many) > 1).drop(many).dropDuplicates([key, name]).drop(key, name)
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

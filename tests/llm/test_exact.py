@@ -329,6 +329,12 @@ def test_one_of_each_checks_every_link(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 5]
 
 
+def test_one_of_each_keeps_one_text_of_a_repeated_id(spark):
+    x, y = (" ".join(f"{c}{j}" for j in range(50)) for c in "xy")
+    kept = simhash.one_of_each(spark.createDataFrame([(5, x), (5, y), (3, y), (5, x)], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept)) == [(3, y), (5, x)]
+
+
 # -- components --------------------------------------------------------------------------------
 
 

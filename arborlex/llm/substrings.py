@@ -8,8 +8,11 @@ takes both onto the cover.  So two equal windows of 13 words hold an equal run
 of 7 words that starts at a cover position in either document: its hash is the
 anchor.  Anchors are hashed at three positions of seven, and one that two
 documents share marks the windows around it as candidates.  Candidates only
-are extended to whole windows, known by 96 bits, of which the smallest doc_id
-is found by aggregation; pairs of documents are never formed.
+are extended to whole windows and compared by their words: a window is known
+by the BLAKE2b digest (128 bits) of its words joined by one space, so that no
+two word sequences that anyone can find are taken for one another.  The
+smallest doc_id of each window is found by aggregation; pairs of documents are
+never formed.
 
 Documents travel in tiles of some megabytes; a tile sends each distinct anchor
 or window once, and each answer is one bit.
@@ -17,6 +20,9 @@ or window once, and each answer is one bit.
 
 from __future__ import annotations
 
+from functools import cached_property
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -66,8 +72,12 @@ class _Tile:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(state["body"]), np.uint8)
         self.offsets = np.cumsum(np.r_[0, lens])
         self.starts, self.ends, self.at = W.word_spans(self.data, self.offsets)
-        self.words = W.word_hashes(self.data, self.starts, self.ends)
 
+    @cached_property
+    def words(self):
+        return W.word_hashes(self.data, self.starts, self.ends)
+
+    @cached_property
     def anchors(self):
         """Cover positions, their 48-bit hashes' sorted distinct values, and the index into those."""
         place = np.arange(len(self.words)) - np.repeat(self.at[:-1], np.diff(self.at))
@@ -77,33 +87,41 @@ class _Tile:
         own, which = np.unique(h, return_inverse=True)
         return at, own, which
 
+    def digests(self, start: np.ndarray) -> np.ndarray:
+        """The halves of the digests of the windows that start at these words."""
+        text, place = joined(self.data, self.offsets, self.starts, self.ends, self.at)
+        s, e, _ = W.word_spans(text, place)
+        raw = text.tobytes()
+        each = (blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(s[start].tolist(), e[start + self.window - 1].tolist(), strict=True))
+        return np.frombuffer(b"".join(each), "<u8").reshape(-1, 2)
+
     def windows(self, shared: np.ndarray):
-        """Starts of candidate windows, the distinct windows (two hashes), the smallest doc_id of each, and the index.
+        """Starts of candidate windows, the distinct windows (digest halves), the smallest doc_id of each, and the index.
 
-        shared: for each anchor position, whether two documents have it.
+        shared: for each distinct anchor, whether two documents have it.
         """
-        at, _, which = self._anchors
+        at, _, which = self.anchors
         marks = np.zeros(len(self.words) + 1, np.int64)
         marks[at + 1] = shared[which]
         marks = np.cumsum(marks)
         start = np.flatnonzero(W.whole_windows(self.at, self.window))
         start = start[marks[start + PERIOD] > marks[start]]
         if not len(start):
-            return start, (np.zeros(0, U64), np.zeros(0, np.uint32)), np.zeros(0, np.int64), start
-        one = W.window_hashes(self.words, self.window)[start]
-        two = (W.window_hashes(self.words, self.window, seed=1)[start] >> U64(32)).astype(np.uint32)
+            return start, (np.zeros(0, U64), np.zeros(0, U64)), np.zeros(0, np.int64), start
+        one, two = self.digests(start).T
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         first = np.flatnonzero(new)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        doc = self.ids[W.row_of(self.at)[start]]
-        return start, (a[first], b[first]), np.minimum.reduceat(doc[order], first), which
+        return start, (a[first], b[first]), self.least(start, which, len(first)), which
 
-    def prepare(self):
-        self._anchors = self.anchors()
-        return self
+    def least(self, start: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        """The smallest doc_id of each of n distinct windows."""
+        out = np.full(n, NO_ID)
+        np.minimum.at(out, which, self.ids[W.row_of(self.at)[start]])
+        return out
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -119,8 +137,8 @@ def _ask_anchors(window: int, n_buckets: int):
     def run(batches):
         for batch in batches:
             for state in batch.to_pylist():
-                t = _Tile(state, window).prepare()
-                at, own, which = t._anchors
+                t = _Tile(state, window)
+                at, own, which = t.anchors
                 row = W.row_of(t.at)[at]
                 low, high = np.full(len(own), len(t.ids)), np.full(len(own), -1)
                 np.minimum.at(low, which, row)
@@ -151,22 +169,29 @@ def _answers(rows: list[dict], kind: str) -> np.ndarray:
 
 
 def _tile_of(rows: list[dict], window: int) -> _Tile:
-    return _Tile(next(r for r in rows if r["kind"] == "tile"), window).prepare()
+    return _Tile(next(r for r in rows if r["kind"] == "tile"), window)
 
 
 def _ask_windows(window: int, n_buckets: int):
+    """A tile's distinct windows by bucket; and, in a bucket of its own that nobody else has, which window starts where."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        t = _tile_of(rows, window)
-        _, (one, two), least, _ = t.windows(_answers(rows, "anchors"))
+        t, tile = _tile_of(rows, window), rows[0]["tile"]
+        start, (one, two), least, which = t.windows(_answers(rows, "anchors"))
+        if not len(one):
+            return _rows([], _ASK)
+        own = {"bucket": -1 - tile, "tile": tile, "a": W.pack_sorted(start.astype(U64)), "b": W.pack(W.small(which)), "c": None}
         bucket = _bucket(one, 64, n_buckets)
-        return _rows([{"bucket": int(bucket[i]), "tile": rows[0]["tile"], "a": W.pack_sorted(one[i:j]), "b": W.pack(two[i:j]), "c": W.pack(least[i:j])} for i, j in _cuts(bucket)] if len(one) else [], _ASK)
+        return _rows([own, *({"bucket": int(bucket[i]), "tile": tile, "a": W.pack_sorted(one[i:j]), "b": W.pack(two[i:j]), "c": W.pack(least[i:j])} for i, j in _cuts(bucket))], _ASK)
 
     return run
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     asked = table.to_pylist()
+    if asked[0]["bucket"] < 0:
+        return _rows([{"kind": kind, "tile": r["tile"], "part": -1, "a": r[c], "n": 0} for r in asked for kind, c in (("start", "a"), ("which", "b"))], _PART)
     parts = [(W.unpack_sorted(r["a"]), W.unpack(r["b"]), W.unpack(r["c"])) for r in asked]
     one, two, least = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((two, one))
@@ -187,11 +212,13 @@ def _strip(window: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         t = _tile_of(rows, window)
-        start, _, least, which = t.windows(_answers(rows, "anchors"))
+        own = {r["kind"]: r["a"] for r in rows if r["kind"] in ("start", "which")}
         doc = W.row_of(t.at)
-        step = np.zeros(len(t.words) + 1, np.int64)
-        if len(start):
-            gone = _answers(rows, "windows")[which] | (least[which] < t.ids[doc[start]])
+        step = np.zeros(len(t.starts) + 1, np.int64)
+        if own:
+            start, which = W.unpack_sorted(own["start"]).astype(np.int64), W.unpack(own["which"]).astype(np.int64)
+            smaller = _answers(rows, "windows")
+            gone = smaller[which] | (t.least(start, which, len(smaller))[which] < t.ids[doc[start]])
             np.add.at(step, start[gone], 1)
             np.add.at(step, start[gone] + window, -1)
         removed = np.cumsum(step[:-1]) > 0

@@ -2,8 +2,9 @@
 
 A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; no UTF-8
 sequence holds such bytes inside a character, so byte-wise splitting equals
-splitting the text.  Nothing here loops over words in Python: word boundaries,
-64-bit word hashes and hashes of word windows are whole-array operations.
+splitting the text.  Nothing here loops over words in Python but for those of
+32 bytes or more: word boundaries, word hashes (XXH64) and hashes of word
+windows are whole-array operations.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The five primes of XXH64.
+_XXH = tuple(map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)))
 _MULT = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_TABLES: dict = {}
 _POWERS: dict = {}
 
 
@@ -30,16 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _table(seed: int, fold: bool) -> np.ndarray:
-    if (seed, fold) not in _TABLES:
-        t = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 7919 + 1))
-        t[SPACE] = 0
-        if fold:
-            t[65:91] = t[97:123]
-        _TABLES[seed, fold] = t
-    return _TABLES[seed, fold]
-
-
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``m**i`` and ``m**-i`` modulo 2**64 for i < n."""
     m = _MULT[seed % 2]
@@ -83,21 +78,53 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def _short_hashes(raw: np.ndarray, s: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of raw[s : s + n] for lengths n below 32; raw has eight bytes more than any word needs."""
+    p1, p2, p3, p4, p5 = _XXH
+    wide = np.ndarray(len(raw) - 7, "<u8", raw.data, strides=(1,))
+    h = U64(seed) + p5 + n.astype(U64)
+    for j in range(3):
+        i = np.flatnonzero(n >= 8 * j + 8)
+        if not len(i):
+            break
+        h[i] = _turn(h[i] ^ (_turn(wide[s[i] + 8 * j] * p2, 31) * p1), 27) * p1 + p4
+    at = s + (n & ~7)
+    i = np.flatnonzero(n & 4)
+    h[i] = _turn(h[i] ^ ((wide[at[i]] & U64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+    at += n & 4
+    for j in range(3):
+        i = np.flatnonzero((n & 3) > j)
+        h[i] = _turn(h[i] ^ (raw[at[i] + j].astype(U64) * p5), 11) * p1
+    h ^= h >> U64(33)
+    h *= p2
+    h ^= h >> U64(29)
+    h *= p3
+    return h ^ (h >> U64(32))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every word; ``fold`` lower-cases A-Z first.
+    """XXH64 of every word's bytes; ``fold`` lower-cases A-Z first.
 
-    Works through about a megabyte at a time, cut between words.
+    Words of 32 bytes or more go to the library one by one, the others are hashed together, a
+    megabyte or so at a time, cut between words.
     """
-    out = np.empty(len(starts), U64)
-    table, i = _table(seed, fold), 0
+    out, i = np.empty(len(starts), U64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 20))))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(seed, hi - lo)
-        sums = np.zeros(hi - lo + 1, U64)
-        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
+        lo = int(starts[i])
+        raw = data[lo : int(ends[i:j].max())]
+        raw = np.concatenate([_LOWER[raw] if fold else raw, np.zeros(8, np.uint8)])
+        s, n = starts[i:j] - lo, ends[i:j] - starts[i:j]
+        long = np.flatnonzero(n >= 32)
+        h = _short_hashes(raw, s, np.where(n < 32, n, 0), seed)
+        if len(long):
+            body = raw.data
+            h[long] = [xxhash.xxh64_intdigest(body[x : x + m], seed) for x, m in zip(s[long].tolist(), n[long].tolist(), strict=True)]
+        out[i:j] = h
         i = j
     return out
 

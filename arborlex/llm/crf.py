@@ -16,8 +16,8 @@ the sample that the chain didn't see, turns into a probability.  Words whose
 marginal reaches one half are returned as spans (byte offsets).
 
 Words are compared without ASCII punctuation at their ends and with A-Z
-lowered.  The sample has at most ``SAMPLE`` labelled rows and is gathered in
-one training task; the model is a megabyte and is broadcast.  Empty and null
+lowered.  The sample has at most ``SAMPLE`` labelled documents and
+``SAMPLE_BYTES`` of text and is gathered in one training task; the model is a megabyte and is broadcast.  Empty and null
 texts have no evidence and get the curve's probability for none.
 """
 
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import held_out, logistic, probability, sample
+from .workspace import Workspace
 
 U64 = np.uint64
-SAMPLE = 6144
+SAMPLE, SAMPLE_BYTES = 8192, 32 << 20
 BITS = 16
 SLICE_BYTES = 4 << 20
 EPOCHS, RATE, RIDGE = 4, 0.5, 1e-6
@@ -195,8 +196,8 @@ def _train(batches):
     yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("weights", pa.binary()), ("rest", pa.list_(pa.float64()))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = SAMPLE) -> tuple[Chain, np.ndarray]:
-    rows = sample(docs, labels, "toxic", mod, rest, most).mapInArrow(_hash_sample, "doc_id long, y int, x binary")
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[Chain, np.ndarray]:
+    rows = sample(docs, labels, "toxic", mod, rest, most, most_bytes, Workspace(docs.sparkSession, "toxicity")).mapInArrow(_hash_sample, "doc_id long, y int, x binary")
     model = rows.repartition(1).mapInArrow(_train, "weights binary, rest array<double>").first()
     more = np.array(model["rest"])
     return Chain(np.frombuffer(bytes(model["weights"]), np.float32), float(more[0]), more[1:5].reshape(2, 2)), more[5:]

@@ -7,7 +7,7 @@ by the root of its number of indicators.  A linear hinge-loss model is fitted
 by dual coordinate descent on three quarters of the sample; the other quarter
 calibrates its margins to probabilities.
 
-The sample has at most ``SAMPLE`` labelled rows, gathered in one training
+The sample has at most ``SAMPLE`` labelled documents and ``SAMPLE_BYTES`` of text, gathered in one training
 task; the fitted model is half a megabyte and is broadcast.  Every text is
 scored whole.  Texts of fewer than three bytes (empty and null ones too) have
 no trigram and get the probability of margin 0.  If one class is missing from
@@ -16,6 +16,8 @@ the sample, every score is the add-one share of label 1.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .labelled import held_out, logistic, probability, sample
+from .workspace import Workspace
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_BYTES = 8192, 32 << 20
 BITS = 17
 SLICE_BYTES = 4 << 20
-C, EPOCHS = 1.0, 12
+C, EPOCHS, ENOUGH = 1.0, 40, 0.02
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray):
@@ -63,8 +66,20 @@ def log_count_ratio(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
 
 
-def descend(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Weights over places (already scaled by r) that minimise |w|^2/2 + C sum of hinge losses, by dual coordinates."""
+@dataclass
+class Dual:
+    """The state of the descent: primal weights over scaled indicators, dual variables, their upper bounds."""
+
+    w: np.ndarray
+    alpha: np.ndarray
+    upper: np.ndarray
+
+
+def descend(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 0, epochs: int = EPOCHS, enough: float = ENOUGH) -> Dual:
+    """Minimises |w|^2/2 + the sum of C times the hinge losses by dual coordinates; C is weighted so that both classes count alike.
+
+    Ends after ``epochs``, or when no coordinate breaks its optimality condition by more than ``enough``.
+    """
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.array([C * len(y) / (2 * max(1, (y == 0).sum())), C * len(y) / (2 * max(1, (y == 1).sum()))])
     upper = share[y]
@@ -72,15 +87,19 @@ def descend(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 0) ->
     scaled = [r[f] / np.sqrt(max(1, len(f))) for f in x]
     norm = np.array([(v * v).sum() for v in scaled])
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
+        worst = 0.0
         for i in rng.permutation(len(y)):
             if norm[i] > 0:
                 gradient = sign[i] * (w[x[i]] @ scaled[i]) - 1
                 new = min(max(alpha[i] - gradient / norm[i], 0.0), upper[i])
                 if new != alpha[i]:
+                    worst = max(worst, abs(gradient))
                     w[x[i]] += (new - alpha[i]) * sign[i] * scaled[i]
                     alpha[i] = new
-    return w * r
+        if worst <= enough:
+            break
+    return Dual(w, alpha, upper)
 
 
 def margin(weights: np.ndarray, f: np.ndarray) -> float:
@@ -97,14 +116,14 @@ def _train(batches):
     else:
         fit = [f for f, c in zip(x, check, strict=True) if not c]
         r = log_count_ratio(fit, y[~check])
-        w = descend(fit, y[~check], r)
+        w = descend(fit, y[~check], r).w * r
         line = logistic(np.array([[margin(w, f)] for f, c in zip(x, check, strict=True) if c]), y[check].astype(float))
     yield pa.RecordBatch.from_pylist([{"weights": w.astype(np.float32).tobytes(), "line": line.tolist()}], schema=pa.schema([("weights", pa.binary()), ("line", pa.list_(pa.float64()))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """The weights and the calibration, learned from rows whose crc32(doc_id) mod ``mod`` isn't ``rest``."""
-    rows = sample(docs, labels, "quality", mod, rest, most).mapInArrow(_featurise, "doc_id long, y int, x binary")
+    rows = sample(docs, labels, "quality", mod, rest, most, most_bytes, Workspace(docs.sparkSession, "quality")).mapInArrow(_featurise, "doc_id long, y int, x binary")
     model = rows.repartition(1).mapInArrow(_train, "weights binary, line array<double>").first()
     return np.frombuffer(bytes(model["weights"]), np.float32), np.array(model["line"])
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from arborlex.llm import crf, nbsvm
-from arborlex.llm.labelled import logistic, probability
+from arborlex.llm.labelled import logistic, probability, sample
+from arborlex.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, y string, score string, prob double"
 
@@ -103,9 +104,45 @@ def test_dual_descent_meets_the_optimality_conditions():
     y = rng.integers(0, 2, 200)
     x = [np.unique(np.r_[rng.integers(0, 500, 20), 1000 + y[i] * (rng.random() < 0.8)]) for i in range(200)]
     r = nbsvm.log_count_ratio(x, y)
-    w = nbsvm.descend(x, y, r)
-    margins = np.array([nbsvm.margin(w, f) for f in x])
-    assert ((margins > 0) == (y == 1)).mean() > 0.9
+    d = nbsvm.descend(x, y, r, epochs=2000, enough=1e-9)
+    scaled = [r[f] / np.sqrt(len(f)) for f in x]
+    sign = np.where(y == 1, 1.0, -1.0)
+    w = np.zeros_like(d.w)
+    for f, v, s, a in zip(x, scaled, sign, d.alpha):  # the primal weights are those of the dual variables
+        w[f] += s * a * v
+    assert np.allclose(w, d.w, atol=1e-9)
+    slack = np.array([s * (w[f] @ v) - 1 for f, v, s in zip(x, scaled, sign)])
+    low, high = d.alpha <= 1e-9, d.alpha >= d.upper - 1e-9
+    assert (slack[low] >= -1e-6).all() and (slack[high] <= 1e-6).all() and (abs(slack[~low & ~high]) <= 1e-6).all()
+    assert 0 < low.sum() < 200 and (~low & ~high).any()
+    primal = w @ w / 2 + (d.upper * np.maximum(0, -slack)).sum()
+    assert primal == pytest.approx(d.alpha.sum() - w @ w / 2, rel=1e-6)  # no gap to the dual
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(7, "copy")] * 5000 + [(7, "another copy"), (8, None), (8, "b"), (None, "c")] + [(i, "x" * i) for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, 8, *range(20, 60)]] + [(7, 0), (8, None)], "doc_id long, toxic int")
+    take = lambda n, size: sample(docs, labels, "toxic", 97, 96, n, size, Workspace(spark, "t")).collect()
+    every = {r["doc_id"]: (r["text"], r["y"]) for r in take(1000, 1 << 20)}
+    kept = [i for i in [7, 8, *range(20, 60)] if zlib.crc32(str(i).encode()) % 97 != 96]
+    assert sorted(every) == kept and len(take(1000, 1 << 20)) == len(kept)
+    assert every[7] == ("another copy", 1) and every[8] == ("", 0)
+    assert len(take(10, 1 << 20)) == 10
+    few = take(1000, 300)
+    assert 3 <= len(few) and 240 <= sum(len(r["text"]) for r in few) <= 300 and len({r["doc_id"] for r in few}) == len(few)
+
+
+@pytest.mark.parametrize("run", [nbsvm.score_quality, crf.score_toxicity])
+def test_repeated_labelled_rows_change_nothing(tables, run):
+    docs, labels = tables
+    one = docs.where("doc_id = 14")
+    more = docs
+    for _ in range(6):
+        more = more.unionByName(one)
+    a = {r["doc_id"]: r["score"] for r in run(docs, labels).collect()}
+    b = {r["doc_id"]: r["score"] for r in run(more, labels).collect()}
+    assert a == b
 
 
 def test_logistic_recovers_probabilities():

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from arborlex.llm import words as W
 from arborlex.llm import components, decontaminate, flatgraph, katz, linespread, mixing, sharding, simhash, substrings
 from arborlex.llm.workspace import Workspace
 
@@ -141,6 +142,49 @@ def test_substrings(docs, rows):
     assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 300
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def alike():
+    """Texts of words whose polynomial hashes modulo 2**64 are equal, of periodic words, and of one repeated word."""
+    tail = " ".join(f"w{i}" for i in range(12))
+    heads = [thue_morse(n, *x) for n in (1024, 2048) for x in ("ab", "ba")] + ["ab" * 600, "ba" * 600, "x" * 31, "x" * 32, "x" * 33]
+    out = [(i, f"{h} {tail}") for i, h in enumerate(heads)]
+    out += [(20 + i, " ".join([h] * 40)) for i, h in enumerate(["same", "Same", thue_morse(1024)])] + [(30, " ".join(["ab", "ba"] * 30)), (31, " ".join(["ba", "ab"] * 30)), (40, out[0][1])]
+    return [(i, t, "en", "s", 1, *EXTRA) for i, t in out]
+
+
+def test_words_that_collide_in_a_polynomial(spark, alike):
+    df = spark.createDataFrame(alike, SCHEMA).repartition(3)
+    first = {}
+    for r in alike:
+        w = words(r[1])
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), 99), r[0])
+    want = {}
+    for r in alike:
+        w = words(r[1])
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < r[0]:
+                gone[k : k + 13] = True
+        want[r[0]] = int(gone.sum())
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(df).collect()} == want and want[40] == 13 and want[1] == 0
+    known, _ = brute_katz(alike)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score_documents(df).collect()) == known
+
+
+def test_word_hashes_are_xxh64():
+    rng = random.Random(3)
+    own = [bytes(rng.choice(range(33, 256)) for _ in range(n)) for n in range(1, 70)]
+    data = np.frombuffer(b" ".join(own), np.uint8)
+    s, e, _ = W.word_spans(data, np.array([0, len(data)]))
+    assert W.word_hashes(data, s, e, seed=5).tolist() == [xxhash.xxh64_intdigest(w, 5) for w in own]
+    assert W.word_hashes(data, s, e, fold=True).tolist() == [xxhash.xxh64_intdigest(w.translate(FOLD)) for w in own]
+
+
 # -- op3 -------------------------------------------------------------------------------------------
 
 
@@ -352,7 +396,8 @@ def test_components(spark):
 # -- op6 -------------------------------------------------------------------------------------------
 
 
-def test_flat_graph(spark):
+@pytest.fixture(scope="module")
+def vectors(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(30, 16))
     x = np.concatenate([rng.normal(size=(400, 16)), *(c + 0.04 * rng.normal(size=(n, 16)) for c, n in zip(centre, rng.integers(2, 40, 30)))])
@@ -366,17 +411,54 @@ def test_flat_graph(spark):
     near = y @ y.T >= 0.95
     np.fill_diagonal(near, False)
     comp = closure(list(range(len(y))), lambda a, b: near[a, b])
-    want = {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(y))} | {i: (0, i, True) for i, _ in odd}
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in flatgraph.near_duplicates(df).collect()}
-    found = sum(min(got[i][0], want[i][0]) for i in want)
-    assert set(got) == set(want) and all(got[i][0] <= want[i][0] for i in want)
-    assert found >= 0.9 * sum(w[0] for w in want.values()) and sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+    return df, {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(y))} | {i: (0, i, True) for i, _ in odd}
+
 
+def linked(df):
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in flatgraph.near_duplicates(df).collect()}
 
-def test_audit_sees_missing_links(spark):
-    rows = spark.createDataFrame([(i, 2, bytearray(np.array([1.0, 0.0]).tobytes())) for i in range(10)], "vec_id long, dim int, v binary")
-    counted = spark.createDataFrame([(i, 9 if i < 5 else 0) for i in range(10)], "vec_id long, n_links long")
-    assert flatgraph.audit(rows, counted, 0.95) == 0.5
+
+@pytest.mark.parametrize(("shard", "large"), [(400, 2000), (150, 300)])
+def test_flat_graph(vectors, monkeypatch, shard, large):
+    monkeypatch.setattr(flatgraph, "SHARD", shard)
+    monkeypatch.setattr(flatgraph, "LARGE", large)
+    df, want = vectors
+    got = linked(df)
+    share = [min(got[i][0], w[0]) / w[0] for i, w in want.items() if w[0]]
+    assert set(got) == set(want) and all(got[i][0] <= want[i][0] for i in want)
+    assert np.mean(share) >= 0.9 and sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
+def test_failed_audits_end_in_an_exact_pass(vectors, monkeypatch):
+    tries = []
+    monkeypatch.setattr(flatgraph, "audit", lambda *a: tries.append(1) or 0.5)
+    monkeypatch.setattr(flatgraph, "EXACT_BLOCK", 100)
+    df, want = vectors
+    assert linked(df) == want and len(tries) >= 3
+    monkeypatch.setattr(flatgraph, "EXACT", 10)
+    with pytest.raises(RuntimeError, match="recall"):
+        flatgraph.near_duplicates(df)
+
+
+def test_oversized_shards_are_split(spark, vectors, monkeypatch):
+    monkeypatch.setattr(flatgraph, "LARGE", 150)
+    monkeypatch.setattr(flatgraph, "SHARD", 60)
+    monkeypatch.setattr(flatgraph, "_centres", lambda sc, picked, k, real=flatgraph._centres: real(sc, picked, min(k, 3)))
+    df, _ = vectors
+    nodes = df.where("vec_id < 400").select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("many"), "embedding").mapInArrow(lambda bs: (b.set_column(2, "v", flatgraph.pa.array([np.array(v).tobytes() for v in b.column(2).to_pylist()])) for b in bs), "node long, many long, v binary")
+    held = flatgraph.shards(nodes, Workspace(spark, "t"), "x", 400, 2)
+    sizes = Counter(s for r in held.collect() for s in r["shards"])
+    assert held.count() == 400 and max(sizes.values()) <= 150 and len(sizes) > 6
+
+
+def test_audit_takes_each_vector_alike(spark):
+    v = bytearray(np.array([1.0, 0.0]).tobytes())
+    w = bytearray(np.array([0.0, 1.0]).tobytes())
+    nodes = spark.createDataFrame([(i, 1, v) for i in range(50)] + [(i, 1, w) for i in (60, 61)], "node long, many long, v binary")
+    links = spark.createDataFrame([(i, 49) for i in range(50)] + [(60, 0)], "node long, links long")
+    assert flatgraph.audit(nodes, links, 0.95) == pytest.approx(50 / 52)
+    assert flatgraph.audit(nodes, links.where("node >= 60"), 0.95) == 0
+    assert flatgraph.audit(nodes.where("node = 1"), links, 0.95) == 1
 
 
 # -- op7 -------------------------------------------------------------------------------------------

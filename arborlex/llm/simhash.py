@@ -181,6 +181,21 @@ def _span(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = label[label]
 
 
+def _hubs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among (a, b), a < b: each node's link to its smallest neighbour, then what else joins components.
+
+    Cells that share most of their members so choose the same few links.
+    """
+    first = np.full(n, n)
+    np.minimum.at(first, b, a)
+    own = np.flatnonzero(first < n)
+    label = np.where(first < n, first, np.arange(n))
+    while (label[label] != label).any():
+        label = label[label]
+    more = _span(label[a], label[b], n)
+    return np.r_[first[own], a[more]], np.r_[own, b[more]]
+
+
 def _links(most: int):
     """Over batches sorted by (grid, cell, fp): links that span each cell's components."""
 
@@ -360,8 +375,8 @@ def _candidates(batches):
             found.append((near, near + d))
             d += 1
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
-        keep = _span(a, b, len(cell))
-        out = [(node[a[keep]], node[b[keep]])]
+        a, b = _hubs(a, b, len(cell))
+        out = [(node[a], node[b])]
         for f, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
             out += _wide_grow(*(c[f : f + n] for c in (node, f0, f1)))
         a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))

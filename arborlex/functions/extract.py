@@ -72,6 +72,7 @@ def fallback(language: str) -> Extractor:
 
 #: Words that never are a declaration's type.
 NOT_TYPES = frozenset("return throw new else case goto import package using delete typeof await yield in is as if while for switch do try catch extends implements".split())
+GROUPS = {"(...)": "(", "[...]": "[", "{...}": "{"}
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
@@ -115,8 +116,8 @@ class Decl:
     """A declaration: ``head`` is a pattern of words; NAME is the declared name, NAME? an optional one.
 
     Words are compared with token texts; TYPE is any identifier that can name a type; ``*`` skips to the next part within the statement;
-    ``(...)`` is a bracket group, ``<...>`` an optional angle group.
-    reach: brace, statement, indent, block, line, file, group (brackets after the name), token.
+    ``(...)``, ``[...]`` and ``{...}`` are bracket groups, ``<...>`` an optional angle group, PTR a pointer or reference mark.
+    reach: brace, statement, item (a statement that a comma may end), indent, block, line, file, group (brackets after the name), token.
     inside: the kinds of the innermost enclosing declaration that the rule needs, if any.
     """
 
@@ -142,6 +143,9 @@ class Language:
     call_is_function: bool = False  # NAME (...) { is a function or method
     not_names: frozenset = frozenset()  # words that look like such a call but control flow
     version: int = 1
+    member: str | None = None  # what an enum's members are called; they are declared by the words before ``,``
+    member_ends: tuple[str, ...] = (",",)
+    members_stop: str | None = None  # what ends the members before the body ends
     prepare: Callable[[str], str] | None = None  # blanks out what isn't code, keeping positions
 
 
@@ -172,15 +176,61 @@ class Scanner:
                 first = self._first(i)
                 name = code[name_at].text if name_at is not None else (d.lang_kind or d.kind)
                 out.append((first, last, symbol(self._clean(name), kind, d.lang_kind, code[first], code[last])))
-                if last > i and (d.reach not in ("statement", "line", "token", "group") or body is not None and kind == "type"):
+                members, resume = self._enum(i, last) if lang.member else ([], i)
+                out += members
+                if last > i and (d.reach not in ("statement", "item", "line", "token", "group") or body is not None and kind == "type"):
                     open_.append((last, kind if d.lang_kind != "impl" else "type"))
                     at = body if body is not None else name_at if name_at is not None else i
                     i = max(i, at if at < len(code) and code[at].text == "{" else at - 1)
                 elif name_at is not None:
                     i = max(i, name_at)
+                i = max(i, resume)
+            elif lang.member and code[i].text == "enum" and code[i].cls == "identifier":
+                members, resume = self._enum(i, len(code) - 1)
+                out += members
+                i = max(i, resume)
             i += 1
         return Extraction(_nested_only(out), relabel(tokens, lang.keywords, lang.ignore_case))
 
+    def _enum(self, i: int, last: int) -> tuple[list[tuple[int, int, Symbol]], int]:
+        """The members of the enum whose head starts at token i, if one does, and the last token that belongs to them."""
+        code, lang, j = self.code, self.lang, i
+        while j <= last and code[j].text not in ("{", ";", "}", "=", "("):
+            j += 1
+        heads = [code[k].text for k in range(i, min(j, last))]
+        if "enum" not in heads or "=" in heads or j > last or code[j].text != "{" or j not in self.close:
+            return [], i
+        end, at, out = self.close[j], j + 1, []
+        while at < end:
+            first, name = at, None
+            while at < end and code[at].text not in lang.member_ends and code[at].text != lang.members_stop:
+                t = code[at]
+                if t.cls != "literal" and (t.text in OPEN or t.text in CLOSE):
+                    if at not in self.close or self.close[at] > end:
+                        return out, end
+                    inner = at + 1 if t.text == "[" and self.close[at] == at + 2 and code[at + 1].cls == "literal" else None
+                    if lang.member == "enumerator" and t.text == "(" and name == at - 1:  # a macro's invocation, not a member
+                        first, name = self.close[at] + 1, None
+                    elif lang.member == "enum_member" and name is None:
+                        name = inner
+                    at = self.close[at] + 1
+                elif t.text == "@" and name is None:
+                    at += 2
+                    while at + 1 < end and code[at].text == ".":
+                        at += 2
+                    if at < end and code[at].text == "(" and at in self.close:
+                        at = self.close[at] + 1
+                else:
+                    if name is None and (self._is(at, "NAME") or lang.member == "enum_member" and t.cls == "literal" and t.text[0] in "\"'"):
+                        name = at
+                    at += 1
+            if name is not None:
+                out.append((first, at - 1, symbol(self._clean(code[name].text), "constant", lang.member, code[first], code[at - 1])))
+            if at < end and code[at].text == lang.members_stop:
+                return out, at
+            at += 1
+        return out, end
+
     @staticmethod
     def _clean(name: str) -> str:
         quoted = regex.fullmatch(r'"(.*)"|`(.*)`|\[(.*)\]|\'(.*)\'', name, regex.S)
@@ -248,7 +298,9 @@ class Scanner:
             if i < len(code) and self._is(i, w):
                 if w == "NAME":
                     name_at = i
-                i = self.close[i] + 1 if w == "(...)" else i + 1
+                i = self.close[i] + 1 if w in GROUPS else i + 1
+                while w == "TYPE" and self.lang.call_is_function and i + 1 < len(code) and code[i].text == "." and code[i + 1].cls == "identifier":
+                    i += 2
             elif not optional:
                 return None
         # a rule that ends in a brace or semicolon only looks at it
@@ -262,8 +314,10 @@ class Scanner:
             return t.cls == "identifier" and self.fold(t.text) not in NOT_TYPES
         if w == "TEXT":
             return t.cls == "literal"
-        if w == "(...)":
-            return t.text == "(" and i in self.close
+        if w == "PTR":
+            return t.text in ("*", "&")
+        if w in GROUPS:
+            return t.text == GROUPS[w] and i in self.close and t.cls != "literal"
         if len(w) > 1 and "|" in w:
             return any(self._is(i, x) for x in w.split("|"))
         return self.fold(t.text) == w
@@ -290,18 +344,18 @@ class Scanner:
             return after, n - 1
         if d.reach == "token":
             return None, after - 1
-        if d.reach in ("brace", "statement"):
+        if d.reach in ("brace", "statement", "item"):
             j = after
             while j < n:
                 t = code[j].text
                 if t == "{":
                     end = self.close.get(j, n - 1)
-                    if d.reach == "statement" and end + 1 < n and code[end + 1].text == ";":
+                    if d.reach in ("statement", "item") and end + 1 < n and code[end + 1].text == ";":
                         end += 1
                     return j, end
                 if t == ";":
                     return None, j
-                if t == "}" or (t == "," and d.inside) or (self.lang.starts == "line" and j > after and code[j].start_line > code[j - 1].end_line):
+                if t == "}" or (t == "," and d.reach == "item") or (self.lang.starts == "line" and j > after and code[j].start_line > code[j - 1].end_line):
                     return None, max(i, j - 1)
                 j = self.close.get(j, j) + 1
             return None, n - 1

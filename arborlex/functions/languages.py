@@ -1,8 +1,8 @@
 """The languages: declaration tables for the shared scanner, and extractors of their own where a table won't do.
 
 What the tables leave out, on purpose: local declarations inside function
-bodies of brace languages unless the language lists them, several declarators
-of one statement (the first names the symbol), and code that preprocessors
+bodies of brace languages unless the language lists them, all but the first
+declarator of a statement (it names the symbol), and code that preprocessors
 hide.  Odd input never fails; only python and rust report syntax errors.
 """
 
@@ -53,8 +53,8 @@ LANGUAGES = (
     Language("csharp", (
         Decl("namespace NAME * {|;", "module", "namespace"), *_types("class struct interface record enum"), Decl("delegate * (...)", "type", "delegate", "statement"),
         Decl("event * NAME ;|{", "variable", "event", "statement", _TYPES), Decl("const TYPE NAME", "constant", "const", "statement", _TYPES),
-        Decl("TYPE <...> NAME {", "variable", "property", "group", _TYPES), Decl("TYPE <...> NAME ;|=", "variable", "field", "statement", _TYPES),
-    ), KEYWORDS["csharp"], ("cs", "csx"), DIALECTS["csharp"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW),
+        Decl("TYPE <...> [...]? ?? NAME {", "variable", "property", "group", _TYPES), Decl("TYPE <...> [...]? ?? NAME ;|=|,", "variable", "field", "statement", _TYPES),
+    ), KEYWORDS["csharp"], ("cs", "csx"), DIALECTS["csharp"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, member="enum_member"),
     Language("javascript", (
         Decl("function *? NAME (...)", "function", "function"), Decl("class NAME", "type", "class"),
         Decl("const|let|var NAME = async? function", "function", "fn_expr", "statement"), Decl("const|let|var NAME = async? (...) = >", "function", "arrow_fn", "statement"), Decl("const|let|var NAME = async? TYPE = >", "function", "arrow_fn", "statement"),
@@ -62,8 +62,8 @@ LANGUAGES = (
     ), KEYWORDS["javascript"], ("js", "mjs", "cjs", "jsx"), DIALECTS["javascript"], modifiers=_w("export default async static"), call_is_function=True, not_names=_FLOW),
     Language("java", (
         Decl("package NAME", "module", "package", "file"), Decl("@ interface NAME", "type", "annotation"), *_types("class interface enum record"),
-        Decl("static final * NAME =", "constant", "constant", "statement", _TYPES), Decl("TYPE <...> NAME ;|=", "variable", "field", "statement", _TYPES), Decl("TYPE <...> NAME (...) ;", "method", "method", "statement", _TYPES),
-    ), KEYWORDS["java"], ("java",), DIALECTS["java"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW),
+        Decl("static final TYPE <...> [...]? NAME =|;|,", "constant", "constant", "statement", _TYPES), Decl("TYPE <...> [...]? NAME ;|=|,|[", "variable", "field", "statement", _TYPES), Decl("TYPE <...> [...]? NAME (...) ;", "method", "method", "statement", _TYPES),
+    ), KEYWORDS["java"], ("java",), DIALECTS["java"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, member="enum_constant", members_stop=";"),
     Language("shell", (
         Decl("function NAME", "function", "function"), Decl("NAME ( ) {", "function", "function"), Decl("export NAME", "variable", "export", "line"), Decl("readonly NAME", "constant", "readonly", "line"),
         Decl("declare|typeset - x NAME", "variable", "declare", "line"), Decl("declare|typeset - r NAME", "constant", "declare", "line"),
@@ -86,8 +86,8 @@ LANGUAGES = (
     ), KEYWORDS["gdscript"], ("gd",), DIALECTS["gdscript"], starts="line"),
     Language("c", (
         Decl("# define NAME", "other", "macro", "line"), *(Decl(f"typedef * {w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")), *(Decl(f"{w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")),
-        Decl("typedef TYPE NAME ;", "type", "typedef", "statement", _OUTER), Decl("const|constexpr TYPE NAME =", "constant", "const", "statement", _OUTER), Decl("TYPE NAME =|;", "variable", "variable", "statement", _OUTER),
-    ), KEYWORDS["c"], ("c", "h"), DIALECTS["c"], modifiers=_w("static inline extern unsigned signed const"), call_is_function=True, not_names=_FLOW),
+        Decl("typedef struct|union|enum {...} NAME ;", "type", "typedef", "statement"), Decl("typedef TYPE PTR? PTR? NAME ;", "type", "typedef", "statement", _OUTER), Decl("const|constexpr TYPE PTR? PTR? NAME =|[", "constant", "const", "statement", _OUTER), Decl("TYPE PTR? PTR? NAME =|;|,|[", "variable", "variable", "statement", _OUTER),
+    ), KEYWORDS["c"], ("c", "h"), DIALECTS["c"], modifiers=_w("static inline extern unsigned signed const"), call_is_function=True, not_names=_FLOW, member="enumerator"),
     Language("scala", (
         Decl("package NAME * {", "module", "package"), Decl("package NAME", "module", "package", "file"), Decl("case object NAME", "module", "case object"), Decl("object NAME", "module", "object"), Decl("case class NAME", "type", "case class"), *_types("class trait enum"),
         Decl("type NAME", "type", "type", "line"), Decl("given NAME", "type", "given", "line"), Decl("def NAME", "function", "def", "line", method=True), Decl("val NAME", "variable", "val", "line"), Decl("var NAME", "variable", "var", "line"), Decl("case NAME", "constant", "case", "token", _TYPES),
@@ -100,11 +100,12 @@ LANGUAGES = (
 _BY_NAME = {x.name: x for x in LANGUAGES}
 _TS = replace(
     _BY_NAME["javascript"], name="typescript", extensions=("ts", "tsx", "mts", "cts"), modifiers=_w("export default async static declare public private protected readonly override const"),
-    decls=(Decl("abstract class NAME", "type", "abstract_class"), *_BY_NAME["javascript"].decls, Decl("interface NAME", "type", "interface"), Decl("type NAME <...> =", "type", "type", "statement"), Decl("enum NAME {", "type", "enum"), Decl("namespace NAME * {", "module", "namespace"), Decl("module NAME|TEXT {", "module", "module"), Decl("NAME (...) :|;", "method", "method", "statement", _TYPES), Decl("NAME : TYPE", "variable", "field", "statement", _TYPES)),
+    decls=(Decl("abstract class NAME", "type", "abstract_class"), *_BY_NAME["javascript"].decls, Decl("interface NAME", "type", "interface"), Decl("type NAME <...> =", "type", "type", "statement"), Decl("enum NAME {", "type", "enum"), Decl("namespace NAME * {", "module", "namespace"), Decl("module NAME|TEXT {", "module", "module"), Decl("NAME (...) :|;", "method", "method", "statement", _TYPES), Decl("NAME ?? : TYPE", "variable", "field", "item", _TYPES)),
+    member="enum_member", member_ends=(",", ";"),
 )
 _CPP = replace(
     _BY_NAME["c"], name="cpp", extensions=("cpp", "cc", "cxx", "hpp", "hh", "hxx", "ipp"), keywords=KEYWORDS["cpp"],
-    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("~ NAME (...)", "method", "destructor", "brace", _TYPES), Decl("TYPE NAME (...) ;|const|override|{", "method", "method", "brace", _TYPES), Decl("TYPE NAME ;|=|{", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
+    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("~ NAME (...)", "method", "destructor", "brace", _TYPES), Decl("TYPE NAME (...) ;|const|override|{", "method", "method", "brace", _TYPES), Decl("TYPE <...> PTR? PTR? NAME ;|=|{|,|[", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
 )
 
 
@@ -364,13 +365,72 @@ def go(src: str) -> Extraction:
 _RUST = Language("rust", (
     *_types("struct enum union trait"), Decl("type NAME", "type", "type_alias", "statement"), Decl("impl <...> * for NAME", "other", "impl"), Decl("impl <...> NAME", "other", "impl"), Decl("mod NAME", "module", "mod"),
     Decl("fn NAME", "function", "fn", method=True), Decl("const NAME :", "constant", "const", "statement"), Decl("static mut? NAME :", "variable", "static", "statement"), Decl("let mut? NAME", "variable", "let", "statement"),
-), KEYWORDS["rust"], ("rs",), DIALECTS["rust"], modifiers=_w("pub unsafe async const extern"))
+), KEYWORDS["rust"], ("rs",), DIALECTS["rust"], modifiers=_w("pub unsafe async const extern"), member="variant")
+
+
+#: Words that start an item, and words that a name follows.
+_ITEM = _w("async const enum extern fn impl mod pub static struct trait type union unsafe use macro_rules macro auto default")
+_NAMED = _w("struct enum trait mod union")
+_AFTER_FN = regex.compile(r"[\p{Alphabetic}_][\p{Alphabetic}\p{N}_]*+|\(")
+
+
+def _macro_bodies(code: list[Token], close: dict[int, int]) -> set[int]:
+    """Tokens inside the arguments of macros, where anything goes."""
+    out: set[int] = set()
+    for i, t in enumerate(code):
+        if t.text == "!" and i and code[i - 1].cls == "identifier" and i not in out:
+            at = i + 1 + (i + 1 < len(code) and code[i + 1].cls == "identifier")
+            if at in close:
+                out.update(range(at, close[at] + 1))
+    return out
+
+
+def _rust_ok(code: list[Token]) -> bool:
+    """Whether brackets balance, declaring words are followed by what they declare, and only items stand at the top."""
+    if not balanced(code):
+        return False
+    close, keywords, n = close_table(code), KEYWORDS["rust"] - _w("self Self super crate"), len(code)
+    free = _macro_bodies(code, close)
+    text = lambda i: code[i].text if i < n else ""
+    for i, t in enumerate(code):
+        if i in free or t.cls != "identifier":
+            continue
+        after = text(i + 1)
+        if t.text == "fn" and (after in keywords or not _AFTER_FN.fullmatch(after)):
+            return False
+        if t.text in _NAMED and t.text != "union" and (after in keywords or not (i + 1 < n and code[i + 1].cls == "identifier")):
+            return False
+        if t.text == "let" and (not after or after in "=;:)]},."):
+            return False
+    i = 0
+    while i < n:
+        if code[i].text == "#":
+            i += 1 + (text(i + 1) == "!")
+            if i not in close:
+                return False
+            i = close[i] + 1
+            continue
+        word = code[i].text
+        macro = code[i].cls == "identifier" and (text(i + 1) == "!" or text(i + 1) == ":" and text(i + 2) == ":")
+        if word not in _ITEM and not macro or code[i].cls == "literal":
+            return False
+        braces = False
+        while i < n and code[i].text != ";":
+            braces = code[i].text == "{" and code[i].cls != "literal"
+            i = close.get(i, i) + 1
+            if braces and text(i) not in (";", "=", ".", "?", "+", "-", "*", "/", "as") and word not in ("use", "const", "static", "type"):
+                break
+        if i < n and code[i].text == ";":
+            i += 1
+        elif not braces:
+            return False
+    return True
 
 
 def rust(src: str) -> Extraction:
-    """A scanner, not a parser: only unbalanced brackets count as a syntax error."""
+    """A scanner, not a parser: it reports the syntax errors that :func:`_rust_ok` sees."""
     tokens = tokenize(src, DIALECTS["rust"])
-    if not balanced([t for t in tokens if t.cls != "comment"]):
+    if not _rust_ok([t for t in tokens if t.cls != "comment"]):
         return Extraction([], relabel(tokens, KEYWORDS["rust"]), True)
     return Scanner(_RUST)(src)
 
@@ -478,7 +538,7 @@ def haskell(src: str) -> Extraction:
 def cobol(src: str) -> Extraction:
     """Programs, divisions, sections, paragraphs and level 01/77 items, by sentences."""
     fixed = any(regex.match(r"[0-9 ]{6}[ *\-/]", x) for x in src.split("\n") if x.strip())
-    dialect = DIALECTS["cobol"] if fixed else replace(DIALECTS["cobol"], fixed_columns=None)
+    dialect = DIALECTS["cobol"] if fixed else replace(DIALECTS["cobol"], rules=tuple(r for r in DIALECTS["cobol"].rules if r != "*>"), columns=None)
     tokens = tokenize(src, dialect)
     code = [t for t in tokens if t.cls != "comment"]
     low = [t.text.lower() for t in code]

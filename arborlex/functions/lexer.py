@@ -1,10 +1,10 @@
-"""A table-driven lexer: tokens with exact byte, line and column spans, for 22 dialects.
+"""A lexer of named rules: tokens with exact byte, line and column spans, for 22 dialects.
 
-A dialect is a set of switches.  The switches select rules from one ordered
-table; a rule is a pattern, the class of what it matches, and sometimes a
-guard over the lexer's state (the token before, the markup mode, open shell
-parentheses).  The first rule that matches at a position makes the token;
-white space makes none.  Lexing never fails: what no rule knows is one
+A dialect is an ordered list of rules, by name, from one catalogue
+(:data:`RULES`); a rule is a pattern, the class of what it matches, and
+sometimes a guard over the lexer's state (the token before, the markup mode,
+open shell parentheses).  The first rule that matches at a position makes the
+token; white space makes none.  Lexing never fails: what no rule knows is one
 punctuation character.
 
 Use :func:`columns.pieces` for the default dialect inside Spark expressions;
@@ -14,7 +14,7 @@ this module is what the Arrow functions run for the other dialects.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import cache, lru_cache
 from itertools import pairwise
 from typing import NamedTuple
@@ -25,9 +25,10 @@ import regex
 OPERATORS = "+-*/%=<>!&|^~?@"
 #: Characters that can join a run of dashes into a symbol in Haskell.
 HASKELL_SYMBOLS = "!#$%&*+./<=>?@\\^|-~:"
-#: A slash after one of these tokens starts a regular expression in JavaScript.
-REGEX_AFTER = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^".split())
-REGEX_AFTER_WORD = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
+#: A slash after one of these tokens, or after a literal or another word, divides in JavaScript.
+NO_REGEX_AFTER = frozenset(") < > ] }".split())
+#: After one of these words it starts a regular expression.
+REGEX_AFTER_WORD = frozenset("await case delete do else in instanceof new of return throw typeof void yield".split())
 GAP = r"[\p{White_Space}\uFEFF]"
 WORD = r"[\p{Alphabetic}\p{N}_]"
 
@@ -45,64 +46,13 @@ class Token(NamedTuple):
 
 @dataclass(frozen=True)
 class Dialect:
-    rust_literals: bool = False
-    single_quote_strings: bool = False
-    csharp_strings: bool = False
-    markup: bool = False
-    aspx: bool = False
-    regex_literals: bool = False
-    no_line_slash_comments: bool = False
-    no_block_slash_comments: bool = False
-    hash_comments: bool = False
-    hash_comments_line_start_only: bool = False
-    dash_comments: bool = False
-    haskell_block_comments: bool = False
-    ml_block_comments: bool = False
-    semicolon_comments: bool = False
-    triple_quote_strings: bool = False
-    triple_quote_raw: bool = False
-    doubled_single_quotes: bool = False
-    prime_idents: bool = False
-    raw_backtick_strings: bool = False
-    sql_strings: bool = False
-    shell_words: bool = False
-    hyphen_idents: bool = False
-    fixed_columns: str | None = None
-    python_string_prefixes: bool = False
-    r_raw_strings: bool = False
-    sql_hash_comments: bool = False
-    rpg_compile_time_data: bool = False
-
-
-DEFAULT = Dialect()
-_HASHED = Dialect(no_line_slash_comments=True, no_block_slash_comments=True, hash_comments=True)
-PYTHON = replace(_HASHED, single_quote_strings=True, triple_quote_strings=True, python_string_prefixes=True)
-JAVASCRIPT = Dialect(single_quote_strings=True, regex_literals=True)
-HTML = Dialect(markup=True)
-DIALECTS: dict[str, Dialect] = {
-    "rust": Dialect(rust_literals=True),
-    "csharp": Dialect(csharp_strings=True),
-    "javascript": JAVASCRIPT,
-    "typescript": JAVASCRIPT,
-    "html": HTML,
-    "aspx": replace(HTML, csharp_strings=True, aspx=True),
-    "c": DEFAULT,
-    "cpp": DEFAULT,
-    "java": Dialect(triple_quote_strings=True),
-    "go": Dialect(raw_backtick_strings=True),
-    "scala": Dialect(triple_quote_strings=True, triple_quote_raw=True),
-    "python": PYTHON,
-    "gdscript": PYTHON,
-    "shell": replace(_HASHED, shell_words=True),
-    "r": replace(_HASHED, single_quote_strings=True, raw_backtick_strings=True, r_raw_strings=True),
-    "sql": Dialect(no_line_slash_comments=True, dash_comments=True, sql_strings=True, sql_hash_comments=True),
-    "haskell": Dialect(prime_idents=True, no_line_slash_comments=True, no_block_slash_comments=True, dash_comments=True, haskell_block_comments=True),
-    "fsharp": Dialect(no_block_slash_comments=True, ml_block_comments=True, triple_quote_strings=True, triple_quote_raw=True, prime_idents=True),
-    "elixir": replace(_HASHED, single_quote_strings=True, triple_quote_strings=True),
-    "asm": Dialect(doubled_single_quotes=True, hash_comments=True, hash_comments_line_start_only=True, semicolon_comments=True),
-    "cobol": Dialect(doubled_single_quotes=True, no_line_slash_comments=True, no_block_slash_comments=True, hyphen_idents=True, fixed_columns="cobol"),
-    "rpg": Dialect(doubled_single_quotes=True, no_block_slash_comments=True, hyphen_idents=True, fixed_columns="rpg", rpg_compile_time_data=True),
-}
+    """Names of rules, in the order in which they are tried, and the layout of lines if columns matter (cobol, rpg)."""
+
+    rules: tuple[str, ...]
+    columns: str | None = None
+
+    def has(self, rule: str) -> bool:
+        return rule in self.rules
 
 
 @dataclass
@@ -254,14 +204,16 @@ def _heredoc(s: State, limit: int) -> int:
     return m.end()
 
 
-_REGEX_LITERAL = _re(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/\p{Alphabetic}*+")
+_REGEX_LITERAL = _re(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*+\])++/[A-Za-z]*+")
 
 
-def _regex_ok(s: State) -> bool:
-    if s.last is None:
-        return True
-    text, cls = s.last
-    return cls in ("operator", "punctuation") and text in REGEX_AFTER or text in REGEX_AFTER_WORD
+def _regex_literal(s: State, limit: int) -> int:
+    if s.last is not None:
+        text, cls = s.last
+        if cls == "literal" or (text not in REGEX_AFTER_WORD if cls == "identifier" else text in NO_REGEX_AFTER):
+            return -1
+    m = _REGEX_LITERAL.match(s.src, s.pos, limit)
+    return m.end() if m else -1
 
 
 def _attribute(s: State, limit: int, quote: str, skip: int, aspx: bool) -> int:
@@ -273,80 +225,148 @@ def _attribute(s: State, limit: int, quote: str, skip: int, aspx: bool) -> int:
     return stop.start() if s.pending else stop.end()
 
 
-def _hash_ok(d: Dialect) -> Callable[[State], bool]:
-    def ok(s: State) -> bool:
-        if d.hash_comments_line_start_only and not s.line_clean:
-            return False
-        return not d.shell_words or bool(regex.match(rf"{GAP}|[;&|()]", s.before()))
-
-    return ok
+def _server_tag(s: State, limit: int) -> int:
+    """The marks of a server block, but for those of a server comment."""
+    m = _re(r"<%(?!--)[@=#:$]?|%>").match(s.src, s.pos, limit)
+    if m:
+        s.code = m[0][0] == "<"
+    return m.end() if m else -1
+
+
+def _begun(opening: str, close: str, skip: int, guard: Callable[[State], bool] = lambda s: True) -> Callable[[State, int], int]:
+    """From an opening through its close, or the end."""
+    return lambda s, limit: _until(s, limit, close, skip) if guard(s) and s.src.startswith(opening, s.pos, limit) else -1
+
+
+def _in_code(s: State) -> bool:
+    return s.code
+
+
+def _in_markup(s: State) -> bool:
+    return not s.code
+
+
+def _value(server: bool) -> Callable[[State, int], int]:
+    """A quoted attribute value; server: a server tag may interrupt it."""
+    return lambda s, limit: _attribute(s, limit, s.src[s.pos], 1, server) if not s.code and s.tag and s.src[s.pos] in "\"'" else -1
+
+
+_TAIL = r"[\p{Alphabetic}\p{N}_]*+"
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+_PREFIXED = rf"(?i:[rbuft]|r[bft]|[bft]r)(?:{_quoted(chr(34))}|{_ONE_LINE_SINGLE})"
+
+
+def _triple(prefix: str, escapes: bool) -> str:
+    body = r"(?:[^\\]|\\.)*?" if escapes else r".*?"
+    return rf"{prefix}(\"\"\"|'''){body}(?:\1|\\?\Z)"
+
+
+def _catalogue() -> dict[str, Rule]:
+    """Every rule by its name."""
+    return {
+        # comments
+        "//": _rule("comment", r"//[^\n]*+"),
+        "/*": _rule("comment", r"/\*.*?(?:\*/|\Z)"),
+        "/*nested": Rule("comment", _nested("/*", "*/"), starts="/".__eq__),
+        "#": _rule("comment", r"#[^\n]*+"),
+        "#line": _rule("comment", r"#[^\n]*+", lambda s: s.line_clean),
+        "#word": _rule("comment", r"#[^\n]*+", lambda s: bool(regex.match(rf"{GAP}|[;&|()]", s.before()))),
+        "#alone": _rule("comment", r"#(?=\s|\Z)[^\n]*+", lambda s: s.line_clean),
+        "*>": _rule("comment", r"\*>[^\n]*+"),
+        "--": _rule("comment", r"--[^\n]*+"),
+        "--symbol": _rule("comment", rf"--++(?![{regex.escape(HASKELL_SYMBOLS)}])[^\n]*+", lambda s: s.before() not in HASKELL_SYMBOLS),
+        ";": _rule("comment", r";[^\n]*+"),
+        "{-": Rule("comment", _nested("{-", "-}"), starts="{".__eq__),
+        "(*": Rule("comment", _nested("(*", "*)", "(*)"), starts="(".__eq__),
+        # markup
+        "<!--": Rule("comment", _begun("<!--", "-->", 2, _in_markup), starts="<".__eq__),
+        "<%--": Rule("comment", _begun("<%--", "--%>", 4), starts="<".__eq__),
+        "<%": Rule("punctuation", _server_tag, starts="<%".__contains__),
+        "value-rest": Rule("literal", lambda s, limit: _attribute(s, limit, s.pending, 0, True) if s.pending and not s.code else -1),
+        "//server": _rule("comment", r"//(?:(?!%>)[^\n])*+", _in_code),
+        "/*server": _rule("comment", r"/\*.*?(?:\*/|\Z)", _in_code),
+        "@server": _rule("literal", r"(?:@\$?|\$@)" + _doubled('"'), _in_code),
+        "$server": _rule("literal", r"\$" + _quoted('"'), _in_code),
+        "tag-word": _rule("identifier", rf"[\p{{Alphabetic}}_](?:{WORD}|[-:](?={WORD}))*+", lambda s: s.tag and not s.code),
+        "value": Rule("literal", _value(False), starts="\"'".__contains__),
+        "value-server": Rule("literal", _value(True), starts="\"'".__contains__),
+        "loose-quote": _rule("punctuation", r"[\"'`]", _in_markup),
+        # shell
+        "$name": _rule("identifier", rf"\$(?:[\p{{Alphabetic}}_]{WORD}*+|[0-9@*#?$!-]|(\{{(?:[^{{}}\n]|(?1))*+\}}))"),
+        "<<": Rule("operator", _heredoc, starts="<".__eq__),
+        "$'": _rule("literal", r"\$" + _quoted("'")),
+        "'shell": _rule("literal", r"'(?:[^']*+'|[^\n]*?(?=\r?\n|\Z))"),
+        '"shell': Rule("literal", _shell_string, starts='"'.__eq__),
+        # strings
+        '"""': _rule("literal", _triple("", True)),
+        '"""raw': _rule("literal", _triple("", False)),
+        '"""prefix': _rule("literal", _triple("(?i:[rbuft]|[rbft]{2})?", True)),
+        "prefix": _rule("literal", _PREFIXED),
+        "`raw": _rule("literal", r"`[^`]*+(?:`|\Z)"),
+        "'sql": _rule("literal", _doubled("'")),
+        '"sql': _rule("identifier", _doubled('"')),
+        "[sql": _rule("identifier", r"\[[\p{Alphabetic}_@# ][^\[\]\n\r]*+\]"),
+        "r#": Rule("literal", _raw_end(_re(r'(?:b|c)?r(#*)"'), lambda m: '"' + m[1], "rust", False)),
+        'b"': _rule("literal", "[bc]" + _quoted('"')),
+        "b'": _rule("literal", r"b'(?:\\.[^'\n]*+|[^'\\\n])'"),
+        "@": _rule("literal", r"(?:@\$?|\$@)" + _doubled('"')),
+        '$"': _rule("literal", r"\$" + _quoted('"')),
+        "r(": Rule("literal", _raw_end(_re(r"""[rR](["'])(-*)([(\[{])"""), lambda m: _CLOSING[m[3]] + m[2] + m[1], "r-raw", True)),
+        "'doubled": _rule("literal", _ONE_LINE_DOUBLED),
+        "'line": _rule("literal", _ONE_LINE_SINGLE),
+        '"': _rule("literal", _quoted('"')),
+        "`": _rule("literal", _quoted("`")),
+        "char": _rule("literal", r"(?='(?:\\.{0,9}'|[^'\\\n]'))" + _quoted("'")),
+        "/regex/": Rule("literal", _regex_literal, starts="/".__eq__),
+        # words, numbers, the rest
+        "word": _rule("identifier", rf"[\p{{Alphabetic}}_]{_TAIL}"),
+        "word'": _rule("identifier", r"[\p{Alphabetic}_][\p{Alphabetic}\p{N}_']*+"),
+        "word-": _rule("identifier", rf"[\p{{Alphabetic}}_](?:[\p{{Alphabetic}}\p{{N}}_]|-(?={WORD}))*+"),
+        "number": _rule("literal", rf"[0-9](?:[\p{{Alphabetic}}\p{{N}}_.]*{WORD})?"),
+        "operator": _rule("operator", f"[{regex.escape(OPERATORS)}]"),
+        "other": _rule("punctuation", "."),
+    }
+
+
+RULES = _catalogue()
+
+
+def _dialect(rules: str, columns: str | None = None) -> Dialect:
+    return Dialect(tuple(rules.split()), columns)
+
+
+DEFAULT = _dialect('// /* word number " ` char operator other')
+_SCRIPT = _dialect("// /* word number 'line \" ` char /regex/ operator other")
+_PYTHON = _dialect("# \"\"\"prefix prefix word number 'line \" ` char operator other")
+DIALECTS: dict[str, Dialect] = {
+    "asm": _dialect("#line ; // /* word number 'doubled \" ` char operator other"),
+    "aspx": _dialect("<%-- <% value-rest <!-- //server /*server @server $server tag-word word number value-server loose-quote \" ` char operator other"),
+    "c": DEFAULT,
+    "cobol": _dialect("*> word- number 'doubled \" ` char operator other", "cobol"),
+    "cpp": DEFAULT,
+    "csharp": _dialect('// /* @ $" word number " ` char operator other'),
+    "elixir": _dialect("# \"\"\" word number 'line \" ` char operator other"),
+    "fsharp": _dialect('(* // """raw word\' number " ` char operator other'),
+    "gdscript": _PYTHON,
+    "go": _dialect('// /* `raw word number " ` char operator other'),
+    "haskell": _dialect('--symbol {- word\' number " ` char operator other'),
+    "html": _dialect("<!-- tag-word word number value loose-quote operator other"),
+    "java": _dialect('// /* """ word number " ` char operator other'),
+    "javascript": _SCRIPT,
+    "python": _PYTHON,
+    "r": _dialect("# `raw r( word number 'line \" ` char operator other"),
+    "rpg": _dialect("// word- number 'doubled \" ` char operator other", "rpg"),
+    "rust": _dialect("// /*nested r# b\" b' word number \" ` char operator other"),
+    "scala": _dialect('// /* """raw word number " ` char operator other'),
+    "shell": _dialect("#word $name << $' 'shell word number \"shell \" ` char operator other"),
+    "sql": _dialect("#alone -- /* 'sql \"sql [sql word number \" ` char operator other"),
+    "typescript": _SCRIPT,
+}
 
 
 @lru_cache(maxsize=64)
 def _rules(d: Dialect) -> tuple[Rule, ...]:
-    """The rules that a dialect has, in order."""
-    text_mode = (lambda s: s.code) if d.markup else None  # markup rules are off
-    out: list[Rule] = []
-    add = lambda on, *rules: out.extend(rules if on else ())
-
-    if d.aspx:
-        def server(s: State, limit: int) -> int:
-            if s.src.startswith("<%--", s.pos, limit):
-                return -1
-            m = _re(r"<%[@=#:$]?|%>").match(s.src, s.pos, limit)
-            if m:
-                s.code = m[0][0] == "<"
-            return m.end() if m else -1
-
-        add(True, Rule("comment", lambda s, limit: _until(s, limit, "--%>", 4) if s.src.startswith("<%--", s.pos, limit) else -1, starts="<".__eq__), Rule("punctuation", server, starts="<%".__contains__))
-    if d.markup:
-        add(True, Rule("literal", lambda s, limit: _attribute(s, limit, s.pending, 0, d.aspx) if s.pending and not s.code else -1))
-        add(True, Rule("comment", lambda s, limit: _until(s, limit, "-->", 2) if not s.code and s.src.startswith("<!--", s.pos, limit) else -1, starts="<".__eq__))
-    add(d.hash_comments, _rule("comment", r"#[^\n]*+", _hash_ok(d)))
-    add(d.sql_hash_comments, _rule("comment", r"#(?=\s|\Z)[^\n]*+", lambda s: s.line_clean))
-    add(d.fixed_columns == "cobol", _rule("comment", r"\*>[^\n]*+"))
-    if d.dash_comments:
-        dashes = rf"--++(?![{regex.escape(HASKELL_SYMBOLS)}])[^\n]*+" if d.haskell_block_comments else r"--[^\n]*+"
-        add(True, _rule("comment", dashes, (lambda s: s.before() not in HASKELL_SYMBOLS) if d.haskell_block_comments else None))
-    add(d.semicolon_comments, _rule("comment", r";[^\n]*+"))
-    add(d.haskell_block_comments, Rule("comment", _nested("{-", "-}"), starts="{".__eq__))
-    add(d.ml_block_comments, Rule("comment", _nested("(*", "*)", "(*)"), starts="(".__eq__))
-    if not d.no_line_slash_comments:
-        add(d.aspx, _rule("comment", r"//(?:(?!%>)[^\n])*+", lambda s: s.code))
-        add(not d.aspx, _rule("comment", r"//[^\n]*+", text_mode))
-    add(d.rust_literals, Rule("comment", _nested("/*", "*/"), starts="/".__eq__))
-    add(not d.no_block_slash_comments and not d.rust_literals, _rule("comment", r"/\*.*?(?:\*/|\Z)", text_mode))
-    if d.shell_words:
-        add(True, _rule("identifier", rf"\$(?:[\p{{Alphabetic}}_]{WORD}*+|[0-9@*#?$!-]|(\{{(?:[^{{}}\n]|(?1))*+\}}))"))
-        add(True, Rule("operator", _heredoc, starts="<".__eq__), _rule("literal", r"\$" + _quoted("'")), _rule("literal", r"'(?:[^']*+'|[^\n]*?(?=\r?\n|\Z))"))
-    if d.triple_quote_strings:
-        body = r".*?" if d.triple_quote_raw else r"(?:[^\\]|\\.)*?"
-        add(not d.python_string_prefixes, _rule("literal", rf"(\"\"\"|'''){body}(?:\1|\\?\Z)"))
-        add(d.python_string_prefixes, _rule("literal", rf"(?i:[rbuft]|[rbft]{{2}})?(\"\"\"|'''){body}(?:\1|\\?\Z)"))
-    add(d.raw_backtick_strings, _rule("literal", r"`[^`]*+(?:`|\Z)", text_mode))
-    add(d.sql_strings, _rule("literal", _doubled("'")), _rule("identifier", _doubled('"')), _rule("identifier", r"\[[\p{Alphabetic}_@# ][^\[\]\n\r]*+\]"))
-    if d.rust_literals:
-        add(True, Rule("literal", _raw_end(_re(r'(?:b|c)?r(#*)"'), lambda m: '"' + m[1], "rust", False)), _rule("literal", "[bc]" + _quoted('"')), _rule("literal", r"b'(?:\\.[^'\n]*+|[^'\\\n])'"))
-    add(d.csharp_strings, _rule("literal", r"(?:@\$?|\$@)" + _doubled('"'), text_mode), _rule("literal", r"\$" + _quoted('"'), text_mode))
-    add(d.python_string_prefixes, _rule("literal", rf"(?i:[rbuft]|r[bft]|[bft]r)(?:{_quoted(chr(34))}|{_ONE_LINE_SINGLE})"))
-    closing = {"(": ")", "[": "]", "{": "}"}
-    add(d.r_raw_strings, Rule("literal", _raw_end(_re(r"""[rR](["'])(-*)([(\[{])"""), lambda m: closing[m[3]] + m[2] + m[1], "r-raw", True)))
-    join = "'" if d.prime_idents else ""
-    tail = rf"(?:[\p{{Alphabetic}}\p{{N}}_{join}]" + (rf"|-(?={WORD})" if d.hyphen_idents else "") + ")*+"
-    if d.markup:
-        add(True, _rule("identifier", rf"[\p{{Alphabetic}}_](?:{WORD}|[-:](?={WORD}))*+", lambda s: s.tag and not s.code))
-    add(True, _rule("identifier", rf"[\p{{Alphabetic}}_]{tail}"))
-    add(True, _rule("literal", rf"[0-9](?:[\p{{Alphabetic}}\p{{N}}_.]*{WORD})?"))
-    if d.markup:
-        add(True, Rule("literal", lambda s, limit: _attribute(s, limit, s.src[s.pos], 1, d.aspx) if not s.code and s.tag and s.src[s.pos] in "\"'" else -1, starts="\"'".__contains__))
-        add(True, _rule("punctuation", r"[\"'`]", lambda s: not s.code))
-    add(d.doubled_single_quotes, _rule("literal", _ONE_LINE_DOUBLED))
-    add(d.single_quote_strings, _rule("literal", _ONE_LINE_SINGLE))
-    add(d.shell_words, Rule("literal", _shell_string, starts='"'.__eq__))
-    add(True, _rule("literal", _quoted('"')), _rule("literal", _quoted("`")), _rule("literal", r"(?='(?:\\.{0,9}'|[^'\\\n]'))" + _quoted("'")))
-    add(d.regex_literals, Rule("literal", lambda s, limit: m.end() if _regex_ok(s) and (m := _REGEX_LITERAL.match(s.src, s.pos, limit)) else -1, starts="/".__eq__))
-    add(True, _rule("operator", f"[{regex.escape(OPERATORS)}]"), _rule("punctuation", "."))
-    return tuple(out)
+    return tuple(RULES[name] for name in d.rules)
 
 
 @lru_cache(maxsize=64)
@@ -359,7 +379,7 @@ def _first_chars(d: Dialect) -> dict[str, list[Rule]]:
 def _combined(d: Dialect) -> regex.Pattern | None:
     """All rules of a dialect as one pattern, if none of them looks at the state."""
     rules = _rules(d)
-    if d.fixed_columns or any(r.plain is None for r in rules):
+    if d.columns or any(r.plain is None for r in rules):
         return None
     return _re("|".join([f"(?P<gap>{GAP}++)", *(f"(?P<{r.cls}{n}>{r.plain})" for n, r in enumerate(rules))]))
 
@@ -389,6 +409,7 @@ class Lexer:
         self.out: list[Token] = []
         self.byte, self.line, self.col = 0, 1, 1
         self.gap = _re(GAP + "++")
+        self.markup, self.shell = dialect.has("<!--"), dialect.has("<<")
 
     def rules_at(self, first: str) -> list[Rule]:
         """The rules that can match at a character; rules without state are tried on it once and remembered."""
@@ -424,7 +445,7 @@ class Lexer:
         self.skip(end)
 
     def run(self, limit: int) -> None:
-        s, d = self.s, self.d
+        s = self.s
         while s.pos < limit:
             m = self.gap.match(s.src, s.pos, limit)
             if m:
@@ -435,7 +456,7 @@ class Lexer:
                 if s.heredocs and s.src[to - 1] == "\n":
                     self.heredoc_bodies(limit)
                 continue
-            markup_char = s.src[s.pos] if d.markup and not s.code else ""
+            markup_char = s.src[s.pos] if self.markup and not s.code else ""
             for rule in self.rules_at(s.src[s.pos]):
                 end = rule.find(s, limit)
                 if end > s.pos:
@@ -445,7 +466,7 @@ class Lexer:
                     s.tag = bool(_re(r"<[\p{Alphabetic}/!?]").match(s.src, s.pos, limit))
                 elif markup_char == ">":
                     s.tag = False
-            if d.shell_words and end == s.pos + 1:
+            if self.shell and end == s.pos + 1:
                 if s.src[s.pos] == "(":
                     s.parens.append(s.src.startswith("((", s.pos) or (bool(s.parens) and s.parens[-1]))
                 elif s.src[s.pos] == ")" and s.parens:
@@ -474,7 +495,7 @@ class Lexer:
 
     def fixed(self, limit: int) -> None:
         """Source in fixed columns, line by line: sequence area, indicator, code, identification area."""
-        s, cobol = self.s, self.d.fixed_columns == "cobol"
+        s, cobol = self.s, self.d.columns == "cobol"
         lead, last = (6, 72) if cobol else (5, 80)
         while s.pos < limit:
             start = s.pos
@@ -511,9 +532,9 @@ def tokenize(src: str, dialect: Dialect = DEFAULT) -> list[Token]:
         return _scan(src, combined)
     lexer = Lexer(src, dialect)
     free = bool(_FREE.match(src))
-    marks = [m.start() for m in (_DATA_FREE if free else _DATA_FIXED).finditer(src)] if dialect.rpg_compile_time_data else []
+    marks = [m.start() for m in (_DATA_FREE if free else _DATA_FIXED).finditer(src)] if dialect.columns == "rpg" else []
     end = marks[0] if marks else len(src)
-    if dialect.fixed_columns and not (dialect.fixed_columns == "rpg" and free):
+    if dialect.columns and not (dialect.columns == "rpg" and free):
         lexer.fixed(end)
     else:
         lexer.run(end)

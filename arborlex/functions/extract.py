@@ -72,6 +72,9 @@ def fallback(language: str) -> Extractor:
 
 #: Words that never are a declaration's type.
 NOT_TYPES = frozenset("return throw new else case goto import package using delete typeof await yield in is as if while for switch do try catch extends implements".split())
+#: What may follow a function's parameters.
+AFTER_PARAMETERS = frozenset("{ ; = : & - [ const default final noexcept override throw throws try volatile where requires".split())
+UNNAMED = {"indexer": "this"}
 GROUPS = {"(...)": "(", "[...]": "[", "{...}": "{"}
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
@@ -143,6 +146,8 @@ class Language:
     call_is_function: bool = False  # NAME (...) { is a function or method
     not_names: frozenset = frozenset()  # words that look like such a call but control flow
     version: int = 1
+    typed: bool = False  # functions have their type before the name, and their bodies aren't scanned
+    tilde: str | None = None  # what a function is called whose name follows ~
     member: str | None = None  # what an enum's members are called; they are declared by the words before ``,``
     member_ends: tuple[str, ...] = (",",)
     members_stop: str | None = None  # what ends the members before the body ends
@@ -165,23 +170,30 @@ class Scanner:
         self.fold = str.lower if lang.ignore_case else str
         self.opened_by = {b: a for a, b in self.close.items()}
         out: list[tuple[int, int, Symbol]] = []
-        open_: list[tuple[int, str]] = []
+        self.open_ = open_ = []  # last token, kind and name of what is open
         i = 0
         while i < len(code):
             while open_ and open_[-1][0] < i:
                 open_.pop()
+            made = self._function(i) if lang.typed else None
+            if made:
+                out.append(made[:3])
+                i = made[1] + 1
+                continue
             found = self._at(i, open_[-1][1] if open_ else None) if self._may_start(i) else None
             if found:
                 d, name_at, body, last, kind = found
                 first = self._first(i)
-                name = code[name_at].text if name_at is not None else (d.lang_kind or d.kind)
+                name = code[name_at].text if name_at is not None else UNNAMED.get(d.lang_kind) or d.lang_kind or d.kind
                 out.append((first, last, symbol(self._clean(name), kind, d.lang_kind, code[first], code[last])))
                 members, resume = self._enum(i, last) if lang.member else ([], i)
                 out += members
                 if last > i and (d.reach not in ("statement", "item", "line", "token", "group") or body is not None and kind == "type"):
-                    open_.append((last, kind if d.lang_kind != "impl" else "type"))
+                    open_.append((last, kind if d.lang_kind != "impl" else "type", self._clean(name)))
                     at = body if body is not None else name_at if name_at is not None else i
                     i = max(i, at if at < len(code) and code[at].text == "{" else at - 1)
+                elif lang.typed and d.reach == "statement" and kind in ("variable", "constant"):
+                    i = last  # initialisers declare nothing
                 elif name_at is not None:
                     i = max(i, name_at)
                 i = max(i, resume)
@@ -274,7 +286,7 @@ class Scanner:
                 continue
             kind = "method" if d.method and d.kind == "function" and inside == "type" else d.kind
             return d, name_at, body, last, kind
-        return self._call(i, inside) if self.lang.call_is_function else None
+        return self._call(i, inside) if self.lang.call_is_function and not self.lang.typed else None
 
     def _match(self, i: int, words: list[tuple[str, bool]]):
         code, name_at, k = self.code, None, 0
@@ -338,6 +350,98 @@ class Scanner:
         kind = "method" if inside == "type" else "function"
         return Decl("NAME", kind, kind), i, j, self.close[j], kind
 
+    def _head(self, i: int) -> int:
+        """The first token of a function's head: back from its name over its type, modifiers and annotations."""
+        code, j = self.code, i
+        while j > 0:
+            p = code[j - 1]
+            line = j - 1
+            while line and code[line - 1].start_line == p.start_line:
+                line -= 1
+            if p.cls == "literal" or code[line].text == "#" and p.start_line < code[j].start_line:
+                break
+            if p.text == "]" or p.text == ")" and self.opened_by.get(j - 1, 0) > 1 and code[self.opened_by[j - 1] - 2].text == "@":
+                if j - 1 not in self.opened_by:
+                    break
+                j = self.opened_by[j - 1]
+            elif p.text == ">":
+                depth, k = 0, j - 1
+                while k >= 0 and code[k].text not in ("{", "}", ";"):
+                    depth += {">": 1, "<": -1}.get(code[k].text, 0)
+                    if not depth:
+                        break
+                    k -= 1
+                if k < 0 or depth:
+                    break
+                j = k
+            elif p.cls == "identifier" and self.fold(p.text) not in NOT_TYPES or p.text in ("*", "&", "?", ".", "@", "~"):
+                j -= 1
+            elif p.text == ":" and j > 1 and code[j - 2].text == ":":
+                j -= 2
+            else:
+                break
+        return j
+
+    def _function(self, i: int):
+        """A function whose name, or the word operator, is token i: (first, last, symbol)."""
+        code, lang = self.code, self.lang
+        t, n = code[i], len(code)
+        if t.cls != "identifier" or not i and n < 3:
+            return None
+        at = i + 1
+        if t.text == "operator":
+            at += at + 1 < n and code[at].text == "(" and code[at + 1].text == ")" and 2
+            while at < n and code[at].text not in ("(", "{", ";", "}"):
+                at += 1
+        elif self.fold(t.text) in lang.keywords or self.fold(t.text) in lang.not_names:
+            return None
+        elif at < n and code[at].text == "<":
+            while at < n and code[at].text not in ("(", ")", "{", "}", ";", "="):
+                at += 1
+            if code[min(at, n - 1) - 1].text != ">":
+                return None
+        if at >= n or code[at].text != "(" or at not in self.close:
+            return None
+        before = code[i - 1].text if i else "}"
+        scoped = before == ":" and i > 1 and code[i - 2].text == ":"
+        nullable = before == "?" and lang.tilde == "finalizer"
+        if before == ":" and not scoped and (i < 2 or self.fold(code[i - 2].text) not in ("public", "private", "protected")):
+            return None
+        if not scoped and not nullable and before not in ("*", "&", ">", "]", "~", "{", "}", ";", ":", ")") and not (code[i - 1].cls == "identifier" and self.fold(before) not in NOT_TYPES):
+            return None
+        inside = self.open_[-1] if self.open_ else (n, None, "")
+        if inside[1] not in (None, "module", "type"):
+            return None
+        j = self.close[at] + 1
+        if j >= n or code[j].text not in AFTER_PARAMETERS or nullable and code[j].text == ":":
+            return None
+        while j < n and code[j].text not in ("{", ";", "=", ")", "}", "default"):
+            j = self.close.get(j, j) + 1
+        if j >= n or code[j].text in (")", "}"):
+            return None
+        body = code[j].text == "{"
+        owner = inside[2] if inside[1] == "type" else code[i - 3].text if scoped and i > 2 else None
+        if not body and inside[1] != "type":
+            return None
+        last = self.close.get(j) if body else next((k for k in self._jumps(j) if code[k].text == ";"), None)
+        if last is None:
+            return None
+        first, tilde = self._head(i), before == "~"
+        name = t.text
+        if t.text == "operator":
+            name += "".join((" " if code[k].start != code[k - 1].end or k == i + 1 and lang.tilde == "finalizer" else "") + code[k].text for k in range(i + 1, at))
+        kinds = "operator" if t.text == "operator" else lang.tilde if tilde else "constructor" if owner == name else "method" if owner is not None else "function"
+        if kinds == "destructor":
+            name = "~" + name
+        kind = "function" if owner is None else "method"
+        return first, last, symbol(name, kind, kinds, code[first], code[last], code[i - 3].text if scoped and i > 2 else None)
+
+    def _jumps(self, j: int):
+        """Tokens from j on, groups skipped, up to the end of the enclosing group."""
+        while j < len(self.code) and self.code[j].text not in CLOSE:
+            yield j
+            j = self.close.get(j, j) + 1
+
     def _reach(self, d: Decl, i: int, after: int):
         code, n = self.code, len(self.code)
         if d.reach == "file":

@@ -53,8 +53,8 @@ LANGUAGES = (
     Language("csharp", (
         Decl("namespace NAME * {|;", "module", "namespace"), *_types("class struct interface record enum"), Decl("delegate * (...)", "type", "delegate", "statement"),
         Decl("event * NAME ;|{", "variable", "event", "statement", _TYPES), Decl("const TYPE NAME", "constant", "const", "statement", _TYPES),
-        Decl("TYPE <...> [...]? ?? NAME {", "variable", "property", "group", _TYPES), Decl("TYPE <...> [...]? ?? NAME ;|=|,", "variable", "field", "statement", _TYPES),
-    ), KEYWORDS["csharp"], ("cs", "csx"), DIALECTS["csharp"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, member="enum_member"),
+        Decl("TYPE <...> [...]? ?? this [...] {", "variable", "indexer", "group", _TYPES), Decl("TYPE <...> [...]? ?? NAME {", "variable", "property", "group", _TYPES), Decl("TYPE <...> [...]? ?? NAME = >", "variable", "property", "statement", _TYPES), Decl("TYPE <...> [...]? ?? NAME ;|=|,", "variable", "field", "statement", _TYPES),
+    ), KEYWORDS["csharp"], ("cs", "csx"), DIALECTS["csharp"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, typed=True, tilde="finalizer", member="enum_member"),
     Language("javascript", (
         Decl("function *? NAME (...)", "function", "function"), Decl("class NAME", "type", "class"),
         Decl("const|let|var NAME = async? function", "function", "fn_expr", "statement"), Decl("const|let|var NAME = async? (...) = >", "function", "arrow_fn", "statement"), Decl("const|let|var NAME = async? TYPE = >", "function", "arrow_fn", "statement"),
@@ -62,8 +62,8 @@ LANGUAGES = (
     ), KEYWORDS["javascript"], ("js", "mjs", "cjs", "jsx"), DIALECTS["javascript"], modifiers=_w("export default async static"), call_is_function=True, not_names=_FLOW),
     Language("java", (
         Decl("package NAME", "module", "package", "file"), Decl("@ interface NAME", "type", "annotation"), *_types("class interface enum record"),
-        Decl("static final TYPE <...> [...]? NAME =|;|,", "constant", "constant", "statement", _TYPES), Decl("TYPE <...> [...]? NAME ;|=|,|[", "variable", "field", "statement", _TYPES), Decl("TYPE <...> [...]? NAME (...) ;", "method", "method", "statement", _TYPES),
-    ), KEYWORDS["java"], ("java",), DIALECTS["java"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, member="enum_constant", members_stop=";"),
+        Decl("static final TYPE <...> [...]? NAME =|;|,", "constant", "constant", "statement", _TYPES), Decl("TYPE <...> [...]? NAME ;|=|,|[", "variable", "field", "statement", _TYPES),
+    ), KEYWORDS["java"], ("java",), DIALECTS["java"], modifiers=_ACCESS, call_is_function=True, not_names=_FLOW, typed=True, member="enum_constant", members_stop=";"),
     Language("shell", (
         Decl("function NAME", "function", "function"), Decl("NAME ( ) {", "function", "function"), Decl("export NAME", "variable", "export", "line"), Decl("readonly NAME", "constant", "readonly", "line"),
         Decl("declare|typeset - x NAME", "variable", "declare", "line"), Decl("declare|typeset - r NAME", "constant", "declare", "line"),
@@ -87,7 +87,7 @@ LANGUAGES = (
     Language("c", (
         Decl("# define NAME", "other", "macro", "line"), *(Decl(f"typedef * {w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")), *(Decl(f"{w} NAME {{", "type", w, "statement") for w in ("struct", "union", "enum")),
         Decl("typedef struct|union|enum {...} NAME ;", "type", "typedef", "statement"), Decl("typedef TYPE PTR? PTR? NAME ;", "type", "typedef", "statement", _OUTER), Decl("const|constexpr TYPE PTR? PTR? NAME =|[", "constant", "const", "statement", _OUTER), Decl("TYPE PTR? PTR? NAME =|;|,|[", "variable", "variable", "statement", _OUTER),
-    ), KEYWORDS["c"], ("c", "h"), DIALECTS["c"], modifiers=_w("static inline extern unsigned signed const"), call_is_function=True, not_names=_FLOW, member="enumerator"),
+    ), KEYWORDS["c"], ("c", "h"), DIALECTS["c"], modifiers=_w("static inline extern unsigned signed const"), call_is_function=True, not_names=_FLOW, typed=True, tilde="destructor", member="enumerator"),
     Language("scala", (
         Decl("package NAME * {", "module", "package"), Decl("package NAME", "module", "package", "file"), Decl("case object NAME", "module", "case object"), Decl("object NAME", "module", "object"), Decl("case class NAME", "type", "case class"), *_types("class trait enum"),
         Decl("type NAME", "type", "type", "line"), Decl("given NAME", "type", "given", "line"), Decl("def NAME", "function", "def", "line", method=True), Decl("val NAME", "variable", "val", "line"), Decl("var NAME", "variable", "var", "line"), Decl("case NAME", "constant", "case", "token", _TYPES),
@@ -105,7 +105,7 @@ _TS = replace(
 )
 _CPP = replace(
     _BY_NAME["c"], name="cpp", extensions=("cpp", "cc", "cxx", "hpp", "hh", "hxx", "ipp"), keywords=KEYWORDS["cpp"],
-    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("~ NAME (...)", "method", "destructor", "brace", _TYPES), Decl("TYPE NAME (...) ;|const|override|{", "method", "method", "brace", _TYPES), Decl("TYPE <...> PTR? PTR? NAME ;|=|{|,|[", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
+    decls=(Decl("namespace NAME", "module", "namespace"), Decl("class NAME", "type", "class"), Decl("enum class|struct NAME", "type", "enum"), Decl("using NAME =", "type", "using", "statement"), Decl("TYPE <...> PTR? PTR? NAME ;|=|{|,|[", "variable", "field", "statement", _TYPES), *_BY_NAME["c"].decls),
 )
 
 

@@ -101,7 +101,8 @@ def derived(symbols: list[dict], tokens: list[dict], encoding: str, lossy: bool)
 def spread(rows: DataFrame) -> DataFrame:
     """rows, dealt over all cores if their source has fewer splits than that; lexing costs far more than moving a text.
 
-    A large source has more splits than cores and stays as it is.
+    A large source has more splits than cores and stays as it is.  For plain scans only: to count the splits of
+    anything with a shuffle in it, Spark runs that shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
@@ -113,7 +114,6 @@ def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     kinds = {"content": "binary", "strict": "boolean"}
     rows = files.select(*((F.col(c) if c in files.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in INPUT))
     rows = rows.withColumn("path", C.normalize_path(F.col("path")))
-    rows = spread(rows)
     target = T.StructType.fromDDL(PREPARED)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sample_queries
 from .functions import columns as C
 from .functions.patterns import parse
 from .operators import catalog as K
@@ -419,7 +420,7 @@ def html_tokens(spark, sf):
 def ingest_documents(spark, sf):
     """Decode, detect, fingerprint, lex, extract and arrange every document: files, tokens and terms by source."""
     raw = TB.table(spark, sf, "documents").select(F.col("source").alias("org"), F.col("lang").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    done = prepare(raw)
+    done = prepare(spread(raw))
     return done.groupBy("org", "status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("postings")).alias("terms"))
 
 
@@ -458,6 +459,13 @@ def owner_same_file(spark, sf):
     return search(here, Query("foo", "class")).select(F.col("file").alias("path"), "symbol", "count")
 
 
+def _put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name], SQL[name] = run, sql
+
+
+sample_queries.register(_put)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

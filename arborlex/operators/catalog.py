@@ -87,18 +87,24 @@ def extractor_gaps(g: Graph, registered: list[str]) -> DataFrame:
     return describe(g).where("symbols > 0").join(F.broadcast(have), "language", "left_anti").select("org", "repo", "language", "files", "symbols")
 
 
+NAMED = 50  # values that a refusal lists
+
+
 def check_filters(g: Graph, language: str | None = None, org: str | None = None, repo: str | None = None, kind: str | None = None) -> None:
-    """Raises for a filter value that nothing has, naming what there is (the catalog holds few rows)."""
+    """Raises for a filter value that nothing has, naming the first NAMED of those that there are."""
     counters = g.catalog if g.catalog is not None else catalog(g)
+
+    def refuse(what: str, value: str, values: DataFrame) -> None:
+        known = [r[0] for r in values.distinct().orderBy(values.columns[0]).limit(NAMED + 1).collect()]
+        raise ValueError(f"no {what} {value!r}; there are: {', '.join(known[:NAMED])}{', ...' if len(known) > NAMED else ''}")
+
     for column, value in (("language", language and language.lower()), ("org", org), ("repo", repo)):
-        if value is not None:
-            known = sorted(r[0] for r in counters.select(column).distinct().limit(1000).collect())
-            if value not in known:
-                raise ValueError(f"no {column} {value!r}; there are: {', '.join(known)}")
+        if value is not None and counters.where(F.col(column) == value).isEmpty():
+            refuse(column, value, counters.select(column))
     if kind is not None:
-        known = sorted({part for r in counters.where("what = 'symbol_kind'").select("label").distinct().limit(1000).collect() for part in r[0].split("/")})
-        if kind.lower() not in (k.lower() for k in known):
-            raise ValueError(f"no symbol kind {kind!r}; there are: {', '.join(known)}")
+        kinds = counters.where("what = 'symbol_kind'").select(F.explode(F.split("label", "/")).alias("kind"))
+        if kinds.where(F.lower("kind") == kind.lower()).isEmpty():
+            refuse("symbol kind", kind, kinds)
 
 
 def dictionary(g: Graph) -> DataFrame:

@@ -6,9 +6,12 @@ recursion: a file's nodes share its key columns, and inside a file spans nest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..plans.graph import FILE_KEY, Graph
 
 
@@ -17,13 +20,47 @@ def pre_order() -> tuple:
     return (F.col("org"), F.col("repo").asc_nulls_first(), F.col("path").asc_nulls_first(), F.coalesce("start", F.lit(-1)), F.when(F.col("kind") == "token", 1).otherwise(0), F.desc("end"), F.col("seq"), F.col("key"))
 
 
+@dataclass(frozen=True)
+class Place:
+    """What a key says of its node: conditions on base columns, which reach the scans, with the key itself as the last word.
+
+    Names may hold slashes, so where the organisation ends is left open: any prefix of the rest may be its name.
+    """
+
+    kind: str
+    index: int | None
+    parts: tuple[str, ...]
+
+    @classmethod
+    def of(cls, key: str) -> Place:
+        kind, _, rest = key.partition("/")
+        index = None
+        if kind in ("symbol", "token"):
+            number, _, rest = rest.partition("@")
+            index = int(number) if number.isdigit() else -1
+        return cls(kind, index, tuple(rest.split("/")))
+
+    def container(self) -> Column:
+        """The condition that a row's organisation and file are the key's."""
+        n = len(self.parts)
+        if self.kind == "org":
+            return F.col("org") == "/".join(self.parts)
+        orgs = ["/".join(self.parts[:i]) for i in range(1, n)]
+        where = F.col("org").isin(orgs or [""])
+        if self.kind == "repo":
+            return where & F.col("repo").isin(["/".join(self.parts[i:]) for i in range(1, n)] or [""])
+        return where & F.col("path").isin(["/".join(self.parts[i:]) for i in range(2, n)] or [""])
+
+
 def node(nodes: DataFrame, key: str) -> DataFrame:
-    return nodes.where(F.col("key") == key)
+    p = Place.of(key)
+    return nodes.where((F.col("kind") == p.kind) & p.container() & (F.col("key") == key))
 
 
 def parent(nodes: DataFrame, key: str) -> DataFrame:
-    up = node(nodes, key).select(F.col("parent").alias("key"))
-    return nodes.join(up, "key", "left_semi")
+    """The node above; its key is fetched first, so that finding it is a look-up too."""
+    up = node(nodes, key).select("parent").first()
+    return node(nodes, up[0]) if up and up[0] else nodes.limit(0)
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -44,24 +81,39 @@ def page_with_more(df: DataFrame, limit: int, offset: int = 0) -> tuple[list, bo
 
 def children(nodes: DataFrame, key: str, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Direct children: repositories and files by first appearance, what a file holds in source order."""
-    return page(nodes.where(F.col("parent") == key).orderBy("seq", F.desc("end"), "name", "key"), offset, limit)
+    p = Place.of(key)
+    below = nodes.where(F.col("kind").isin(*S.CONTAINS.get(p.kind, ()) or [""]) & p.container() & (F.col("parent") == key))
+    return page(below.orderBy("seq", F.desc("end"), "name", "key"), offset, limit)
 
 
 def descendants(nodes: DataFrame, key: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Everything below a node in depth-first source order."""
-    top = node(nodes, key).select(*(F.col(c).alias(f"top_{c}") for c in ("key", "kind", "org", "repo", "path", "start", "end", "seq")))
-    same = lambda c: F.col(c) == F.col(f"top_{c}")
-    in_symbol = same("repo") & same("path") & F.col("start").isNotNull() & (F.col("start") >= F.col("top_start")) & (F.col("start") < F.col("top_end"))
-    deeper = (F.col("kind") == "token") | (F.col("start") > F.col("top_start")) | (F.col("end") < F.col("top_end")) | (F.col("key") > F.col("top_key"))
-    below = (
-        F.when(F.col("top_kind") == "org", F.col("kind") != "org")
-        .when(F.col("top_kind") == "repo", same("repo") & F.col("kind").isin("file", "symbol", "token"))
-        .when(F.col("top_kind") == "file", same("repo") & same("path") & F.col("kind").isin("symbol", "token"))
-        .when(F.col("top_kind") == "symbol", in_symbol & deeper & (F.col("key") != F.col("top_key")))
-        .otherwise(False)
-    )
-    found = nodes.join(F.broadcast(top), same("org")).where(below).select(*nodes.columns)
-    return page(found.orderBy(*pre_order()), offset, limit)
+    """Everything below a node in depth-first source order; the node itself is fetched first, what is below it by conditions on columns."""
+    top = node(nodes, key).first()
+    if top is None or top["kind"] == "token":
+        return nodes.limit(0)
+    below = F.col("org") == top["org"]
+    if top["kind"] == "org":
+        below = below & (F.col("kind") != "org")
+    else:
+        below = below & (F.col("repo") == top["repo"])
+        if top["kind"] == "repo":
+            below = below & F.col("kind").isin("file", "symbol", "token")
+        else:
+            below = below & (F.col("path") == top["path"]) & F.col("kind").isin("symbol", "token")
+    if top["kind"] == "symbol":
+        start, end = F.col("start"), F.col("end")
+        deeper = (F.col("kind") == "token") | (start > top["start"]) | (end < top["end"]) | (F.col("key") > key)
+        below = below & (start >= top["start"]) & (start < top["end"]) & deeper & (F.col("key") != key)
+    return page(nodes.where(below).orderBy(*pre_order()), offset, limit)
+
+
+def tokens_of(g: Graph, org: str, repo: str, path: str, sidx: int) -> DataFrame:
+    """A symbol's tokens by the range of ordinals that it keeps: a range read of one file, no walk over the tree."""
+    one = lambda df: df.where((F.col("org") == org) & (F.col("repo") == repo) & (F.col("path") == path))
+    at = one(g.symbols).where(F.col("sidx") == sidx).select("first_tok", "last_tok").first()
+    if at is None or at[0] is None:
+        return g.tokens.limit(0)
+    return one(g.tokens).where(F.col("ordinal").between(at[0], at[1])).orderBy("ordinal")
 
 
 def ancestors(g: Graph, kind: str, org: str, repo: str | None = None, path: str | None = None, index: int | None = None) -> DataFrame:

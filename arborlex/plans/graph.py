@@ -4,8 +4,8 @@ Spans decide everything.  Symbols are numbered by (start, end descending,
 order of emission), tokens by start; an item's parent is the symbol with the
 largest number that starts at or before it and ends after its start.  For
 valid spans that equals the innermost open symbol of a left-to-right sweep.
-The sweep runs per file inside an Arrow function (:func:`arrange`); the range
-join (:func:`containment_join`) is the same relation declaratively.
+The sweep runs per file inside an Arrow function (:func:`arrange`);
+:func:`containment` is the same relation with window functions.
 """
 
 from __future__ import annotations
@@ -108,12 +108,26 @@ def enclosing(symbols: list[dict], starts: list[int]) -> list[int | None]:
     return out
 
 
-def containment_join(symbols: DataFrame, items: DataFrame, key: list[str], item: str) -> DataFrame:
-    """(key, item, parent_sidx): the innermost symbol around each item, as an equi-join on the file and a range filter."""
-    s = symbols.select(*key, "sidx", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    inside = (F.col("s_start") <= F.col("start")) & (F.col("start") < F.col("s_end"))
-    joined = items.join(s, key, "left").withColumn("in", F.when(inside, F.col("sidx")))
-    return joined.groupBy(*key, item).agg(F.max("in").alias("parent_sidx"))
+def containment(symbols: DataFrame, items: DataFrame, key: list[str], item: str) -> DataFrame:
+    """(key, item, parent_sidx): the innermost symbol around each item, in one pass over a file's events by place.
+
+    A symbol's start opens a level and its end closes it; an item belongs to the last symbol that opened the level it
+    is on.  One shuffle by file, two sorts, and never more rows than symbols and items together.
+    """
+    none = F.lit(None)
+    at = lambda df, pos, rank, tie, sidx, level, what: df.select(*key, pos.alias("pos"), F.lit(rank).alias("rank"), tie.cast("bigint").alias("tie"), sidx.cast("int").alias("sidx"), F.lit(level).alias("level"), what.alias("item"))
+    kind = items.schema[item].dataType
+    spans = symbols.where(F.col("start") < F.col("end"))
+    events = (
+        at(spans, F.col("start"), 1, -F.col("end"), F.col("sidx"), 1, none.cast(kind))
+        .unionByName(at(spans, F.col("end"), 0, none, none, -1, none.cast(kind)))
+        .unionByName(at(items, F.col("start"), 2, none, none, 0, F.col(item)))
+    )
+    order = ("pos", "rank", "tie", "sidx")
+    until_here = Win.partitionBy(*key).orderBy(*order).rowsBetween(Win.unboundedPreceding, 0)
+    on_level = Win.partitionBy(*key, "depth").orderBy(*order).rowsBetween(Win.unboundedPreceding, 0)
+    placed = events.withColumn("depth", F.sum("level").over(until_here)).withColumn("opener", F.last("sidx", ignorenulls=True).over(on_level))
+    return placed.where("rank = 2").select(*key, F.col("item").alias(item), F.when(F.col("depth") > 0, F.col("opener")).alias("parent_sidx"))
 
 
 def postings(g: Graph) -> DataFrame:

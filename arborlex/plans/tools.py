@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Win
-from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from ..operators.scope import Scope, scoped
@@ -30,11 +29,17 @@ class BadArgument(ValueError):
         self.code = code
 
 
-def capped(df: DataFrame, order: list, most_bytes: int) -> DataFrame:
-    """The leading rows whose JSON stays within most_bytes together; at least one row."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    running = Win.orderBy(*order).rowsBetween(Win.unboundedPreceding, 0)
-    return df.withColumn("bytes_", F.sum(size).over(running)).withColumn("nth_", F.row_number().over(Win.orderBy(*order))).where((F.col("bytes_") <= most_bytes) | (F.col("nth_") == 1)).drop("bytes_", "nth_")
+PAGE_BYTES = 1 << 20
+
+
+def capped(rows: list[dict], most_bytes: int) -> list[dict]:
+    """The leading rows of a page whose JSON stays within most_bytes together; at least one row."""
+    total = 0
+    for n, r in enumerate(rows):
+        total += len(json.dumps(r, ensure_ascii=False, default=str).encode())
+        if n and total > most_bytes:
+            return rows[:n]
+    return rows
 
 
 class Tools:
@@ -69,8 +74,9 @@ class Tools:
     @staticmethod
     def _page(df: DataFrame, limit: int, offset: int) -> Page:
         rows = [r.asDict(recursive=True) for r in df.collect()]
-        more = len(rows) > limit
-        return Page(rows[:limit], more, offset + limit if more else None)
+        own = capped(rows[:limit], PAGE_BYTES)
+        more = len(rows) > len(own)
+        return Page(own, more, offset + len(own) if more else None)
 
     def describe(self, org: str | None = None, repo: str | None = None) -> list[dict]:
         self._named("describe", org, repo)

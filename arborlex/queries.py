@@ -340,7 +340,7 @@ def edge_validity(spark, sf):
 def containment_build(spark, sf):
     g = tree(spark, sf)
     items = g.tokens.select(*G.FILE_KEY, "ordinal", "start")
-    parents = G.containment_join(g.symbols, items, G.FILE_KEY, "ordinal").join(items, [*G.FILE_KEY, "ordinal"])
+    parents = G.containment(g.symbols, items, G.FILE_KEY, "ordinal").join(items, [*G.FILE_KEY, "ordinal"])
     named = parents.join(g.symbols.select(*G.FILE_KEY, F.col("sidx").alias("parent_sidx"), (F.col("start") / 100).cast("bigint").alias("o_orderkey")), [*G.FILE_KEY, "parent_sidx"])
     return named.groupBy(*G.FILE_KEY, "start", "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,12 +5,17 @@ those it removes) and then a manifest that lists all segments.  The newest
 segment that names a file decides about it; older rows drop out by a semi
 join with the live keys.  A manifest is created exclusively, so of two
 concurrent writers one fails; a reader pins a manifest, which is a snapshot.
-``compact`` rewrites the live rows into one segment.
+``compact`` rewrites the live rows into one segment and then deletes segments
+that no manifest names which a snapshot may still hold.  Tables are partitioned
+by organisation and repository, so a query for one reads that one only.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -30,9 +35,22 @@ from ..plans.graph import FILE_KEY, Graph, postings
 TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "tokens": S.TOKENS, "postings": S.POSTINGS, "counters": S.COUNTERS}
 #: What each table is sorted by inside its files, so that row groups are skipped by their statistics.
 SORTED = {"files": FILE_KEY, "symbols": ["name_fold", *FILE_KEY], "tokens": [*FILE_KEY, "ordinal"], "postings": ["text", *FILE_KEY], "counters": FILE_KEY}
+PARTS = ["org", "repo"]
 SNAPSHOT_SECONDS = 15 * 60
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; only a local session that names none gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="arborlex-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Conflict(RuntimeError):
     """Another writer committed first."""
 
@@ -156,11 +174,18 @@ class Store:
         base = [read(n) for n in ("files", "symbols", "tokens", "postings")]
         return Graph(*base, counters_of(read("counters")))
 
+    def _part(self, segment: str, name: str) -> DataFrame:
+        schema = TABLES[name]
+        fs, p = self._fs(f"{self.root}/segments/{segment}/{name}")
+        if not any(f.isDirectory() for f in fs.listStatus(p)):  # no partition: no rows
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/segments/{segment}/{name}").select(*schema.names)
+
     def _read(self, m: Manifest, live: DataFrame | None, name: str) -> DataFrame:
         schema = TABLES[name]
         out = None
         for n, s in enumerate(m.segments):
-            part = self.spark.read.schema(schema).parquet(f"{self.root}/segments/{s}/{name}").withColumn("nth", F.lit(n))
+            part = self._part(s, name).withColumn("nth", F.lit(n))
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], schema)
@@ -181,10 +206,12 @@ class Store:
         empty = self.spark.createDataFrame([], key_schema)
         for table, schema in TABLES.items():
             df = rows[table].select(*schema.names) if rows is not None else self.spark.createDataFrame([], schema)
-            if clustered:  # a compaction also brings what is read together into the same files
-                df = df.repartitionByRange(*SORTED[table])
-            df.sortWithinPartitions(*SORTED[table]).write.parquet(f"{base}/{table}")
-        added = self.spark.read.parquet(f"{base}/files").select(*FILE_KEY, F.lit(False).alias("gone"))
+            inner = [c for c in SORTED[table] if c not in PARTS]
+            # a compaction brings what is read together into the same files; else rows of one repository come together,
+            # and adaptive execution splits a large one
+            df = df.repartitionByRange(*PARTS, *inner) if clustered else df.hint("rebalance", *PARTS)
+            df.sortWithinPartitions(*PARTS, *inner).write.partitionBy(*PARTS).parquet(f"{base}/{table}")
+        added = self._part(name, "files").select(*FILE_KEY, F.lit(False).alias("gone"))
         removed = (gone if gone is not None else empty).select(*FILE_KEY, F.lit(True).alias("gone"))
         added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{base}/keys")
         return name
@@ -195,8 +222,8 @@ class Store:
     def upsert(self, files: DataFrame, reindex: bool = False, stream: tuple[str, int] | None = None) -> DataFrame:
         """Indexes files (org, repo, path, content, ...) and returns an outcome for each input row.
 
-        Of rows with one normalised path the last (by ``seq`` if there is such a column, else by content)
-        wins; the others are "superseded".  Files whose content, language and extractor version are
+        Of rows with one normalised path the last (by ``seq`` if there is such a column, then by the content's
+        hash) wins; the others are "superseded".  Files whose content, language and extractor version are
         unchanged are not parsed, unless ``reindex``.  With ``stream`` = (name, batch), a batch that was
         committed already does nothing.
         """
@@ -205,19 +232,28 @@ class Store:
             return self.spark.createDataFrame([], "org string, repo string, path string, status string, replaced boolean, symbols bigint, tokens bigint, note string")
         known = self.fingerprints().withColumnRenamed("fingerprint", "old").withColumnRenamed("origin", "old_origin")
         rows = files.withColumn("path", C.normalize_path(F.col("path")))
-        order = [F.desc("seq")] if "seq" in files.columns else [F.desc(F.sha2("content", 256))]
-        rows = rows.withColumn("nth", F.row_number().over(Win.partitionBy(*FILE_KEY).orderBy(*order)))
-        first = rows.where("nth = 1").join(known, FILE_KEY, "left")
+        own = (F.col("seq").cast("bigint") if "seq" in files.columns else F.lit(0).cast("bigint")).alias("own_seq")
+        marks = [own, F.sha2("content", 256).alias("own_hash")]
+        rows = rows.withColumns({"own_seq": marks[0], "own_hash": marks[1], "own_language": F.lower("language") if "language" in files.columns else F.lit(None).cast("string")})
+        # who wins, and who is unchanged, is found on keys and hashes; contents move once, and only those to be parsed
+        heads = rows.select(*FILE_KEY, "own_seq", "own_hash", "own_language").groupBy(*FILE_KEY).agg(F.max(F.struct("own_seq", "own_hash", "own_language")).alias("top"), F.count(F.lit(1)).alias("copies"))
+        heads = heads.select(*FILE_KEY, "top.*", "copies").join(known, FILE_KEY, "left")
         # the cheap test before parsing: same bytes, same language, same extractor version
         old_hash = F.regexp_extract("old", r"^sha256:([0-9a-f]+)\|", 1)
         old_lang = F.regexp_extract("old", r"^sha256:[0-9a-f]+\|([^|]*)\|", 1)
         versions = F.create_map(*(x for k, e in self.registry.by_language.items() for x in (F.lit(k), F.lit(e.version))))
-        same_language = F.lit(True) if "language" not in files.columns else F.col("language").isNull() | (F.lower("language") == old_lang)
-        same = F.coalesce((old_hash == F.sha2("content", 256)) & (C.fingerprint_version(F.col("old")) == F.coalesce(F.try_element_at(versions, old_lang), F.lit(0))) & same_language, F.lit(False))
-        unchanged = first.where(same) if not reindex else first.limit(0)
-        todo = first.where(~same) if not reindex else first
+        same = (old_hash == F.col("own_hash")) & (C.fingerprint_version(F.col("old")) == F.coalesce(F.try_element_at(versions, old_lang), F.lit(0))) & (F.col("own_language").isNull() | (F.col("own_language") == old_lang))
+        heads = heads.withColumn("same", F.lit(False) if reindex else F.coalesce(same, F.lit(False)))
+        staged = f"{self.root}/staging/{uuid.uuid4().hex}-heads"
+        heads.write.parquet(staged)
+        heads = self.spark.read.parquet(staged)
+        unchanged = heads.where("same")
+        win = heads.where("not same").select(*FILE_KEY, "own_seq", "own_hash", F.col("own_language").alias("win_language"), "copies")
+        todo = rows.join(win, [*FILE_KEY, "own_seq", "own_hash"]).where(F.col("own_language").eqNullSafe(F.col("win_language")))
+        once = todo.where("copies = 1")
+        todo = once.unionByName(todo.where("copies > 1").dropDuplicates(FILE_KEY)).select(*rows.columns).drop("own_seq", "own_hash", "own_language")
         base = f"{self.root}/staging/{uuid.uuid4().hex}"
-        prepare(todo.drop("nth", "old", "old_origin"), self.registry).write.parquet(base)
+        prepare(todo, self.registry).write.parquet(base)
         done = self.spark.read.parquet(base)
         numbered = done.withColumn("seq", F.lit(m.next_seq).cast("bigint"))
         segment = self._write_segment(segment_rows(numbered), None)
@@ -229,7 +265,8 @@ class Store:
         out = done.join(replaced, FILE_KEY, "left").select(*FILE_KEY, "status", F.coalesce("replaced", F.lit(False)).alias("replaced"), F.size("symbols").cast("bigint").alias("symbols"), F.size("tokens").cast("bigint").alias("tokens"), "note")
         none = F.lit(None).cast("string").alias("note")
         zero = F.lit(0).cast("bigint")
-        for part, status in ((unchanged, "unchanged"), (rows.where("nth > 1"), "superseded")):
+        beaten = heads.where("copies > 1").select(*FILE_KEY, F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
+        for part, status in ((unchanged, "unchanged"), (beaten, "superseded")):
             out = out.unionByName(part.select(*FILE_KEY, F.lit(status).alias("status"), F.lit(False).alias("replaced"), zero.alias("symbols"), zero.alias("tokens"), none))
         out.write.parquet(f"{base}-outcomes")  # before the commit: afterwards everything would be unchanged
         self._commit(m)
@@ -303,24 +340,56 @@ class Store:
         m = self.manifest()
         every = None
         for s in m.segments:
-            part = self.spark.read.parquet(f"{self.root}/segments/{s}/tokens").select("text")
+            part = self._part(s, "tokens").select("text")
             every = part if every is None else every.union(part)
         if every is None:
             return self.spark.createDataFrame([], "text string")
         return every.distinct().join(self.graph().tokens.select("text").distinct(), "text", "left_anti")
 
-    def vacuum(self) -> int:
+    def vacuum(self, grace: float = SNAPSHOT_SECONDS) -> int:
         """Drops what is dead by compacting; returns the number of dead terms."""
         n = self.dead_terms().count()
-        self.compact()
+        self.compact(grace)
         return n
 
-    def compact(self) -> None:
-        """Rewrites the live rows into one segment; readers of older manifests keep theirs."""
+    def compact(self, grace: float = SNAPSHOT_SECONDS) -> None:
+        """Rewrites the live rows into one segment and deletes what no reader can hold any more.
+
+        Readers pin a manifest for SNAPSHOT_SECONDS at most; manifests older than ``grace`` seconds go, but for the
+        newest, and then segments and staged files that no manifest left names.
+        """
         m = self.manifest()
         if m.segments:
             m.segments = [self._write_segment(self._rows(), None, clustered=True)]
             self._commit(m)
+        self._sweep(grace)
+
+    def _sweep(self, grace: float) -> None:
+        fs, p = self._fs(f"{self.root}/manifests")
+        old = {int(f.getPath().getName().split(".")[0]): f for f in fs.listStatus(p)} if fs.exists(p) else {}
+        now, named = time.time() * 1000, set()
+        for version, f in sorted(old.items()):
+            if version < max(old) and now - f.getModificationTime() >= grace * 1000:
+                fs.delete(f.getPath(), False)
+            else:
+                named.update(self._read_manifest(version).segments)
+        for folder in ("segments", "staging"):
+            fs, p = self._fs(f"{self.root}/{folder}")
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName() not in named and now - f.getModificationTime() >= grace * 1000:
+                    fs.delete(f.getPath(), True)
+
+    def inconsistent(self) -> DataFrame:
+        """(what, side, rows): how the stored postings and counters differ from the base tables; no rows if they agree."""
+        g, out = self.graph(), None
+        for what, stored, fresh in (("postings", g.postings, postings(g)), ("counters", self._counters().groupBy(*S.COUNTERS.names[:-1]).agg(F.sum("count").alias("count")), file_counters(g))):
+            part = K.differences(stored, fresh.select(*stored.columns)).groupBy("side").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(what).alias("what"), "side", "rows")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def file_tokens(self, org: str, repo: str, path: str, first: int, last: int) -> DataFrame:
+        """A file's tokens with ordinals first to last: one partition, and of its files the row groups that hold them."""
+        return self.graph().tokens.where((F.col("org") == org) & (F.col("repo") == repo) & (F.col("path") == path) & F.col("ordinal").between(first, last)).orderBy("ordinal")
 
     def space(self) -> DataFrame:
         """(segment, bytes, live)."""

@@ -75,10 +75,10 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents", with_li
     lines = docs.select(*base, F.posexplode(F.split("body", "\n", -1)).alias("line", "content"))
     words = lines.select(*base, "line", F.posexplode(C.words(F.col("content"))).alias("nth", "text"))
     # the pair (line, word) orders a file's tokens, so it stands for start and ordinal
-    place = F.col("line").cast("bigint") * 1_000_000
+    place = F.shiftleft(F.col("line").cast("bigint"), 32)
     tokens = words.withColumns(spans | {"class": F.lit("identifier"), "parent_sidx": F.col("line"), "ordinal": F.col("nth"), "start": place + F.col("nth"), "end": place + F.col("nth") + 1, "start_line": F.col("line").cast("bigint") + 1})
     held = lines.where(F.col("content").rlike(C.WORD))
-    symbols = held.withColumns(spans | {"sidx": F.col("line"), "name": F.concat(F.lit("L"), F.col("line").cast("string")), "kind": F.lit("other"), "lang_kind": F.lit("line"), "owner": F.lit(None).cast("string"), "start": place, "end": place + 1_000_000, "start_line": F.col("line").cast("bigint") + 1, "parent_sidx": F.lit(None).cast("int"), "depth": F.lit(0), "first_tok": F.lit(None).cast("int"), "last_tok": F.lit(None).cast("int"), "dir": F.lit("doc")})
+    symbols = held.withColumns(spans | {"sidx": F.col("line"), "name": F.concat(F.lit("L"), F.col("line").cast("string")), "kind": F.lit("other"), "lang_kind": F.lit("line"), "owner": F.lit(None).cast("string"), "start": place, "end": place + (1 << 32), "start_line": F.col("line").cast("bigint") + 1, "parent_sidx": F.lit(None).cast("int"), "depth": F.lit(0), "first_tok": F.lit(None).cast("int"), "last_tok": F.lit(None).cast("int"), "dir": F.lit("doc")})
     symbols = symbols.withColumns({"name_fold": C.ascii_fold(F.col("name")), "qualified": F.col("name"), "chain": _self_chain()})
     return Graph(files, symbols.select(*S.SYMBOLS.names), tokens.select(*S.TOKENS.names)).with_derived()
 

@@ -1,7 +1,7 @@
 """Directories as files to index, with the reasons for what is skipped.
 
 The listing is the driver's (it follows .gitignore files, which need the tree);
-contents are read by the executors through Spark's binary source.
+contents are read by the executors, which need to see the folder.
 """
 
 from __future__ import annotations
@@ -128,15 +128,24 @@ def encoding_of(path: str, rules: list[tuple[re.Pattern, str]]) -> str | None:
     return None if label == "auto" else label
 
 
+READ_BYTES = 8 << 20
+
+
 def _open(batches):
+    """Adds the contents of the listed files, some megabytes at a time."""
     import pyarrow as pa
 
     for batch in batches:
-        contents = []
-        for name in batch.column("full").to_pylist():
-            with open(name.removeprefix("file:"), "rb") as f:
+        begin, contents, held = 0, [], 0
+        names = batch.column("full").to_pylist()
+        for i, name in enumerate(names):
+            with open(name, "rb") as f:
                 contents.append(f.read())
-        yield pa.RecordBatch.from_arrays([batch.column("full"), pa.array(contents, pa.binary())], names=["full", "content"])
+            held += len(contents[-1])
+            if held >= READ_BYTES or i + 1 == len(names):
+                piece = batch.slice(begin, len(contents))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(contents, pa.binary())], names=["rel", "full", "encoding", "content"])
+                begin, contents, held = i + 1, [], 0
 
 
 def directory(spark: SparkSession, root: str, org: str, repo: str) -> tuple[DataFrame, DataFrame]:
@@ -148,18 +157,13 @@ def directory(spark: SparkSession, root: str, org: str, repo: str) -> tuple[Data
         with open(config, encoding="utf-8") as f:
             rules = encoding_rules(f.read())
     skipped = spark.createDataFrame([(f.path, f.reason) for f in found if f.reason], "path string, reason string")
-    wanted = [(f.path, "file:" + os.path.abspath(f.full), encoding_of(f.path, rules)) for f in found if not f.reason]
+    wanted = [(f.path, os.path.abspath(f.full), encoding_of(f.path, rules)) for f in found if not f.reason]
     schema = "org string, repo string, path string, content binary, origin string, encoding string"
     if not wanted:
         return spark.createDataFrame([], schema), skipped
     listed = spark.createDataFrame(wanted, "rel string, full string, encoding string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Spark's listing leaves out names that start with a dot or an underscore; the executors open those themselves
-    hidden = [(full,) for rel, full, _ in wanted if any(part[0] in "._" for part in rel.split("/"))]
-    raw = raw.select(F.regexp_replace("path", "^file:/+", "file:/").alias("full"), "content")
-    if hidden:
-        raw = raw.unionByName(spark.createDataFrame(hidden, "full string").mapInArrow(_open, "full string, content binary")).dropDuplicates(["full"])
-    files = raw.join(F.broadcast(listed), "full") if len(wanted) < 100_000 else raw.join(listed, "full")
+    # wanted files only are opened: what is ignored or too large is never read
+    files = listed.mapInArrow(_open, "rel string, full string, encoding string, content binary")
     return files.select(F.lit(org).alias("org"), F.lit(repo).alias("repo"), F.col("rel").alias("path"), "content", F.lit("directory").alias("origin"), "encoding"), skipped
 
 

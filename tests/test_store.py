@@ -156,6 +156,30 @@ def test_stored_counters_equal_a_scan(spark, tmp_path):
     assert differences(g.postings, postings(g)).count() == 0
 
 
+def test_partitions_dead_segments_and_consistency(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.py", "x = 1\n"), ("o", "q", "b.txt", "a b"), ("p", "r", "c.txt", "c d e")))
+    s.upsert(frame(spark, ("o", "r", "a.py", "y = 2\n")))
+    plan = s.graph().tokens.where("org = 'p'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(org" in plan
+    assert s.inconsistent().count() == 0
+    held = {r["segment"] for r in s.space().collect()}
+    pinned = s.snapshot()
+    s.compact()
+    assert held < {r["segment"] for r in s.space().collect()} and pinned.graph().files.count() == 3
+    s.vacuum(grace=0)
+    assert [r["live"] for r in s.space().collect()] == [True] and s.graph().files.count() == 3 and s.dead_terms().count() == 0
+    assert [r["text"] for r in s.file_tokens("p", "r", "c.txt", 1, 2).collect()] == ["d", "e"]
+
+
+def test_upsert_takes_the_last_of_repeated_rows(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    rows = [("o", "r", "x.txt", b"one", 1), ("o", "r", "./x.txt", b"two", 3), ("o", "r", "x.txt", b"two", 3), ("o", "r", "x.txt", b"three", 2)]
+    out = s.upsert(spark.createDataFrame(rows, "org string, repo string, path string, content binary, seq long"))
+    assert sorted(r["status"] for r in out.collect()) == ["ok", "superseded", "superseded", "superseded"]
+    assert [r["text"] for r in s.graph().tokens.collect()] == ["two"]
+
+
 def test_renderers_and_deadline(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     s.upsert(frame(spark, ("o", "r", "a.py", "class A:\n    def m(self):\n        foo()\n")))

@@ -269,8 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, most: int = 4, groups: int = 7,
 #
 # Texts are nodes, named by a hash.  Four seeded SimHashes of a text's set of shingles make a sketch of 256
 # bits; its bits, permuted and cut into keys, deal it to cells.  Texts of a cell whose first two words differ
-# in few bits are candidates.  A cell yields a spanning forest of them, whose links are then checked exactly.
-# Where a checked link fails, the forest may have left out others that hold: there all texts are compared.
+# in few bits are candidates.  A cell yields a spanning forest of them.  Of all candidates, each text's link to
+# its smallest one is checked exactly; that joins most copies.  Where candidates are left whose texts are not
+# joined, all texts of the group are compared.
 
 SEEDS = 4
 KEY_BITS, ROUNDS = 16, 8  # each round permutes the sketch's bits and cuts them into keys
@@ -485,15 +486,15 @@ def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int
     met = ws.save(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "met")
     chosen = texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = ws.save(chosen.mapInArrow(_packed_sets(k), "node long, shingles binary"), "sets")
-    checked = ws.save(check_links(found, sets, similarity), "checked")
+    checked = ws.save(check_links(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "checked")
     roots = components(checked.where("ok").select("a", "b"), Workspace(ws.spark, "similar")).withColumnRenamed("root", "label")
     known = ws.save(met.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
     left, right = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    failed = ws.save(checked.where("not ok").join(left, "a").join(right, "b").where("la <> lb").select("la", "lb").distinct(), "failed")
-    if failed.isEmpty():
+    apart = ws.save(found.join(left, "a").join(right, "b").where("la <> lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "open")
+    if apart.isEmpty():
         return known.withColumnRenamed("label", "root")
-    ends = failed.select(F.col("la").alias("label")).union(failed.select("lb")).distinct()
-    groups = components(failed, Workspace(ws.spark, "failed")).withColumnRenamed("node", "label")
+    ends = apart.select(F.col("la").alias("label")).union(apart.select("lb")).distinct()
+    groups = components(apart, Workspace(ws.spark, "apart")).withColumnRenamed("node", "label")
     groups = ends.join(groups, "label", "left").select("label", F.coalesce("root", "label").alias("g"))
     more = ws.save(compare_all(known.join(groups, "label"), sets, ws, similarity).distinct(), "more")
     joined = components(more, Workspace(ws.spark, "joined")).withColumnRenamed("node", "label")

@@ -10,8 +10,8 @@ A tile keeps its tokens as numbers of its own small vocabulary.
    bucket adds them up and answers with c(history, word) and, for a history,
    how many of its followers were seen 1..k times and the unigram mass of its
    followers.  A history that alone is more than a bucket's share is dealt over
-   several buckets by its followers; its sums are added up afterwards (there
-   are at most as many such histories as buckets).
+   several buckets by its followers; its sums are added up by an aggregation
+   and joined to the tiles that have it.
 3. Each tile evaluates its tokens by the recursion
    P(w|h) = d(c(hw)) c(hw) / c(h) if c(hw) > 0, else alpha(h) P(w),
    P(w) = d(c(w)) c(w) / N if c(w) > 0, else the mass that discounts left.
@@ -47,7 +47,7 @@ TILE_BYTES = 8 << 20
 UNI_EACH, BI_EACH = 400_000, 600_000  # entries in a bucket, about
 
 TILE = "tile long, doc_ids array<bigint>, lens binary, tokens binary, vocab binary, counts binary, n_vocab long, n_tokens long"
-PART = "kind string, tile long, part long, a binary, b binary, c binary, stats array<bigint>"
+PART = "kind string, tile long, part long, a binary, b binary, c binary, stats array<bigint>, mass double"
 NOTHING = dict.fromkeys("abc")
 
 
@@ -80,7 +80,7 @@ def _tiles(mod: int, rest: int):
 
 _ASK = pa.schema([("bucket", pa.int64()), ("tile", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 ASK = "bucket long, tile long, a binary, b binary, c binary"
-_PART = pa.schema([("kind", pa.string()), ("tile", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_PART = pa.schema([("kind", pa.string()), ("tile", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.int64())), ("mass", pa.float64())])
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -231,7 +231,9 @@ def _ask_bigrams(uni: Unigrams, n_buckets: int, mod: int, rest: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         t = _Tile(rows, uni, n_buckets, mod, rest)
-        out = []
+        out, hot = [], np.unique(t.h[t.hot])
+        if len(hot):  # which hot histories the tile has, by way of a bucket of its own
+            out.append({"bucket": -1 - rows[0]["tile"], "tile": rows[0]["tile"], "a": W.pack(hot)})
         for i, j in t.cuts():
             runs = _runs(t.h[i:j])
             pairs = [W.pack(W.small(np.diff(t.h[i:j][runs], prepend=0))), W.pack(W.small(np.diff(np.r_[runs, j - i]))), W.pack(W.small(t.w[i:j]))]
@@ -259,6 +261,8 @@ def _answer_bigrams(uni: Unigrams):
     def run(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
         bucket = asked[0]["bucket"]
+        if bucket < 0:
+            return _rows([{"kind": "asks", "tile": r["tile"], "part": int(h)} for r in asked for h in W.unpack(r["a"])], _PART)
         hs, ws, cws, seens, hots, sizes = [], [], [], [], [], []
         for r in asked:
             dh, many, w = _split(r["a"])
@@ -292,7 +296,7 @@ def _answer_bigrams(uni: Unigrams):
             own = run_of[i[_runs(uh[i])]]
             out.append({"kind": "bi", "tile": r["tile"], "part": bucket, "a": W.pack(W.small(count[i])), "b": W.pack(W.small(m[own].ravel())), "c": W.pack(mass[own])})
         for x in np.flatnonzero(hot[runs]):
-            out.append({"kind": "hot", "tile": -1, "part": int(uh[runs[x]]), "c": W.pack(mass[x : x + 1]), "stats": m[x].tolist()})
+            out.append({"kind": "hot", "tile": -1, "part": int(uh[runs[x]]), "mass": float(mass[x]), "stats": m[x].tolist()})
         seen = count > 0
         out.append({"kind": "bigrams", "tile": -1, "part": bucket, "a": _join([W.pack(W.small(np.diff(uh[seen], prepend=0))), W.pack(W.small(uw[seen]))]), "b": W.pack(W.small(count[seen])), "stats": [int(count.sum()), int(seen.sum()), *_count_of_counts(count)]})
         return _rows(out, _PART)
@@ -300,7 +304,7 @@ def _answer_bigrams(uni: Unigrams):
     return run
 
 
-def _score(uni: Unigrams, d2: np.ndarray, hot: dict, n_buckets: int, mod: int, rest: int):
+def _score(uni: Unigrams, d2: np.ndarray, n_buckets: int, mod: int, rest: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
@@ -308,6 +312,7 @@ def _score(uni: Unigrams, d2: np.ndarray, hot: dict, n_buckets: int, mod: int, r
         rows = table.to_pylist()
         t = _Tile(rows, uni, n_buckets, mod, rest)
         answers = {r["part"]: r for r in rows if r["kind"] == "bi"}
+        hot = {r["part"]: (r["stats"], r["mass"]) for r in rows if r["kind"] == "hot"}
         count, alpha, scale = np.zeros(len(t.h), np.int64), np.ones(len(t.h)), np.ones(len(t.h))
         for i, j in t.cuts():
             r = answers[int(t.bucket[i])]
@@ -364,12 +369,13 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     pairs = first.groupBy("tile").applyInArrow(_ask_bigrams(uni, b2, mod, rest), ASK)
     bi_parts = ws.save(pairs.groupBy("bucket").applyInArrow(_answer_bigrams(uni), PART), "bigrams", "kind")
     d2 = discounts(_stats(bi_parts, "bigrams")[2:])
-    hot = {}
-    for r in bi_parts.where(F.col("kind") == "hot").select("part", "c", "stats").toLocalIterator():
-        m, mass = hot.get(r["part"], (np.zeros(K, np.int64), 0.0))
-        hot[r["part"]] = (m + np.array(r["stats"]), mass + float(W.unpack(bytes(r["c"]))[0]))
-    both = first.unionByName(answer(bi_parts, "bi"))
-    return both.groupBy("tile").applyInArrow(_score(uni, d2, hot, b2, mod, rest), RESULT)
+    sums = (F.sum(F.col("stats")[i]).alias(f"m{i}") for i in range(K))
+    hot = bi_parts.where("kind = 'hot'").select(F.col("part").cast("long").alias("part"), "stats", "mass").groupBy("part").agg(*sums, F.sum("mass").alias("mass"))
+    asks = bi_parts.where("kind = 'asks'").select("tile", F.col("part").cast("long").alias("part"))
+    told = asks.join(hot, "part").select(F.lit("hot").alias("kind"), "tile", "part", F.array(*(f"m{i}" for i in range(K))).alias("stats"), "mass")
+    nothing = {"stats": F.lit(None).cast("array<bigint>"), "mass": F.lit(None).cast("double")}
+    both = first.unionByName(answer(bi_parts, "bi")).withColumns(nothing).unionByName(told, allowMissingColumns=True)
+    return both.groupBy("tile").applyInArrow(_score(uni, d2, b2, mod, rest), RESULT)
 
 
 def _stats(parts: DataFrame, kind: str) -> list[int]:

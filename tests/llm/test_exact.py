@@ -214,11 +214,17 @@ def test_decontaminate(spark, docs, rows):
     assert bad
 
 
-def test_items_in_blocks(spark, docs, monkeypatch):
+def test_large_item_tables_are_joined(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, f"word{i} a b c d e") for i in range(50)] + [(99, "x" * 5000 + " y")], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.find_contained(docs, bench).collect()))
+    texts = [r["text"] for r in docs.collect()]
+    more = bench.unionByName(spark.createDataFrame([(200 + i, " ".join((t or "").split()[:40])) for i, t in enumerate(texts)] + [(None, texts[0]), (300, None), (99, "x" * 5000 + " y")], "item_id long, text string"))
+    key = lambda r: tuple(str(x) for x in r)
+    every, left = sorted(decontaminate.find_contained(docs, more).collect(), key=key), sorted(decontaminate.remove_contaminated(docs, bench).collect(), key=key)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
     assert sorted(map(tuple, decontaminate.find_contained(docs, bench).collect())) == whole and whole
+    assert sorted(decontaminate.find_contained(docs, more).collect(), key=key) == every and len(every) > 80
+    assert sorted(decontaminate.remove_contaminated(docs, bench).collect(), key=key) == left
 
 
 # -- op4 -------------------------------------------------------------------------------------------

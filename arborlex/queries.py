@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sample_queries
+from . import sample_queries, store_queries
 from .functions import columns as C
 from .functions.patterns import parse
 from .operators import catalog as K
@@ -15,7 +15,6 @@ from .operators import tree as TR
 from .operators.scope import Rules, Scope, parse_policies, scoped
 from .operators.search import Query, SymbolQuery, search, search_symbols
 from .plans import graph as G
-from .plans.build import prepare, spread
 from .sources import tables as TB
 from .streaming.ingest import latest_per_key
 
@@ -331,11 +330,6 @@ def tree_roots(spark, sf):
     return TR.roots(G.nodes(tree(spark, sf))).select("kind", "name")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS bad")
-def edge_validity(spark, sf):
-    return G.invalid_edges(G.nodes(tree(spark, sf))).agg(F.count(F.lit(1)).alias("bad"))
-
-
 @query(f"WITH {_T} SELECT org, repo, path, start, o_orderkey, count(*) AS n FROM t GROUP BY ALL")
 def containment_build(spark, sf):
     g = tree(spark, sf)
@@ -416,21 +410,6 @@ def html_tokens(spark, sf):
     return TB.pages(spark, sf).tokens.groupBy("org", "class").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query()
-def ingest_documents(spark, sf):
-    """Decode, detect, fingerprint, lex, extract and arrange every document: files, tokens and terms by source."""
-    raw = TB.table(spark, sf, "documents").select(F.col("source").alias("org"), F.col("lang").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    done = prepare(spread(raw))
-    return done.groupBy("org", "status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("postings")).alias("terms"))
-
-
-@query()
-def tokenize_default(spark, sf):
-    """The default dialect with built-in functions: classes of all tokens of all documents."""
-    p = spread(TB.table(spark, sf, "documents")).select("doc_id", F.explode(C.pieces(F.coalesce("text", F.lit("")))).alias("p"))
-    return p.select("doc_id", C.piece_class(F.col("p")).alias("class")).where("class is not null").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("count"))
-
-
 def _declared(spark: SparkSession):
     from .plans.build import graph_from_declarations
 
@@ -464,6 +443,7 @@ def _put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) ->
 
 
 sample_queries.register(_put)
+store_queries.register(_put)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,6 +18,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,13 +205,18 @@ class Store:
         base = f"{self.root}/segments/{name}"
         key_schema = ", ".join(f"{c} string" for c in FILE_KEY)
         empty = self.spark.createDataFrame([], key_schema)
-        for table, schema in TABLES.items():
+
+        def write(table: str) -> None:
+            schema = TABLES[table]
             df = rows[table].select(*schema.names) if rows is not None else self.spark.createDataFrame([], schema)
             inner = [c for c in SORTED[table] if c not in PARTS]
             # a compaction brings what is read together into the same files; else rows of one repository come together,
             # and adaptive execution splits a large one
             df = df.repartitionByRange(*PARTS, *inner) if clustered else df.hint("rebalance", *PARTS)
             df.sortWithinPartitions(*PARTS, *inner).write.partitionBy(*PARTS).parquet(f"{base}/{table}")
+
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables' jobs share the executors
+            list(pool.map(write, TABLES))
         added = self._part(name, "files").select(*FILE_KEY, F.lit(False).alias("gone"))
         removed = (gone if gone is not None else empty).select(*FILE_KEY, F.lit(True).alias("gone"))
         added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{base}/keys")

@@ -43,6 +43,7 @@ _PUNCT[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 UNITS = (None, 4, 6)  # a word whole, and its first bytes: insults come with many endings
 KINDS = len(UNITS) + 2
 FLOOR = 1e-6  # evidence of a text without toxic words
+LONG = 1024  # texts of more words are passed through in chunks that run side by side
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -71,10 +72,38 @@ def features(units: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _grouped(lens: np.ndarray):
-    """Rows of like length together, so that padding at most doubles the work."""
-    size = np.where(lens > 0, np.ceil(np.log2(np.maximum(lens, 1))).astype(int), -1)
+    """Rows of like length together, so that padding at most doubles the work; long ones alone."""
+    size = np.where((lens > 0) & (lens <= LONG), np.ceil(np.log2(np.maximum(lens, 1))).astype(int), -1)
     for k in np.unique(size[size >= 0]):
         yield np.flatnonzero(size == k)
+    yield from np.flatnonzero(lens > LONG)[:, None]
+
+
+def _fractions(a: np.ndarray, b: np.ndarray | float, c: np.ndarray, d: float, v: float) -> np.ndarray:
+    """v = (a[i] v + b[i]) / (c[i] v + d[i]) for each i in turn.
+
+    Such steps compose like 2 x 2 matrices: the products of chunks are taken side by side, give the value at the
+    start of each chunk, and then all chunks are gone through again at once; so n steps take 3 sqrt(n) rounds.
+    """
+    n = len(a)
+    size = int(np.ceil(np.sqrt(n)))
+    m = -(-n // size)
+    lay = lambda x, pad: np.concatenate([np.broadcast_to(x, n), np.full(size * m - n, pad)]).reshape(m, size).T
+    a, b, c, d = lay(a, 1.0), lay(b, 0.0), lay(c, 0.0), lay(d, 1.0)
+    p, q, r, s = np.ones(m), np.zeros(m), np.zeros(m), np.ones(m)
+    for i in range(size):
+        p, q, r, s = a[i] * p + b[i] * r, a[i] * q + b[i] * s, c[i] * p + d[i] * r, c[i] * q + d[i] * s
+        top = np.maximum(np.maximum(p, q), np.maximum(r, s))
+        p, q, r, s = p / top, q / top, r / top, s / top
+    now = np.empty(m)
+    for k in range(m):
+        now[k] = v
+        v = (p[k] * v + q[k]) / (r[k] * v + s[k])
+    out = np.empty((size, m))
+    for i in range(size):
+        now = (a[i] * now + b[i]) / (c[i] * now + d[i])
+        out[i] = now
+    return out.T.ravel()[:n]
 
 
 class Chain:
@@ -97,11 +126,17 @@ class Chain:
             x = np.exp(np.where(inside, e[np.minimum(index, len(e) - 1)], 0.0))
             r, b = np.empty((n, m)), np.ones((n, m))
             r[0] = x[0]
-            for i in range(1, n):
-                r[i] = x[i] * (t[0, 1] + r[i - 1] * t[1, 1]) / (t[0, 0] + r[i - 1] * t[1, 0])
-            for i in range(n - 2, -1, -1):
-                y = x[i + 1] * b[i + 1]
-                b[i] = np.where(inside[i + 1], (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y), 1.0)
+            if n > LONG:  # one row
+                y = x[1:, 0]
+                r[1:, 0] = _fractions(y * t[1, 1], y * t[0, 1], np.full(n - 1, t[1, 0]), t[0, 0], float(x[0, 0]))
+                y = y[::-1]
+                b[:-1, 0] = _fractions(y * t[1, 1], t[1, 0], y * t[0, 1], t[0, 0], 1.0)[::-1]
+            else:
+                for i in range(1, n):
+                    r[i] = x[i] * (t[0, 1] + r[i - 1] * t[1, 1]) / (t[0, 0] + r[i - 1] * t[1, 0])
+                for i in range(n - 2, -1, -1):
+                    y = x[i + 1] * b[i + 1]
+                    b[i] = np.where(inside[i + 1], (t[1, 0] + t[1, 1] * y) / (t[0, 0] + t[0, 1] * y), 1.0)
             odds = r * b
             out[index[inside]] = (odds / (1 + odds))[inside]
             if expect and n > 1:
@@ -241,7 +276,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int =
 
 
 def remove_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
-    """docs without the rows whose score reaches the threshold, all columns kept, in one narrow pass."""
+    """docs without the rows whose score reaches the threshold, all columns kept, in one narrow pass.
+
+    Each row is judged by its text alone: repeated rows stay or go together, null texts count as empty, null
+    doc_ids are never learned from.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(train_docs, labels, mod, rest, most))
 
     def run(batches):

@@ -84,7 +84,11 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs."""
+    """The rows of docs as often as the mix takes them, with the columns of docs.
+
+    Null texts have no words but are drawn like any other; rows with equal doc_ids, null ones too, get equal draws;
+    repeated rows are taken as often as they come.
+    """
     *names, again = fresh(docs.columns, *_ADDED, "again")
     rated = _rated(docs, names, share, most, weights, seed)
     times = F.when(F.col(names[3]) > 0, F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))

@@ -67,7 +67,7 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .crf import score_toxicity
 
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, rest=2, threshold=0.3)
-    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

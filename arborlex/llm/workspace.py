@@ -6,6 +6,9 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only a local session
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -15,19 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="arborlex-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_MADE: list[Workspace] = []
+
+
 class Workspace:
-    """Named Parquet tables of one run; written tables cut the lineage and outlive lost executors."""
+    """Named Parquet tables of one run; written tables cut the lineage and outlive lost executors.
+
+    A result is lazy and reads them, so they stay until :func:`releasing` says that it has been written.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -35,13 +46,23 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables that nothing will read again."""
+        """Removes tables that nothing will read again; without names, all of them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def releasing():
+    """Removes the workspaces that operators make inside, at the end: for who writes their results inside."""
+    mark = len(_MADE)
+    yield
+    for ws in _MADE[mark:]:
+        ws.drop()
+    del _MADE[mark:]
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, lengthened until no column has them (Spark compares names without case)."""
     taken, out = {c.lower() for c in columns}, []
@@ -58,4 +79,4 @@ def buckets_for(items: int, each: int) -> int:
     return 1 << max(0, (max(1, items) - 1) // each).bit_length()
 
 
-__all__ = ["Workspace", "buckets_for", "fresh", "shared_dir"]
+__all__ = ["Workspace", "buckets_for", "fresh", "releasing", "shared_dir"]

@@ -99,6 +99,17 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
 
 
+def test_long_texts_have_the_same_marginals(monkeypatch):
+    rng = np.random.default_rng(2)
+    chain = crf.Chain(np.zeros(1), 0.0, rng.normal(size=(2, 2)))
+    at = np.r_[0, np.cumsum([3000, 5, 1, 40, 2, 1025])]
+    e = rng.normal(scale=4, size=at[-1])
+    fast, pairs = chain.marginals(e, at, expect=True)
+    monkeypatch.setattr(crf, "LONG", 1 << 30)
+    slow, want = chain.marginals(e, at, expect=True)
+    assert np.allclose(fast, slow) and np.allclose(pairs, want)
+
+
 def test_dual_descent_meets_the_optimality_conditions():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 200)
@@ -172,3 +183,27 @@ def test_pipeline(spark, tmp_path):
     whole = P.run(spark, sf)
     key = ["doc_id", "shard", "size"]
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, kept_node string, contaminated string, again string"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(1)
+    plain = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(60)) for _ in range(30)]
+    rows = [(i, t, "en", f"s{i % 3}", 1, "x", "y", "z", "c", "a") for i, t in enumerate(plain)]
+    rows += [(None, plain[0], None, None, None, None, None, None, None, None), (40, None, "en", "s1", 0, "x", "y", "z", "c", "a"), (41, "", None, "s1", 0, "x", "y", "z", "c", "a"), (42, "word " * 30_000, "en", None, 0, "x", "y", "z", "c", "a"), (3, plain[3], "en", "s0", 1, "x", "y", "z", "c", "a"), (3, plain[4], "en", "s0", 1, "x", "y", "z", "c", "a")]
+    for name, every in (("odd", rows), ("empty", [])):
+        sf = tmp_path / name
+        spark.createDataFrame(every, ODD).repartition(3).write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame([(1, plain[7][20:150]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+        spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        out = P.run(spark, str(sf)).collect()
+        if not every:
+            assert out == []
+            continue
+        kept = {r["doc_id"] for r in out}
+        assert kept <= {r[0] for r in rows} and 7 not in kept and all(0 <= r["shard"] < 40 for r in out)
+        assert {r["text"] for r in out} <= {r[1] for r in rows}

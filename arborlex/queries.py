@@ -405,7 +405,16 @@ def html_symbols(spark, sf):
     return search_symbols(TB.pages(spark, sf), SymbolQuery("*")).select("org", "repo", "file", "name", "lang_kind", "start", "end")
 
 
-@query()
+# markup: comments, tags with their values, and the text between are cut apart first, as quotes mean something in tags only
+_HTML = r"""h AS (SELECT coalesce(nullif(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), ''), 'none') AS org, coalesce(html,'') AS t FROM pages),
+ g AS (SELECT org, unnest(regexp_extract_all(t, '(?s:<!--.*?(?:-->|\z))|<[\p{L}/!?](?:"[^"]*"|''[^'']*''|[^''"<>])*>?|<|[^<]+')) AS g FROM h),
+ k AS (SELECT org, g, starts_with(g,'<!--') AS comment, regexp_matches(g, '^<[\p{L}/!?]') AS tag FROM g),
+ x AS (SELECT org, tag, unnest(CASE WHEN comment THEN [g] WHEN tag THEN regexp_extract_all(g, '[\p{L}_][\p{L}\p{N}_]*(?:[-:][\p{L}\p{N}_]+)*|[0-9](?:[\p{L}\p{N}_.]*[\p{L}\p{N}_])?|"[^"]*"|''[^'']*''|[^\s\p{Z}\x0B\x{85}\x{FEFF}]')
+  ELSE regexp_extract_all(g, '[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{N}_]*|[0-9](?:[\p{L}\p{N}_.]*[\p{L}\p{N}_])?|[^\s\p{Z}\x0B\x{85}\x{FEFF}]') END) AS x FROM k),
+ c AS (SELECT org, CASE WHEN starts_with(x,'<!--') THEN 'comment' WHEN regexp_matches(x, '^[\p{L}\p{Nl}_]') THEN 'identifier' WHEN regexp_matches(x, '^[0-9]') OR length(x)>1 THEN 'literal' WHEN contains('+-*/%=<>!&|^~?@', x) THEN 'operator' ELSE 'punctuation' END AS class FROM x)"""
+
+
+@query(f"WITH {_HTML} SELECT org, class, count(*) AS count FROM c GROUP BY ALL")
 def html_tokens(spark, sf):
     return TB.pages(spark, sf).tokens.groupBy("org", "class").agg(F.count(F.lit(1)).alias("count"))
 

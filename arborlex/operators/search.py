@@ -121,7 +121,7 @@ def _accept(q: Query, x: Column, kind_filter: bool = True) -> Column:
 def _symbol_hits(g: Graph, q: Query, matches: DataFrame) -> DataFrame:
     # all matches with the same enclosing symbol share their fate
     groups = matches.groupBy(*FILE_KEY, "parent_sidx").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    chains = g.symbols.select(*FILE_KEY, F.col("sidx").alias("parent_sidx"), "chain")
+    chains = g.symbols.select(*FILE_KEY, F.col("sidx").alias("parent_sidx"), "chain", "language")
     rows = groups.join(chains, [*FILE_KEY, "parent_sidx"], "left").withColumn("chain", F.coalesce("chain", F.array().cast(S.CHAIN)))
     rows = rows.withColumn("picked", F.try_element_at(F.filter("chain", lambda x: _accept(q, x)), F.lit(1))["sidx"]).withColumn("row_path", F.col("path"))
     if q.grain == "class":
@@ -145,26 +145,26 @@ def _follow_owners(g: Graph, q: Query, rows: DataFrame) -> DataFrame:
     the other files of the directory in the same language the first by (path,
     index) is chosen, and then must pass the filter.
     """
-    rows = rows.withColumn("rid", F.struct(*FILE_KEY, F.coalesce("parent_sidx", F.lit(-1)).alias("p")))
-    lost = F.col("picked").isNull() & ~F.exists("chain", lambda x: _accept(q, x, kind_filter=False))
-    hints = rows.where(lost).select("rid", *FILE_KEY, F.posexplode(F.transform("chain", lambda x: x["owner"])).alias("at", "owner")).where(F.col("owner").isNotNull())
-    hints = hints.join(g.files.select(*FILE_KEY, "language"), FILE_KEY).withColumn("dir", C.directory(F.col("path")))
     types = g.symbols.where(C.grain_accepts("class", F.col("kind"), F.col("lang_kind"))).select(*FILE_KEY, F.col("name").alias("owner"), "sidx", "dir", "language", "kind", "lang_kind")
     types = types.withColumn("ok", C.kind_matches(F.col("kind"), F.col("lang_kind"), q.symbol_kind) if q.symbol_kind is not None else F.lit(True))
     here = types.groupBy(*FILE_KEY, "owner").agg(F.min(F.when(F.col("ok"), F.col("sidx"))).alias("own"), F.lit(True).alias("any"))
-    # each distinct owner of a directory is resolved once, for any file of it
-    first = Win.partitionBy("org", "repo", "dir", "language", "owner").orderBy("path", "sidx")
-    per_file = types.groupBy("org", "repo", "dir", "language", "owner", "path").agg(F.min_by(F.struct("sidx", "ok"), "sidx").alias("t"))
-    near = per_file.select("org", "repo", "dir", "language", "owner", F.col("path").alias("sib"), F.col("t.sidx").alias("sidx"), F.col("t.ok").alias("sib_ok"))
-    near = near.withColumn("nth", F.row_number().over(first.orderBy("sib", "sidx"))).where("nth <= 2")
-    sibling = hints.join(near, ["org", "repo", "dir", "language", "owner"], "left").where(F.col("sib").isNull() | (F.col("sib") != F.col("path")))
-    sibling = sibling.groupBy("rid", "at", "owner", *FILE_KEY).agg(F.min_by(F.struct("sib", "sidx", "sib_ok"), "nth").alias("s"))
-    both = hints.join(here, [*FILE_KEY, "owner"], "left").join(sibling.select("rid", "at", "s"), ["rid", "at"], "left")
+    # each distinct owner of a directory is resolved once, for any file of it: to the first file, or if that's one's own the second
+    first = Win.partitionBy("org", "repo", "dir", "language", "owner").orderBy("sib", "sidx")
+    per_file = types.groupBy("org", "repo", "dir", "language", "owner", F.col("path").alias("sib")).agg(F.min_by(F.struct("sidx", "ok"), "sidx").alias("t"))
+    near = per_file.select("org", "repo", "dir", "language", "owner", "sib", F.col("t.sidx").alias("sidx"), F.col("t.ok").alias("sib_ok"))
+    near = near.withColumn("nth", F.row_number().over(first)).where("nth <= 2")
+    # one pass over the rows: a line for each hint (one without, where there is none), brought together again by row
+    lost = F.col("picked").isNull() & ~F.exists("chain", lambda x: _accept(q, x, kind_filter=False))
+    hints = F.filter(F.transform("chain", lambda x, i: F.struct(i.alias("at"), x["owner"].alias("owner"))), lambda h: h["owner"].isNotNull())
+    own_key = [*FILE_KEY, "parent_sidx", "count", "picked"]
+    each = rows.select(*own_key, "language", C.directory(F.col("path")).alias("dir"), F.explode_outer(F.when(lost, hints)).alias("hint")).select("*", "hint.at", "hint.owner").drop("hint")
+    each = each.join(here, [*FILE_KEY, "owner"], "left").join(near, ["org", "repo", "dir", "language", "owner"], "left")
+    sibling = F.min(F.when(F.col("sib") != F.col("path"), F.struct("nth", F.col("sib").alias("to"), "sidx", "sib_ok")))
+    each = each.groupBy(*own_key, "at").agg(F.first("own").alias("own"), F.first("any").alias("any"), sibling.alias("s"))
     use_sibling = F.col("own").isNull() & F.col("any").isNull() & F.coalesce(F.col("s.sib_ok"), F.lit(False))
-    target = F.when(F.col("own").isNotNull(), F.struct(F.col("path").alias("to"), F.col("own").alias("sidx"))).when(use_sibling, F.struct(F.col("s.sib").alias("to"), F.col("s.sidx").alias("sidx")))
-    chosen = both.withColumn("target", target).where(F.col("target").isNotNull()).groupBy("rid").agg(F.min_by("target", "at").alias("target"))
-    rows = rows.join(chosen, "rid", "left")
-    return rows.withColumn("picked", F.coalesce("picked", F.col("target.sidx"))).withColumn("row_path", F.coalesce(F.col("target.to"), "path")).drop("rid", "target")
+    target = F.when(F.col("own").isNotNull(), F.struct(F.col("path").alias("to"), F.col("own").alias("sidx"))).when(use_sibling, F.struct(F.col("s.to").alias("to"), F.col("s.sidx").alias("sidx")))
+    out = each.withColumn("target", target).groupBy(*own_key).agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("at"))).alias("target"))
+    return out.withColumn("picked", F.coalesce("picked", F.col("target.sidx"))).withColumn("row_path", F.coalesce(F.col("target.to"), "path")).drop("target")
 
 
 def with_name_position(g: Graph, rows: DataFrame) -> DataFrame:

@@ -486,19 +486,20 @@ def similar_components(nodes: DataFrame, texts: DataFrame, ws: Workspace, k: int
     met = ws.save(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "met")
     chosen = texts.join(met, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = ws.save(chosen.mapInArrow(_packed_sets(k), "node long, shingles binary"), "sets")
-    checked = ws.save(check_links(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity), "checked")
-    roots = components(checked.where("ok").select("a", "b"), Workspace(ws.spark, "similar")).withColumnRenamed("root", "label")
-    known = ws.save(met.join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    left, right = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    apart = ws.save(found.join(left, "a").join(right, "b").where("la <> lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "open")
-    if apart.isEmpty():
-        return known.withColumnRenamed("label", "root")
-    ends = apart.select(F.col("la").alias("label")).union(apart.select("lb")).distinct()
-    groups = components(apart, Workspace(ws.spark, "apart")).withColumnRenamed("node", "label")
-    groups = ends.join(groups, "label", "left").select("label", F.coalesce("root", "label").alias("g"))
-    more = ws.save(compare_all(known.join(groups, "label"), sets, ws, similarity).distinct(), "more")
+    first = ws.save(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    checked = ws.save(check_links(first, sets, similarity), "checked")
+    labels = components(checked.where("ok").select("a", "b"), Workspace(ws.spark, "similar")).withColumnRenamed("root", "label")
+    # groups: what the first links join, and then the few candidates between those
+    near = components(first, Workspace(ws.spark, "near")).withColumnRenamed("root", "tree")
+    known = ws.save(met.join(labels, "node", "left").join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("tree", "node").alias("tree")), "known")
+    left, right = (known.select(F.col("node").alias(c), F.col("tree").alias(f"t{c}")) for c in "ab")
+    across = found.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
+    far = components(ws.save(across, "across"), Workspace(ws.spark, "far")).withColumnRenamed("node", "tree")
+    placed = ws.save(known.join(far, "tree", "left").select("node", "label", F.coalesce("root", "tree").alias("g")), "grouped")
+    apart = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("g")
+    more = ws.save(compare_all(placed.join(apart, "g", "left_semi"), sets, ws, similarity).distinct(), "more")
     joined = components(more, Workspace(ws.spark, "joined")).withColumnRenamed("node", "label")
-    return known.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    return placed.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -212,3 +212,26 @@ def test_byte_cap():
 
     rows = [{"i": i, "s": "x" * 10} for i in range(5)]
     assert len(capped(rows, 60)) == 2 and len(capped(rows, 1)) == 1 and len(capped(rows, 1000)) == 5 and capped([], 1) == []
+
+
+def test_keys_with_slashes_and_pushed_look_ups(spark, tmp_path):
+    from arborlex.sources.store import Store
+
+    s = Store(spark, str(tmp_path / "store"))
+    rows = [("a/b", "c", "d.txt", bytearray(b"x y")), ("a", "b/c", "d.txt", bytearray(b"z")), ("a", "b", "c/d.txt", bytearray(b"w"))]
+    s.upsert(spark.createDataFrame(rows, "org string, repo string, path string, content binary"))
+    all_nodes = G.nodes(s.graph())
+    assert sorted(r["org"] for r in TR.node(all_nodes, "repo/a/b/c").collect()) == ["a", "a/b"]  # a key names both
+    assert [r["name"] for r in TR.children(all_nodes, "repo/a/b").collect()] == ["c/d.txt"]
+    assert [r["name"] for r in TR.descendants(all_nodes, "org/a/b").collect()] == ["c", "d.txt", "x", "y"]
+    plan = TR.children(all_nodes, "file/a/b/c/d.txt")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(path" in plan and "PartitionFilters: [org" in plan
+
+
+def test_containment_makes_no_product(spark):
+    symbols = spark.createDataFrame([("o", "r", "p", i, i, 2000 - i) for i in range(300)], "org string, repo string, path string, sidx int, start long, end long")
+    items = spark.range(1000).selectExpr("'o' org", "'r' repo", "'p' path", "int(id) ordinal", "id * 2 start")
+    got = {r["ordinal"]: r["parent_sidx"] for r in G.containment(symbols, items, G.FILE_KEY, "ordinal").collect()}
+    want = {i: max((s for s in range(300) if s <= 2 * i < 2000 - s), default=None) for i in range(1000)}
+    assert got == want
+    assert "Join" not in G.containment(symbols, items, G.FILE_KEY, "ordinal")._jdf.queryExecution().executedPlan().toString()

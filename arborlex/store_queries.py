@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions.languages import default_registry
 from .operators import catalog as K
 from .operators import render
 from .operators import tree as TR
-from .operators.scope import Principal, decide, parse_policies
+from .operators.scope import PermissionDenied, Principal, Rules, Scope, decide, lint, parse_policies, scoped
 from .operators.search import Query, SymbolQuery, search, search_symbols
 from .plans import graph as G
 from .plans.build import prepare, spread
@@ -469,6 +470,45 @@ def policy_decisions(spark, sf):
     return spark.createDataFrame([(n, decide(policies, who, "read", "Org", n), decide(policies, who, "index", "Org", n)) for n in names], "org string, read boolean, index boolean")
 
 
+@query("SELECT * FROM (VALUES ('a: the id is used twice'), ('a: names no action'), ('#2: a Repo is named org/repo'), ('#3: unknown resource type Team')) t(note)")
+def policy_lint(spark, sf):
+    text = """@id("a") permit(principal, action, resource); @id("a") permit(principal, action in [], resource);
+     permit(principal, action, resource == Repo::"web"); forbid(principal, action, resource in Team::"x");"""
+    return spark.createDataFrame([(note,) for note in lint(parse_policies(text))], "note string")
+
+
+@query("SELECT r_name AS org, r_name<>'EUROPE' AS refused, (SELECT count(*) FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=r_regionkey AND r_name='EUROPE' AND n_name<>'FRANCE') AS files FROM region")
+def scope_refusals(spark, sf):
+    """What an intersection of scopes refuses by name, and what it lets be seen."""
+    g = TB.tree(spark, sf)
+    scope = Scope((Rules(orgs=frozenset({"ASIA", "EUROPE"})),)).intersect(Scope((Rules(any=True, deny_orgs=frozenset({"ASIA"}), deny_repos=frozenset({("EUROPE", "FRANCE")})),)))
+    seen = {r["org"]: r["files"] for r in scoped(g, scope).files.groupBy("org").agg(F.count(F.lit(1)).alias("files")).collect()}
+    rows = []
+    for (org,) in TB.table(spark, sf, "region").select("r_name").collect():
+        try:
+            scope.check_named(g, "search", org, None)
+            rows.append((org, False, seen.get(org, 0)))
+        except PermissionDenied:
+            rows.append((org, True, seen.get(org, 0)))
+    return spark.createDataFrame(rows, "org string, refused boolean, files long")
+
+
+@query(f"WITH c(repo, symbols, tokens) AS (VALUES {_COUNTS}) SELECT repo AS language, (SELECT count(*) FROM nation) AS files, symbols*(SELECT count(*) FROM nation) AS symbols, true AS refused FROM c WHERE repo IN ('go','java')")
+def store_extractor_gaps(spark, sf):
+    """Stored symbols of languages whose extractors are gone: listed, and a reason to refuse."""
+    registry = default_registry()
+    for language in ("go", "java"):
+        registry.by_language.pop(language)
+    s = Store(spark, stored(spark, sf, sample_store).root, registry)
+    try:
+        s.check_gaps()
+        refused = False
+    except RuntimeError:
+        refused = True
+    s.check_gaps(force=True)
+    return s.extractor_gaps().select("language", "files", "symbols", F.lit(refused).alias("refused"))
+
+
 @query("SELECT count(*) AS bad FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_custkey%7=0")
 def edge_validity(spark, sf):
     """Symbols whose files were taken out of the node table are the invalid edges; tokens below them still have their symbol."""

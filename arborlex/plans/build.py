@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,8 +109,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """One row of PREPARED for each of files: org, repo, path, content (binary), and optionally language, origin, encoding, strict."""
+def prepare(files: DataFrame, registry: Registry | None = None, packed: bool = False) -> DataFrame:
+    """One row of PREPARED for each of files: org, repo, path, content (binary), and optionally language, origin, encoding, strict.
+
+    ``packed``: tokens as the store keeps them (``sources.store.pack``).
+    """
     registry = registry or default_registry()
     kinds = {"content": "binary", "strict": "boolean"}
     rows = files.select(*((F.col(c) if c in files.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in INPUT))
@@ -123,7 +127,7 @@ def prepare(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, FILES_AT_ONCE):
-                yield _batch([prepare_one(r, registry) for r in batch.slice(i, FILES_AT_ONCE).to_pylist()], arrow)
+                yield _batch([prepare_one(r, registry) for r in batch.slice(i, FILES_AT_ONCE).to_pylist()], arrow, packed)
 
     return rows.mapInArrow(run, target)
 
@@ -137,16 +141,26 @@ def _lists(per_file: list[list], kind: pa.DataType, columns: list[list]) -> pa.A
     offsets = pa.array([0, *accumulate(map(len, per_file))], pa.int32())
     struct = kind.value_type
     fields = [struct.field(i) for i in range(struct.num_fields)]
-    arrays = [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields), type=kind)
 
 
-def _batch(done: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+def _packed(columns: dict[str, list]) -> dict[str, pa.Array]:
+    """The span columns less what the token's text and the columns before imply."""
+    x = {c: pa.array(columns[c], pa.int64()) for c in S.SPAN}
+    text = pa.array(columns["text"], pa.string())
+    implied = {"end": pc.add(x["start"], pc.cast(pc.binary_length(text), pa.int64())), "end_line": x["start_line"], "start_col": x["start"], "end_col": pc.add(x["start_col"], pc.cast(pc.utf8_length(text), pa.int64()))}
+    return {c: pc.subtract(x[c], y) for c, y in implied.items()}
+
+
+def _batch(done: list[dict], schema: pa.Schema, packed: bool) -> pa.RecordBatch:
     """The outcomes column by column: most of the data is tokens, which never become dictionaries."""
     tokens = [d["tokens"] for d in done]
     columns = [list(c) for c in zip(*(t for own in tokens for t in own), strict=True)] or [[] for _ in Token._fields]
     named = dict(zip(Token._fields, columns, strict=True))
     named |= {"class": named["cls"], "ordinal": [n for own in tokens for n in range(len(own))], "parent_sidx": [p for d in done for p in d["parents"]]}
+    if packed:
+        named |= _packed(named)
     arrays = []
     for f in schema:
         if f.name == "tokens":

@@ -8,6 +8,10 @@ concurrent writers one fails; a reader pins a manifest, which is a snapshot.
 ``compact`` rewrites the live rows into one segment and then deletes segments
 that no manifest names which a snapshot may still hold.  Tables are partitioned
 by organisation and repository, so a query for one reads that one only.
+
+Contents are brought into order before they are parsed, so what comes of them
+(tokens take far more room) is written without a shuffle.  Tokens are stored
+packed: spans as differences from what their text and start imply, as deltas.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as Win
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -37,6 +42,51 @@ TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "tokens": S.TOKENS, "postings"
 #: What each table is sorted by inside its files, so that row groups are skipped by their statistics.
 SORTED = {"files": FILE_KEY, "symbols": ["name_fold", *FILE_KEY], "tokens": [*FILE_KEY, "ordinal"], "postings": ["text", *FILE_KEY], "counters": FILE_KEY}
 PARTS = ["org", "repo"]
+#: Folders other than the table's name; a segment without that folder holds the table as it is.
+PACKED = {"tokens": "packed"}
+#: Contents of about so many bytes are parsed by one task.
+PARSE_BYTES = 4 << 20
+#: Up to so many dead files are sent to all executors.
+MOST_DEAD = 100_000
+_SPAN_COLUMNS = ("ordinal", "parent_sidx", *S.SPAN, "first_tok", "last_tok")
+
+
+def _compact(df: DataFrame, nested: str = "") -> DataFrameWriter:
+    """A writer of Parquet whose spans are deltas; ``nested``: of an array of structs."""
+    out = df.write.option("compression", "zstd").option("parquet.writer.version", "v2")
+    for c in _SPAN_COLUMNS:
+        out = out.option(f"parquet.enable.dictionary#{nested}{c}", "false")
+    return out
+
+
+def _implied() -> dict[str, F.Column]:
+    """By column, what a token's text and the columns before it imply; nulls count as 0, so adding it again is exact."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    start, line, col, text = F.col("start"), F.col("start_line"), F.col("start_col"), F.col("text")
+    return {"end": zero(start) + zero(F.octet_length(text)), "end_line": zero(line), "start_col": zero(start), "end_col": zero(col) + zero(F.char_length(text))}
+
+
+def in_order(spark: SparkSession) -> SparkSession:
+    """A session that reads each file in one task, and writes partitions side by side: rows stay in their files' order, unsorted."""
+    out = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            out.conf.set(k, v)
+    for k in ("files.maxPartitionBytes", "files.openCostInBytes"):
+        out.conf.set(f"spark.sql.{k}", str(1 << 30))
+    out.conf.set("spark.sql.maxConcurrentOutputFileWriters", "32")  # rows of further partitions are sorted
+    return out
+
+
+def pack(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumns({c: F.col(c) - x for c, x in _implied().items()})
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    first, then = ("end", "end_line", "start_col"), ("end_col",)  # end_col builds on start_col
+    for names in (first, then):
+        packed = packed.withColumns({c: F.col(c) + _implied()[c] for c in names})
+    return packed
 SNAPSHOT_SECONDS = 15 * 60
 
 
@@ -147,16 +197,19 @@ class Store:
 
     # reading
 
-    def _live(self, m: Manifest) -> DataFrame | None:
-        """(file key, segment) of the live files; None if one segment holds everything."""
+    def _dead(self, m: Manifest) -> tuple[DataFrame | None, bool]:
+        """(file key, nth segment) of the files that a newer segment names, and whether they are few; None if one segment holds everything."""
         if len(m.segments) <= 1:
-            return None
+            return None, True
         keys = None
         for n, s in enumerate(m.segments):
             part = self.spark.read.parquet(f"{self.root}/segments/{s}/keys").select(*FILE_KEY, "gone", F.lit(n).alias("nth"))
             keys = part if keys is None else keys.unionByName(part)
-        last = keys.groupBy(*FILE_KEY).agg(F.max_by(F.struct("nth", "gone"), "nth").alias("k"))
-        return last.where(~F.col("k.gone")).select(*FILE_KEY, F.col("k.nth").alias("nth"))
+        by = keys.groupBy(*FILE_KEY).agg(F.max("nth").alias("last"), F.collect_list(F.when(~F.col("gone"), F.col("nth"))).alias("held"))
+        dead = by.select(*FILE_KEY, "last", F.explode("held").alias("nth")).where("nth < last").drop("last")
+        # a few are sent to where the rows are, which then stay there
+        few = dead.limit(MOST_DEAD + 1).count() <= MOST_DEAD
+        return (F.broadcast(dead) if few else dead), few
 
     def graph(self) -> Graph:
         m = self.manifest()
@@ -164,25 +217,31 @@ class Store:
 
     def _counters(self) -> DataFrame:
         m = self.manifest()
-        return self._read(m, self._live(m), "counters")
+        return self._read(m, self._dead(m)[0], "counters")
 
     def _graph(self, m: Manifest) -> Graph:
-        live = self._live(m)
+        dead, _ = self._dead(m)
 
         def read(name: str) -> DataFrame:
-            return self._read(m, live, name)
+            return self._read(m, dead, name)
 
         base = [read(n) for n in ("files", "symbols", "tokens", "postings")]
         return Graph(*base, counters_of(read("counters")))
 
     def _part(self, segment: str, name: str) -> DataFrame:
         schema = TABLES[name]
-        fs, p = self._fs(f"{self.root}/segments/{segment}/{name}")
+        path = f"{self.root}/segments/{segment}/{PACKED.get(name, name)}"
+        fs, p = self._fs(path)
+        packed = name in PACKED and fs.exists(p)
+        if name in PACKED and not packed:
+            path = f"{self.root}/segments/{segment}/{name}"
+            fs, p = self._fs(path)
         if not any(f.isDirectory() for f in fs.listStatus(p)):  # no partition: no rows
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/segments/{segment}/{name}").select(*schema.names)
+        found = self.spark.read.schema(schema).parquet(path)
+        return (unpack(found) if packed else found).select(*schema.names)
 
-    def _read(self, m: Manifest, live: DataFrame | None, name: str) -> DataFrame:
+    def _read(self, m: Manifest, dead: DataFrame | None, name: str) -> DataFrame:
         schema = TABLES[name]
         out = None
         for n, s in enumerate(m.segments):
@@ -190,17 +249,26 @@ class Store:
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], schema)
-        if live is not None:
-            out = out.join(live, [*FILE_KEY, "nth"], "left_semi")
+        if dead is not None:
+            out = out.join(dead, [*FILE_KEY, "nth"], "left_anti")
         return out.select(*schema.names)
 
+    def _scattered(self, m: Manifest) -> bool:
+        """Whether more than one segment holds files; those of a single one lie together already."""
+        held = 0
+        for s in m.segments:
+            fs, p = self._fs(f"{self.root}/segments/{s}/files")
+            held += any(f.isDirectory() for f in fs.listStatus(p))
+        return held > 1
+
     def _rows(self) -> dict[str, DataFrame]:
         g = self.graph()
         return {n: getattr(g, n) for n in ("files", "symbols", "tokens", "postings")} | {"counters": self._counters()}
 
     # writing
 
-    def _write_segment(self, rows: dict[str, DataFrame] | None, gone: DataFrame | None, clustered: bool = False) -> str:
+    def _write_segment(self, rows: dict[str, DataFrame] | None, gone: DataFrame | None, clustered: bool = False, arranged: tuple[str, ...] | None = None, packed: bool = False) -> str:
+        """A new segment; ``arranged``: rows come as a session of :func:`in_order` reads them, those of one repository together, and those of these tables sorted; ``packed``: the tokens are packed already."""
         name = uuid.uuid4().hex
         base = f"{self.root}/segments/{name}"
         key_schema = ", ".join(f"{c} string" for c in FILE_KEY)
@@ -212,8 +280,11 @@ class Store:
             inner = [c for c in SORTED[table] if c not in PARTS]
             # a compaction brings what is read together into the same files; else rows of one repository come together,
             # and adaptive execution splits a large one
-            df = df.repartitionByRange(*PARTS, *inner) if clustered else df.hint("rebalance", *PARTS)
-            df.sortWithinPartitions(*PARTS, *inner).write.partitionBy(*PARTS).parquet(f"{base}/{table}")
+            if arranged is None:
+                df = df.repartitionByRange(*PARTS, *inner) if clustered else df.hint("rebalance", *PARTS)
+            if table not in (arranged or ()):
+                df = df.sortWithinPartitions(*PARTS, *inner)
+            _compact(pack(df) if table in PACKED and not packed else df).partitionBy(*PARTS).parquet(f"{base}/{PACKED.get(table, table)}")
 
         with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables' jobs share the executors
             list(pool.map(write, TABLES))
@@ -222,6 +293,13 @@ class Store:
         added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{base}/keys")
         return name
 
+    def _copied(self, source: Store) -> str:
+        """A segment with the live rows of a store; they are moved only if several segments hold them."""
+        m = source.manifest()
+        if source._scattered(m) or not source._dead(m)[1]:
+            return self._write_segment(source._rows(), None, clustered=True)
+        return self._write_segment(Store(in_order(self.spark), source.root, source.registry, m)._rows(), None, arranged=tuple(TABLES))
+
     def fingerprints(self) -> DataFrame:
         return self.graph().files.select(*FILE_KEY, "fingerprint", "origin")
 
@@ -242,7 +320,8 @@ class Store:
         marks = [own, F.sha2("content", 256).alias("own_hash")]
         rows = rows.withColumns({"own_seq": marks[0], "own_hash": marks[1], "own_language": F.lower("language") if "language" in files.columns else F.lit(None).cast("string")})
         # who wins, and who is unchanged, is found on keys and hashes; contents move once, and only those to be parsed
-        heads = rows.select(*FILE_KEY, "own_seq", "own_hash", "own_language").groupBy(*FILE_KEY).agg(F.max(F.struct("own_seq", "own_hash", "own_language")).alias("top"), F.count(F.lit(1)).alias("copies"))
+        heads = rows.select(*FILE_KEY, "own_seq", "own_hash", "own_language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("own_bytes"))
+        heads = heads.groupBy(*FILE_KEY).agg(F.max(F.struct("own_seq", "own_hash", "own_language", "own_bytes")).alias("top"), F.count(F.lit(1)).alias("copies"))
         heads = heads.select(*FILE_KEY, "top.*", "copies").join(known, FILE_KEY, "left")
         # the cheap test before parsing: same bytes, same language, same extractor version
         old_hash = F.regexp_extract("old", r"^sha256:([0-9a-f]+)\|", 1)
@@ -254,21 +333,31 @@ class Store:
         heads.write.parquet(staged)
         heads = self.spark.read.parquet(staged)
         unchanged = heads.where("same")
-        win = heads.where("not same").select(*FILE_KEY, "own_seq", "own_hash", F.col("own_language").alias("win_language"), "copies")
-        todo = rows.join(win, [*FILE_KEY, "own_seq", "own_hash"]).where(F.col("own_language").eqNullSafe(F.col("win_language")))
-        once = todo.where("copies = 1")
-        todo = once.unionByName(todo.where("copies > 1").dropDuplicates(FILE_KEY)).select(*rows.columns).drop("own_seq", "own_hash", "own_language")
+        total = heads.agg(F.count(F.when(F.col("same") | (F.col("copies") > 1), 1)).alias("beaten"), F.count(F.when(~F.col("same"), 1)).alias("files"), F.coalesce(F.sum(F.when(~F.col("same"), F.col("own_bytes"))), F.lit(0)).alias("bytes")).first()
+        todo = rows
+        if total["beaten"]:
+            own = [*FILE_KEY, "own_seq", "own_hash", "own_language"]
+            win = heads.where("not same").select(*(F.col(c).alias(f"win_{c}") for c in own), "copies")
+            same_row = [rows[c].eqNullSafe(win[f"win_{c}"]) for c in own]
+            todo = rows.join(win, reduce(and_, same_row)).select(*rows.columns, "copies")
+            once = todo.where("copies = 1")
+            todo = once.unionByName(todo.where("copies > 1").dropDuplicates(FILE_KEY)).select(*rows.columns)
+        todo = todo.drop("own_seq", "own_hash", "own_language")
+        tasks = max(-(-total["bytes"] // PARSE_BYTES), min(total["files"], self.spark.sparkContext.defaultParallelism), 1)
         base = f"{self.root}/staging/{uuid.uuid4().hex}"
-        prepare(todo, self.registry).write.parquet(base)
+        # in order before they are parsed, contents move and nothing that is made of them
+        placed = todo.repartitionByRange(tasks, *FILE_KEY).sortWithinPartitions(*FILE_KEY)
+        _compact(prepare(placed, self.registry, packed=True), "tokens.list.element.").parquet(base)
         done = self.spark.read.parquet(base)
-        numbered = done.withColumn("seq", F.lit(m.next_seq).cast("bigint"))
-        segment = self._write_segment(segment_rows(numbered), None)
+        numbered = in_order(self.spark).read.schema(done.schema).parquet(base).withColumn("seq", F.lit(m.next_seq).cast("bigint"))
+        segment = self._write_segment(segment_rows(numbered), None, arranged=("tokens",), packed=True)
         m.segments = [*m.segments, segment]
         m.next_seq += 1
         if stream is not None:
             m.stream_batches = m.stream_batches | {stream[0]: stream[1]}
         replaced = known.select(*FILE_KEY, F.lit(True).alias("replaced"))
-        out = done.join(replaced, FILE_KEY, "left").select(*FILE_KEY, "status", F.coalesce("replaced", F.lit(False)).alias("replaced"), F.size("symbols").cast("bigint").alias("symbols"), F.size("tokens").cast("bigint").alias("tokens"), "note")
+        counted = done.select(*FILE_KEY, "status", F.size("symbols").cast("bigint").alias("symbols"), F.size("tokens").cast("bigint").alias("tokens"), "note")  # not the tokens: the join moves its rows
+        out = counted.join(replaced, FILE_KEY, "left").select(*FILE_KEY, "status", F.coalesce("replaced", F.lit(False)).alias("replaced"), "symbols", "tokens", "note")
         none = F.lit(None).cast("string").alias("note")
         zero = F.lit(0).cast("bigint")
         beaten = heads.where("copies > 1").select(*FILE_KEY, F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
@@ -276,6 +365,9 @@ class Store:
             out = out.unionByName(part.select(*FILE_KEY, F.lit(status).alias("status"), F.lit(False).alias("replaced"), zero.alias("symbols"), zero.alias("tokens"), none))
         out.write.parquet(f"{base}-outcomes")  # before the commit: afterwards everything would be unchanged
         self._commit(m)
+        for path in (base, staged):
+            fs, p = self._fs(path)
+            fs.delete(p, True)
         return self.spark.read.parquet(f"{base}-outcomes")
 
     def ingest_declared(self, declared: list[dict]) -> DataFrame:
@@ -366,7 +458,7 @@ class Store:
         """
         m = self.manifest()
         if m.segments:
-            m.segments = [self._write_segment(self._rows(), None, clustered=True)]
+            m.segments = [self._copied(self)]
             self._commit(m)
         self._sweep(grace)
 
@@ -414,14 +506,14 @@ class Store:
     def export_snapshot(self, root: str) -> Store:
         """A copy of the live rows as a store of its own."""
         other = Store(self.spark, root, self.registry)
-        other._commit(Manifest(segments=[other._write_segment(self._rows(), None, clustered=True)]))
+        other._commit(Manifest(segments=[other._copied(self)]))
         return other
 
     def install_snapshot(self, root: str) -> None:
         """Replaces everything by the live rows of another store."""
         other = Store(self.spark, root, self.registry)
         m = self.manifest()
-        m.segments = [self._write_segment(other._rows(), None, clustered=True)]
+        m.segments = [self._copied(other)]
         m.next_seq = max(m.next_seq, other.manifest().next_seq)
         self._commit(m)
 

@@ -191,3 +191,44 @@ def test_renderers_and_deadline(spark, tmp_path):
     with pytest.raises(DeadlineExceeded):
         slow = spark.range(0, 1_000_000, 1, 100_000).selectExpr("sum(id)")  # many short tasks: cancelling stops between them
         collect_within(spark, 1.0, lambda: slow)
+
+
+def _tree_bytes(folder):
+    return {os.path.relpath(os.path.join(a, f), folder): os.path.getsize(os.path.join(a, f)) for a, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet")}
+
+
+def test_tokens_are_packed_and_unpacked_alike(spark):
+    from arborlex import schema as S
+    from arborlex.sources.store import pack, unpack
+
+    rows = [("o", "r", "a", 0, "äb", "identifier", None, 4, 7, 1, 5, 1, 7, "x"), ("o", "r", "a", 1, "/*\n*/", "comment", 2, 9, 14, 1, 9, 2, 3, "x"), ("o", "r", "b", 0, None, None, None, *[None] * 6, "x")]
+    tokens = spark.createDataFrame(rows, S.TOKENS)
+    assert unpack(pack(tokens)).select(*S.TOKENS.names).collect() == tokens.collect()
+    assert [tuple(r) for r in pack(tokens).select("end", "end_line", "start_col", "end_col").collect()][0] == (0, 0, 1, 0)
+
+
+def test_upsert_leaves_no_staged_tokens_and_no_unsorted_file(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    words = " ".join(f"w{n % 50}" for n in range(3000))
+    s.upsert(frame(spark, *(("o", f"r{n % 3}", f"{n:03d}.txt", words) for n in range(30))))
+    sizes = _tree_bytes(tmp_path / "store")
+    staged = sum(v for k, v in sizes.items() if k.startswith("staging"))
+    tokens = sum(v for k, v in sizes.items() if "/packed/" in k)
+    assert s.graph().tokens.count() == 90_000 and tokens < 4 * 90_000 and staged < tokens
+    for k in sizes:
+        if "/packed/" in k:
+            rows = spark.read.parquet(str(tmp_path / "store" / k)).select("path", "ordinal").collect()
+            assert rows == sorted(rows)
+    assert s.inconsistent().count() == 0
+    before = {tuple(r) for r in s.graph().tokens.collect()}
+    s.delete("o", "r0")
+    s.compact()
+    assert {tuple(r) for r in s.graph().tokens.collect()} == {r for r in before if r[1] != "r0"}
+
+
+def test_upsert_gives_every_row_an_outcome(spark, tmp_path):
+    """A null content is an empty file, also where other rows are beaten."""
+    s = Store(spark, str(tmp_path / "store"))
+    rows = [("o", "r", "a.txt", None, 1), ("o", "r", "b.txt", b"x", 1), ("o", "r", "b.txt", b"y", 2), (None, "r", "c.txt", b"z", 1)]
+    out = s.upsert(spark.createDataFrame(rows, "org string, repo string, path string, content binary, seq long"))
+    assert sorted(r["status"] for r in out.collect()) == ["invalid org", "ok", "ok", "superseded"]

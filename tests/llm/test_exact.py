@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -470,6 +471,33 @@ def test_audit_takes_each_vector_alike(spark):
 # -- op7 -------------------------------------------------------------------------------------------
 
 
+def test_flat_graph_tasks_stay_small_where_nodes_have_many_shards():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=16) + 0.01 * rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = [r[r >= 0].tolist() for r in flatgraph.build(x)]
+    shards = [sorted({7, *rng.choice(10_000, 143, replace=False).tolist()}) for _ in x]
+    table = pa.table({"shard": pa.array([7] * 400, pa.int32()), "node": np.arange(400), "many": np.ones(400, np.int64), "v": pa.array([r.tobytes() for r in x], pa.binary()), "shards": pa.array(shards, pa.list_(pa.int32())), "near": pa.array(lists, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    out = flatgraph._search(0.95, 32)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    got = {r["node"]: r["value"] for r in out.to_pylist() if r["kind"] == "links"}
+    early = [{s for s in own if s < 7} for own in shards]
+    assert got == {i: sum(j != i and not early[i] & early[j] for j in range(400)) for i in range(400)}
+
+
+def test_splitting_makes_shards_smaller_at_any_overlap():
+    class shared:
+        value = {5: (np.eye(6), 10)}
+
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([1], pa.int64()), "many": pa.array([1], pa.int64()), "v": pa.array([np.arange(6.0).tobytes()], pa.binary()), "shards": pa.array([[5]], pa.list_(pa.int32()))})
+    assert next(flatgraph._assign(shared, 12)([batch])).column("shards").to_pylist() == [[13, 14, 15]]
+
+
 @pytest.mark.parametrize("shards", [1, 3, 7, 40, 500])
 def test_sharding(docs, rows, shards):
     group = Counter()

@@ -246,3 +246,17 @@ def test_consistency_moves_sums_and_finds_every_difference(spark, tmp_path):
     s._commit(m)
     assert sorted(r["path"] for r in s._doubtful(s.graph()).collect()) == ["a.txt", "b.txt", "c.txt"]
     assert sorted(tuple(r) for r in s.inconsistent().collect()) == [("postings", "left", 2), ("postings", "right", 2)]
+
+
+def test_rows_stay_where_they_are_when_few_files_are_dead(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.txt", "x y"), ("p", "r", "b.txt", "z")))
+    s.delete("o")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = s.graph().tokens._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r["text"] for r in s.graph().tokens.collect()] == ["z"]

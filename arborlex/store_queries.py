@@ -165,7 +165,7 @@ def store_vacuum(spark, sf):
 @query(f"WITH {_TOKS} SELECT 'org' AS kind, count(DISTINCT org) AS count FROM docs UNION ALL SELECT 'repo', count(DISTINCT org||'/'||repo) FROM docs UNION ALL SELECT 'file', count(*) FROM docs UNION ALL SELECT 'token', count(*) FROM tok")
 def store_export(spark, sf):
     out = scratch(spark, "export")
-    stored(spark, sf).export(out)
+    stored(spark, sf).export(out, compression="gzip")
     return spark.read.json(out, schema="key string, parent string, kind string, name string").groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
 
 

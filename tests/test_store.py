@@ -260,3 +260,11 @@ def test_rows_stay_where_they_are_when_few_files_are_dead(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert [r["text"] for r in s.graph().tokens.collect()] == ["z"]
+
+
+def test_compressed_export(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.txt", "x y")))
+    s.export(str(tmp_path / "out"), compression="gzip")
+    assert all(f.endswith(".gz") for f in os.listdir(tmp_path / "out") if f.startswith("part"))
+    assert [json.loads(r[0])["kind"] for r in spark.read.text(str(tmp_path / "out")).collect()].count("token") == 2

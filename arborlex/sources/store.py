@@ -25,7 +25,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,14 +48,17 @@ PARTS = ["org", "repo"]
 PACKED = {"tokens": "packed"}
 #: Contents of about so many bytes are parsed by one task.
 PARSE_BYTES = 4 << 20
-#: Up to so many dead files are sent to all executors.
+#: An upsert stages about so many bytes of contents at once, or one of MOST_PIECES parts of more.
+PIECE_BYTES = 64 << 20
+MOST_PIECES = 8
+#: Up to so many dead files, besides those of repositories that are dead as a whole, are sent to all executors.
 MOST_DEAD = 100_000
 _SPAN_COLUMNS = ("ordinal", "parent_sidx", *S.SPAN, "first_tok", "last_tok")
 
 
 def _compact(df: DataFrame, nested: str = "") -> DataFrameWriter:
     """A writer of Parquet whose spans are deltas; ``nested``: of an array of structs."""
-    out = df.write.option("compression", "zstd").option("parquet.writer.version", "v2")
+    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("parquet.writer.version", "v2")
     for c in _SPAN_COLUMNS:
         out = out.option(f"parquet.enable.dictionary#{nested}{c}", "false")
     return out
@@ -220,19 +223,25 @@ class Store:
 
     # reading
 
-    def _dead(self, m: Manifest) -> tuple[DataFrame | None, bool]:
-        """(file key, nth segment) of the files that a newer segment names, and whether they are few; None if one segment holds everything."""
+    def _dead(self, m: Manifest) -> tuple[list[tuple[DataFrame, list[str]]], bool]:
+        """What newer segments name, as (rows, columns): repositories of a segment that are dead as a whole, and the other dead files.
+
+        And whether the latter are few.  Nothing if one segment holds everything.
+        """
         if len(m.segments) <= 1:
-            return None, True
+            return [], True
         keys = None
         for n, s in enumerate(m.segments):
             part = self.spark.read.parquet(f"{self.root}/segments/{s}/keys").select(*FILE_KEY, "gone", F.lit(n).alias("nth"))
             keys = part if keys is None else keys.unionByName(part)
         by = keys.groupBy(*FILE_KEY).agg(F.max("nth").alias("last"), F.collect_list(F.when(~F.col("gone"), F.col("nth"))).alias("held"))
-        dead = by.select(*FILE_KEY, "last", F.explode("held").alias("nth")).where("nth < last").drop("last")
+        held = by.select(*FILE_KEY, F.explode("held").alias("nth"), "last")
+        parts = [*PARTS, "nth"]
+        whole = held.groupBy(*parts).agg(F.max(F.col("nth") == F.col("last")).alias("lives")).where("not lives").select(*parts)
+        dead = held.where("nth < last").select(*FILE_KEY, "nth").join(F.broadcast(whole), parts, "left_anti")
         # a few are sent to where the rows are, which then stay there
         few = dead.limit(MOST_DEAD + 1).count() <= MOST_DEAD
-        return (F.broadcast(dead) if few else dead), few
+        return [(F.broadcast(whole), parts), (F.broadcast(dead) if few else dead, [*FILE_KEY, "nth"])], few
 
     def graph(self) -> Graph:
         m = self.manifest()
@@ -264,7 +273,7 @@ class Store:
         found = self.spark.read.schema(schema).parquet(path)
         return (unpack(found) if packed else found).select(*schema.names)
 
-    def _read(self, m: Manifest, dead: DataFrame | None, name: str) -> DataFrame:
+    def _read(self, m: Manifest, dead: list[tuple[DataFrame, list[str]]], name: str) -> DataFrame:
         schema = TABLES[name]
         out = None
         for n, s in enumerate(m.segments):
@@ -272,8 +281,8 @@ class Store:
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], schema)
-        if dead is not None:
-            out = out.join(dead, [*FILE_KEY, "nth"], "left_anti")
+        for rows, by in dead:
+            out = out.join(rows, by, "left_anti")
         return out.select(*schema.names)
 
     def _scattered(self, m: Manifest) -> bool:
@@ -290,12 +299,16 @@ class Store:
 
     # writing
 
-    def _write_segment(self, rows: dict[str, DataFrame] | None, gone: DataFrame | None, clustered: bool = False, arranged: tuple[str, ...] | None = None, packed: bool = False) -> str:
-        """A new segment; ``arranged``: rows come as a session of :func:`in_order` reads them, those of one repository together, and those of these tables sorted; ``packed``: the tokens are packed already."""
+    def _write_segment(self, rows: dict[str, DataFrame] | None, gone: DataFrame | None, clustered: bool = False, arranged: tuple[str, ...] | None = None) -> str:
+        """A new segment with these rows and the keys of those that are gone."""
         name = uuid.uuid4().hex
+        self._write_tables(name, rows, clustered, arranged)
+        self._write_keys(name, gone)
+        return name
+
+    def _write_tables(self, name: str, rows: dict[str, DataFrame] | None, clustered: bool = False, arranged: tuple[str, ...] | None = None, packed: bool = False) -> None:
+        """Adds rows to a segment; ``arranged``: they come as a session of :func:`in_order` reads them, those of one repository together, and those of these tables sorted; ``packed``: the tokens are packed already."""
         base = f"{self.root}/segments/{name}"
-        key_schema = ", ".join(f"{c} string" for c in FILE_KEY)
-        empty = self.spark.createDataFrame([], key_schema)
 
         def write(table: str) -> None:
             schema = TABLES[table]
@@ -307,14 +320,34 @@ class Store:
                 df = df.repartitionByRange(*PARTS, *inner) if clustered else df.hint("rebalance", *PARTS)
             if table not in (arranged or ()):
                 df = df.sortWithinPartitions(*PARTS, *inner)
-            _compact(pack(df) if table in PACKED and not packed else df).partitionBy(*PARTS).parquet(f"{base}/{PACKED.get(table, table)}")
+            out = _compact(pack(df) if table in PACKED and not packed else df)
+            if table == "postings":  # sorted texts: each is stored as what differs from the one before
+                out = out.option("parquet.enable.dictionary#text", "false")
+            out.mode("append").partitionBy(*PARTS).parquet(f"{base}/{PACKED.get(table, table)}")
 
         with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables' jobs share the executors
             list(pool.map(write, TABLES))
+
+    def _write_keys(self, name: str, gone: DataFrame | None) -> None:
+        empty = self.spark.createDataFrame([], ", ".join(f"{c} string" for c in FILE_KEY))
         added = self._part(name, "files").select(*FILE_KEY, F.lit(False).alias("gone"))
         removed = (gone if gone is not None else empty).select(*FILE_KEY, F.lit(True).alias("gone"))
-        added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{base}/keys")
-        return name
+        added.unionByName(removed.join(added, FILE_KEY, "left_anti")).write.parquet(f"{self.root}/segments/{name}/keys")
+
+    def _pieces(self, heads: DataFrame, total: int) -> list[F.Column]:
+        """Conditions that part files (file key, own_bytes) by ranges of their keys into pieces of about equal bytes; each file meets one."""
+        n = min(MOST_PIECES, -(-total // PIECE_BYTES))
+        if n <= 1:
+            return [F.lit(True)]
+        ranges = heads.select(*FILE_KEY, "own_bytes").repartitionByRange(16 * n, *FILE_KEY).groupBy(F.spark_partition_id().alias("i")).agg(F.min(F.struct(*FILE_KEY)).alias("low"), F.sum("own_bytes").alias("bytes"))
+        cuts, held = [], 0
+        for r in sorted(ranges.collect(), key=lambda r: r["i"]):
+            if held >= (len(cuts) + 1) * total / n:
+                cuts.append(r["low"])
+            held += r["bytes"]
+        past = [F.struct(*FILE_KEY) >= F.struct(*(F.lit(c[k]).cast("string").alias(k) for k in FILE_KEY)) for c in cuts]
+        number = reduce(add, (F.coalesce(x, F.lit(False)).cast("int") for x in past), F.lit(0))
+        return [number == k for k in range(len(cuts) + 1)]
 
     def _copied(self, source: Store) -> str:
         """A segment with the live rows of a store; they are moved only if several segments hold them."""
@@ -366,21 +399,27 @@ class Store:
             once = todo.where("copies = 1")
             todo = once.unionByName(todo.where("copies > 1").dropDuplicates(FILE_KEY)).select(*rows.columns)
         todo = todo.drop("own_seq", "own_hash", "own_language")
-        tasks = max(-(-total["bytes"] // PARSE_BYTES), min(total["files"], self.spark.sparkContext.defaultParallelism), 1)
+        pieces = self._pieces(heads.where("not same"), total["bytes"])
+        tasks = max(-(-total["bytes"] // PARSE_BYTES // len(pieces)), min(total["files"], self.spark.sparkContext.defaultParallelism), 1)
         base = f"{self.root}/staging/{uuid.uuid4().hex}"
-        # in order before they are parsed, contents move and nothing that is made of them
-        placed = todo.repartitionByRange(tasks, *FILE_KEY).sortWithinPartitions(*FILE_KEY)
-        _compact(prepare(placed, self.registry, packed=True), "tokens.list.element.").parquet(base)
-        done = self.spark.read.parquet(base)
-        numbered = in_order(self.spark).read.schema(done.schema).parquet(base).withColumn("seq", F.lit(m.next_seq).cast("bigint"))
-        segment = self._write_segment(segment_rows(numbered), None, arranged=("tokens",), packed=True)
+        segment, ordered = uuid.uuid4().hex, in_order(self.spark)
+        for k, piece in enumerate(pieces):  # one after the other, so that what is staged isn't there as a whole beside the segment
+            # in order before they are parsed, contents move and nothing that is made of them
+            placed = todo.where(piece).repartitionByRange(tasks, *FILE_KEY).sortWithinPartitions(*FILE_KEY)
+            _compact(prepare(placed, self.registry, packed=True), "tokens.list.element.").parquet(f"{base}-{k}")
+            done = self.spark.read.parquet(f"{base}-{k}")
+            numbered = ordered.read.schema(done.schema).parquet(f"{base}-{k}").withColumn("seq", F.lit(m.next_seq).cast("bigint"))
+            self._write_tables(segment, segment_rows(numbered), arranged=("tokens",), packed=True)
+            # not the tokens: they go before the outcomes are joined
+            done.select(*FILE_KEY, "status", F.size("symbols").cast("bigint").alias("symbols"), F.size("tokens").cast("bigint").alias("tokens"), "note").write.mode("append").parquet(f"{base}-counted")
+            self._drop(f"{base}-{k}")
+        self._write_keys(segment, None)
         m.segments = [*m.segments, segment]
         m.next_seq += 1
         if stream is not None:
             m.stream_batches = m.stream_batches | {stream[0]: stream[1]}
         replaced = known.select(*FILE_KEY, F.lit(True).alias("replaced"))
-        counted = done.select(*FILE_KEY, "status", F.size("symbols").cast("bigint").alias("symbols"), F.size("tokens").cast("bigint").alias("tokens"), "note")  # not the tokens: the join moves its rows
-        out = counted.join(replaced, FILE_KEY, "left").select(*FILE_KEY, "status", F.coalesce("replaced", F.lit(False)).alias("replaced"), "symbols", "tokens", "note")
+        out = self.spark.read.parquet(f"{base}-counted").join(replaced, FILE_KEY, "left").select(*FILE_KEY, "status", F.coalesce("replaced", F.lit(False)).alias("replaced"), "symbols", "tokens", "note")
         none = F.lit(None).cast("string").alias("note")
         zero = F.lit(0).cast("bigint")
         beaten = heads.where("copies > 1").select(*FILE_KEY, F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))))
@@ -388,9 +427,7 @@ class Store:
             out = out.unionByName(part.select(*FILE_KEY, F.lit(status).alias("status"), F.lit(False).alias("replaced"), zero.alias("symbols"), zero.alias("tokens"), none))
         out.write.parquet(f"{base}-outcomes")  # before the commit: afterwards everything would be unchanged
         self._commit(m)
-        for path in (base, staged):
-            fs, p = self._fs(path)
-            fs.delete(p, True)
+        self._drop(f"{base}-counted", staged)
         return self.spark.read.parquet(f"{base}-outcomes")
 
     def ingest_declared(self, declared: list[dict]) -> DataFrame:
@@ -458,14 +495,18 @@ class Store:
 
     def dead_terms(self) -> DataFrame:
         """Terms of any segment that no live token has."""
-        m = self.manifest()
-        every = None
-        for s in m.segments:
-            part = self._part(s, "tokens").select("text")
+        m, every = self.manifest(), None
+        for n, name in enumerate(m.segments):
+            part = self._part(name, "tokens").select(*FILE_KEY, "text", F.lit(n).alias("nth"))
             every = part if every is None else every.union(part)
         if every is None:
             return self.spark.createDataFrame([], "text string")
-        return every.distinct().join(self.graph().tokens.select("text").distinct(), "text", "left_anti")
+        # one pass over the tokens, of which only the distinct texts move
+        dead, lives = self._dead(m)[0], F.lit(True)
+        for i, (rows, by) in enumerate(dead):
+            every = every.join(rows.withColumn(f"dead{i}", F.lit(True)), by, "left")
+            lives = lives & F.col(f"dead{i}").isNull()
+        return every.groupBy("text").agg(F.max(lives).alias("lives")).where("not lives").select("text")
 
     def vacuum(self, grace: float = SNAPSHOT_SECONDS) -> int:
         """Drops what is dead by compacting; returns the number of dead terms."""
@@ -530,6 +571,11 @@ class Store:
         agree = [F.col(f"least_{c}").eqNullSafe(F.col(c)) & F.col(f"most_{c}").eqNullSafe(F.col(c)) & (F.col(f"known_{c}") == F.when(F.col(c).isNull(), 0).otherwise(F.col("n"))) for c in same]
         return self.spark.read.parquet(self._staged(found.where(~F.coalesce(reduce(and_, [F.col("sums"), *agree]), F.lit(False))).select(*FILE_KEY)))
 
+    def _drop(self, *paths: str) -> None:
+        for path in paths:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
     def _staged(self, df: DataFrame) -> str:
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(path)

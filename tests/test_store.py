@@ -268,3 +268,55 @@ def test_compressed_export(spark, tmp_path):
     s.export(str(tmp_path / "out"), compression="gzip")
     assert all(f.endswith(".gz") for f in os.listdir(tmp_path / "out") if f.startswith("part"))
     assert [json.loads(r[0])["kind"] for r in spark.read.text(str(tmp_path / "out")).collect()].count("token") == 2
+
+
+def test_upsert_in_pieces_stages_one_at_a_time(spark, tmp_path, monkeypatch):
+    from arborlex.sources import store as module
+
+    monkeypatch.setattr(module, "PIECE_BYTES", 20_000)
+    held, drop = [], Store._drop
+
+    def watched(self, *paths):
+        sizes = _tree_bytes(tmp_path / "store")
+        held.append({k.split("/")[1] for k in sizes if k.startswith("staging") and not k.split("/")[1].endswith(("heads", "counted", "outcomes"))})
+        drop(self, *paths)
+
+    monkeypatch.setattr(Store, "_drop", watched)
+    s = Store(spark, str(tmp_path / "store"))
+    rows = [("o", f"r{n % 3}", f"{n:03d}.txt", f"w{n} " * 800) for n in range(40)]
+    out = s.upsert(frame(spark, *rows, ("", "r", "x.txt", "x"), ("o", "r0", "000.txt", "last")))
+    assert sorted(r["status"] for r in out.collect()) == ["invalid org"] + ["ok"] * 40 + ["superseded"]
+    assert len(held) > 4 and all(len(x) == 1 for x in held[:-1]) and not held[-1]
+    assert s.graph().tokens.count() == 39 * 800 + 1 and s.graph().files.count() == 40 and s.space().count() == 1
+    assert s.inconsistent().count() == 0 and not s._scattered(s.manifest())
+
+
+def test_whole_repositories_die_without_a_list_of_their_files(spark, tmp_path, monkeypatch):
+    from arborlex.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_DEAD", 2)  # more files die, but for one they are a repository's
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, *(("o", "r", f"{n}.txt", "x y") for n in range(9)), ("p", "r", "b.txt", "z"), ("p", "r", "c.txt", "z w")))
+    s.delete("o")
+    s.upsert(frame(spark, ("p", "r", "c.txt", "v")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = s.graph().tokens._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r["text"] for r in s.graph().tokens.collect()) == ["v", "z"]
+    s.upsert(frame(spark, ("o", "r", "1.txt", "back")))
+    assert s.vacuum(grace=0) == 3 and sorted(r["text"] for r in s.graph().tokens.collect()) == ["back", "v", "z"]
+
+
+def test_sorted_texts_of_postings_are_stored_as_differences(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.txt", " ".join(f"word{n}" for n in range(500)))))
+    found = [tmp_path / "store" / k for k in _tree_bytes(tmp_path / "store") if "/postings/" in k]
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(0) for f in found]
+    assert [(c.path_in_schema, c.encodings) for c in columns] == [("text", ("DELTA_BYTE_ARRAY",))]
+    assert [r["count"] for r in search(s.graph(), Query("word77", "file")).collect()] == [1]

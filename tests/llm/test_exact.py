@@ -372,6 +372,20 @@ def test_failed_middle_member(spark, monkeypatch):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+def test_candidates_meet_by_segment_counts(spark):
+    """Sketches of equal segment counts meet in every cell, whatever their bits; the Hamming distance decides."""
+    same = [0x5555555555555555] * 4
+    near = [0x5555555555555555 ^ 0xFFFF, 0x5555555555555555 ^ 0xFFFF, 0xAAAAAAAAAAAAAAAA, 0xAAAAAAAAAAAAAAAA]  # 32 of the first 128 bits
+    far = [0x5555555555555555 ^ 0xFFFFFFFF, 0x5555555555555555 ^ 0xFFFFFFFF, *same[2:]]  # 64 of them
+    rows = [(n, b"".join(x.to_bytes(8, "little") for x in words)) for n, words in ((1, same), (2, near), (3, far))]
+    nodes = spark.createDataFrame(rows, "node long, sketch binary")
+    cells = {}
+    for r in nodes.select("node", "sketch").mapInArrow(simhash._deal, "cell int, node long, f0 long, f1 long").collect():
+        cells.setdefault(r["node"], set()).add(r["cell"])
+    assert cells[1] == cells[2] == cells[3] and len(cells[1]) == 168
+    assert sorted(map(tuple, simhash.candidate_links(nodes).collect())) == [(1, 2), (2, 3)]
+
+
 def test_one_of_each_checks_every_link(spark):
     line = "the same nine words stand on every such line"
     texts = [(i, (line + "\n") * 100 + " ".join(f"w{i}x{j}" for j in range(300))) for i in range(6)]

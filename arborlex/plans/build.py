@@ -146,11 +146,13 @@ def _lists(per_file: list[list], kind: pa.DataType, columns: list[list]) -> pa.A
 
 
 def _packed(columns: dict[str, list]) -> dict[str, pa.Array]:
-    """The span columns less what the token's text and the columns before imply."""
+    """The span columns as ``sources.store.pack`` makes them."""
     x = {c: pa.array(columns[c], pa.int64()) for c in S.SPAN}
     text = pa.array(columns["text"], pa.string())
     implied = {"end": pc.add(x["start"], pc.cast(pc.binary_length(text), pa.int64())), "end_line": x["start_line"], "start_col": x["start"], "end_col": pc.add(x["start_col"], pc.cast(pc.utf8_length(text), pa.int64()))}
-    return {c: pc.subtract(x[c], y) for c, y in implied.items()}
+    out = {c: pc.subtract(x[c], y) for c, y in implied.items()}
+    stride = pc.multiply(pa.array(columns["ordinal"], pa.int64()), S.STRIDE)
+    return out | {"start": pc.subtract(x["start"], stride), "start_col": pc.subtract(pc.subtract(2, out["start_col"]), stride)}
 
 
 def _batch(done: list[dict], schema: pa.Schema, packed: bool) -> pa.RecordBatch:

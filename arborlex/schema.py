@@ -39,6 +39,9 @@ CATALOG = _struct("org string", "repo string", "language string", "what string",
 HIT = _struct("org string", "repo string", "file string", "language string", "symbol string", "symbol_kind string", "lang_kind string", "token_class string", *SPAN_FIELDS, "name_byte bigint", "name_line bigint", "name_col bigint", "count bigint", "no_symbols boolean", "no_matching_symbol boolean", "encoding string", "lossy boolean")
 SYMBOL_HIT = _struct("org string", "repo string", "file string", "language string", "name string", "qualified string", "kind string", "lang_kind string", "owner string", *SPAN_FIELDS, "name_byte bigint", "name_line bigint", "name_col bigint", "encoding string", "lossy boolean")
 SPAN = _SPAN
+#: Packed tokens less this much for each token before them rise from one file to the next, so that a jump between files widens one
+#: miniblock of deltas and not its whole block. More than the mean of a token's bytes and the space after it; part of the stored form.
+STRIDE = 8
 SCHEMA_VERSION = 1
 
 

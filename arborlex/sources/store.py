@@ -45,7 +45,7 @@ TABLES = {"files": S.FILES, "symbols": S.SYMBOLS, "tokens": S.TOKENS, "postings"
 SORTED = {"files": FILE_KEY, "symbols": ["name_fold", *FILE_KEY], "tokens": [*FILE_KEY, "ordinal"], "postings": ["text", *FILE_KEY], "counters": FILE_KEY}
 PARTS = ["org", "repo"]
 #: Folders other than the table's name; a segment without that folder holds the table as it is.
-PACKED = {"tokens": "packed"}
+PACKED = {"tokens": "strided/packed"}
 #: Contents of about so many bytes are parsed by one task.
 PARSE_BYTES = 4 << 20
 #: An upsert stages about so many bytes of contents at once, or one of MOST_PIECES parts of more.
@@ -83,15 +83,29 @@ def in_order(spark: SparkSession) -> SparkSession:
     return out
 
 
+def _stride() -> F.Column:
+    return F.coalesce(F.col("ordinal"), F.lit(0)).cast("bigint") * S.STRIDE
+
+
 def pack(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumns({c: F.col(c) - x for c, x in _implied().items()})
+    """Spans less what is implied; of start_col, the place where its line starts, counted from 1."""
+    less = {c: F.col(c) - x for c, x in _implied().items()}
+    return tokens.withColumns(less | {"start": F.col("start") - _stride(), "start_col": 2 - less["start_col"] - _stride()})
 
 
 def unpack(packed: DataFrame) -> DataFrame:
+    packed = packed.withColumns({"start": F.col("start") + _stride(), "start_col": 2 - F.col("start_col") - _stride()})
+    return _unpacked(packed)
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    """Of tokens that were packed without strides: segments written by earlier versions."""
     first, then = ("end", "end_line", "start_col"), ("end_col",)  # end_col builds on start_col
     for names in (first, then):
         packed = packed.withColumns({c: F.col(c) + _implied()[c] for c in names})
     return packed
+
+
 SNAPSHOT_SECONDS = 15 * 60
 
 
@@ -262,16 +276,16 @@ class Store:
 
     def _part(self, segment: str, name: str) -> DataFrame:
         schema = TABLES[name]
-        path = f"{self.root}/segments/{segment}/{PACKED.get(name, name)}"
-        fs, p = self._fs(path)
-        packed = name in PACKED and fs.exists(p)
-        if name in PACKED and not packed:
-            path = f"{self.root}/segments/{segment}/{name}"
+        forms = [(PACKED[name], unpack), ("packed", _unpacked)] if name in PACKED else []
+        for folder, plain in [*forms, (name, lambda df: df)]:
+            path = f"{self.root}/segments/{segment}/{folder}"
             fs, p = self._fs(path)
+            if fs.exists(p):
+                break
         if not any(f.isDirectory() for f in fs.listStatus(p)):  # no partition: no rows
             return self.spark.createDataFrame([], schema)
         found = self.spark.read.schema(schema).parquet(path)
-        return (unpack(found) if packed else found).select(*schema.names)
+        return plain(found).select(*schema.names)
 
     def _read(self, m: Manifest, dead: list[tuple[DataFrame, list[str]]], name: str) -> DataFrame:
         schema = TABLES[name]

@@ -320,3 +320,21 @@ def test_sorted_texts_of_postings_are_stored_as_differences(spark, tmp_path):
     columns = [pq.ParquetFile(f).metadata.row_group(0).column(0) for f in found]
     assert [(c.path_in_schema, c.encodings) for c in columns] == [("text", ("DELTA_BYTE_ARRAY",))]
     assert [r["count"] for r in search(s.graph(), Query("word77", "file")).collect()] == [1]
+
+
+def test_packed_starts_rise_from_file_to_file(spark, tmp_path):
+    from arborlex.sources.store import _implied, pack, unpack
+
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, *(("o", "r", f"{n}.txt", "one two\nthree é four\n" * 30) for n in range(6))))
+    tokens = s.graph().tokens.orderBy("path", "ordinal")
+    starts = [r["start"] for r in pack(tokens).orderBy("path", "ordinal").collect()]
+    falls = [b - a for a, b in zip(starts, starts[1:], strict=False) if b < a]
+    assert len(starts) == 6 * 150 and min(falls) > -10  # a fall of a file's length would widen a whole block of deltas
+    assert sorted(unpack(pack(tokens)).collect()) == sorted(tokens.collect())
+    # a segment as earlier versions wrote it
+    before, m = sorted(tokens.collect()), s.manifest()
+    base = tmp_path / "store" / "segments" / m.segments[0]
+    tokens.withColumns({c: tokens[c] - x for c, x in _implied().items()}).write.partitionBy("org", "repo").parquet(str(base / "packed"))
+    (base / "strided").rename(tmp_path / "away")
+    assert sorted(s.graph().tokens.collect()) == before

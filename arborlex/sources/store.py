@@ -23,6 +23,7 @@ import tempfile
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add, and_
@@ -46,6 +47,8 @@ SORTED = {"files": FILE_KEY, "symbols": ["name_fold", *FILE_KEY], "tokens": [*FI
 PARTS = ["org", "repo"]
 #: Folders other than the table's name; a segment without that folder holds the table as it is.
 PACKED = {"tokens": "strided/packed"}
+#: Up to a query's end its shuffle files stay; without this until the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Contents of about so many bytes are parsed by one task.
 PARSE_BYTES = 4 << 20
 #: An upsert stages about so many bytes of contents at once, or one of MOST_PIECES parts of more.
@@ -87,6 +90,19 @@ def _stride() -> F.Column:
     return F.coalesce(F.col("ordinal"), F.lit(0)).cast("bigint") * S.STRIDE
 
 
+@contextmanager
+def tidy(*sessions: SparkSession):
+    """Inside, shuffle files go when the query that wrote them ends. What is made inside is written once, then read from there."""
+    before = [(s, s.conf.get(TIDY, None)) for s in sessions]
+    try:
+        for s in sessions:
+            s.conf.set(TIDY, "true")
+        yield
+    finally:
+        for s, old in reversed(before):
+            s.conf.unset(TIDY) if old is None else s.conf.set(TIDY, old)
+
+
 def pack(tokens: DataFrame) -> DataFrame:
     """Spans less what is implied; of start_col, the place where its line starts, counted from 1."""
     less = {c: F.col(c) - x for c, x in _implied().items()}
@@ -366,9 +382,10 @@ class Store:
     def _copied(self, source: Store) -> str:
         """A segment with the live rows of a store; they are moved only if several segments hold them."""
         m = source.manifest()
-        if source._scattered(m) or not source._dead(m)[1]:
-            return self._write_segment(source._rows(), None, clustered=True)
-        return self._write_segment(Store(in_order(self.spark), source.root, source.registry, m)._rows(), None, arranged=tuple(TABLES))
+        with tidy(self.spark, source.spark):
+            if source._scattered(m) or not source._dead(m)[1]:
+                return self._write_segment(source._rows(), None, clustered=True)
+            return self._write_segment(Store(in_order(self.spark), source.root, source.registry, m)._rows(), None, arranged=tuple(TABLES))
 
     def fingerprints(self) -> DataFrame:
         return self.graph().files.select(*FILE_KEY, "fingerprint", "origin")
@@ -384,6 +401,10 @@ class Store:
         m = self.manifest()
         if stream is not None and stream[1] <= m.stream_batches.get(stream[0], -1):
             return self.spark.createDataFrame([], "org string, repo string, path string, status string, replaced boolean, symbols bigint, tokens bigint, note string")
+        with tidy(self.spark, files.sparkSession):
+            return self._upsert(m, files, reindex, stream)
+
+    def _upsert(self, m: Manifest, files: DataFrame, reindex: bool, stream: tuple[str, int] | None) -> DataFrame:
         known = self.fingerprints().withColumnRenamed("fingerprint", "old").withColumnRenamed("origin", "old_origin")
         rows = files.withColumn("path", C.normalize_path(F.col("path")))
         own = (F.col("seq").cast("bigint") if "seq" in files.columns else F.lit(0).cast("bigint")).alias("own_seq")
@@ -524,7 +545,8 @@ class Store:
 
     def vacuum(self, grace: float = SNAPSHOT_SECONDS) -> int:
         """Drops what is dead by compacting; returns the number of dead terms."""
-        n = self.dead_terms().count()
+        with tidy(self.spark):
+            n = self.dead_terms().count()
         self.compact(grace)
         return n
 

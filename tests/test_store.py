@@ -338,3 +338,21 @@ def test_packed_starts_rise_from_file_to_file(spark, tmp_path):
     tokens.withColumns({c: tokens[c] - x for c, x in _implied().items()}).write.partitionBy("org", "repo").parquet(str(base / "packed"))
     (base / "strided").rename(tmp_path / "away")
     assert sorted(s.graph().tokens.collect()) == before
+
+
+def test_an_upsert_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+
+    from arborlex.sources.store import TIDY
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(n).getName() for n in range(found.size()) if found.apply(n).getName().startswith("shuffle")}
+
+    before, conf = shuffled(), spark.conf.get(TIDY, None)
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, *(("o", "r", f"{n}.txt", "x y z") for n in range(20))))
+    until = time.time() + 10  # they go in the background
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(TIDY, None) == conf

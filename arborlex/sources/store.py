@@ -7,7 +7,9 @@ join with the live keys.  A manifest is created exclusively, so of two
 concurrent writers one fails; a reader pins a manifest, which is a snapshot.
 ``compact`` rewrites the live rows into one segment and then deletes segments
 that no manifest names which a snapshot may still hold.  Tables are partitioned
-by organisation and repository, so a query for one reads that one only.
+by organisation and repository, so a query for one reads that one only; where
+whole repositories are all that is dead, a manifest leaves their partitions out
+and the segment stays.
 
 Contents are brought into order before they are parsed, so what comes of them
 (tokens take far more room) is written without a shuffle.  Tokens are stored
@@ -56,6 +58,8 @@ PIECE_BYTES = 64 << 20
 MOST_PIECES = 8
 #: Up to so many dead files, besides those of repositories that are dead as a whole, are sent to all executors.
 MOST_DEAD = 100_000
+#: A manifest leaves out up to so many repositories of a segment; where more are dead, the live rows are rewritten.
+MOST_DROPPED = 1_000
 _SPAN_COLUMNS = ("ordinal", "parent_sidx", *S.SPAN, "first_tok", "last_tok")
 
 
@@ -174,6 +178,13 @@ class Manifest:
     open_batch: bool = False
     stream_batches: dict[str, int] = field(default_factory=dict)
     next_seq: int = 0
+    #: By segment, its repositories (org, repo) that are left out.
+    dropped: dict[str, list[list[str]]] = field(default_factory=dict)
+
+
+def _without(rows: DataFrame, parts: list[list[str]] | None) -> DataFrame:
+    """Rows but for those of some repositories; as a condition on partitions, so their files aren't opened."""
+    return rows.where(~F.concat_ws("\0", *PARTS).isin(["\0".join(p) for p in parts])) if parts else rows
 
 
 def segment_rows(prepared: DataFrame) -> dict[str, DataFrame]:
@@ -239,12 +250,14 @@ class Store:
         if self.pinned is not None:
             raise RuntimeError("a snapshot is read-only")
         m.version += 1
+        m.dropped = {s: m.dropped[s] for s in m.segments if m.dropped.get(s)}
         fs, p = self._fs(f"{self.root}/manifests/{m.version:08d}.json")
         try:
             out = fs.create(p, False)
         except Exception as e:
             raise Conflict(f"version {m.version} exists already") from e
-        out.write(bytearray(json.dumps(m.__dict__).encode()))
+        said = {k: v for k, v in m.__dict__.items() if v or k != "dropped"}  # earlier versions refuse what they don't know
+        out.write(bytearray(json.dumps(said).encode()))
         out.close()
         return m
 
@@ -262,7 +275,7 @@ class Store:
             return [], True
         keys = None
         for n, s in enumerate(m.segments):
-            part = self.spark.read.parquet(f"{self.root}/segments/{s}/keys").select(*FILE_KEY, "gone", F.lit(n).alias("nth"))
+            part = _without(self.spark.read.parquet(f"{self.root}/segments/{s}/keys"), m.dropped.get(s)).select(*FILE_KEY, "gone", F.lit(n).alias("nth"))
             keys = part if keys is None else keys.unionByName(part)
         by = keys.groupBy(*FILE_KEY).agg(F.max("nth").alias("last"), F.collect_list(F.when(~F.col("gone"), F.col("nth"))).alias("held"))
         held = by.select(*FILE_KEY, F.explode("held").alias("nth"), "last")
@@ -290,7 +303,7 @@ class Store:
         base = [read(n) for n in ("files", "symbols", "tokens", "postings")]
         return Graph(*base, counters_of(read("counters")))
 
-    def _part(self, segment: str, name: str) -> DataFrame:
+    def _part(self, segment: str, name: str, dropped: list[list[str]] | None = None) -> DataFrame:
         schema = TABLES[name]
         forms = [(PACKED[name], unpack), ("packed", _unpacked)] if name in PACKED else []
         for folder, plain in [*forms, (name, lambda df: df)]:
@@ -300,14 +313,14 @@ class Store:
                 break
         if not any(f.isDirectory() for f in fs.listStatus(p)):  # no partition: no rows
             return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).parquet(path)
+        found = _without(self.spark.read.schema(schema).parquet(path), dropped)
         return plain(found).select(*schema.names)
 
     def _read(self, m: Manifest, dead: list[tuple[DataFrame, list[str]]], name: str) -> DataFrame:
         schema = TABLES[name]
         out = None
         for n, s in enumerate(m.segments):
-            part = self._part(s, name).withColumn("nth", F.lit(n))
+            part = self._part(s, name, m.dropped.get(s)).withColumn("nth", F.lit(n))
             out = part if out is None else out.unionByName(part)
         if out is None:
             return self.spark.createDataFrame([], schema)
@@ -315,13 +328,31 @@ class Store:
             out = out.join(rows, by, "left_anti")
         return out.select(*schema.names)
 
-    def _scattered(self, m: Manifest) -> bool:
-        """Whether more than one segment holds files; those of a single one lie together already."""
-        held = 0
+    def _holders(self, m: Manifest) -> list[str]:
+        """The segments that hold files."""
+        found = []
         for s in m.segments:
             fs, p = self._fs(f"{self.root}/segments/{s}/files")
-            held += any(f.isDirectory() for f in fs.listStatus(p))
-        return held > 1
+            found += [s] * any(f.isDirectory() for f in fs.listStatus(p))
+        return found
+
+    def _scattered(self, m: Manifest) -> bool:
+        """Whether more than one segment holds files; those of a single one lie together already."""
+        return len(self._holders(m)) > 1
+
+    def _droppable(self, m: Manifest) -> list[list[str]] | None:
+        """Repositories without which the one segment that holds files has nothing dead; None if there is no such segment, or too many of them."""
+        held = self._holders(m)
+        if len(held) != 1 or any(not fs.exists(p) for fs, p in (self._fs(f"{self.root}/segments/{held[0]}/{f}") for f in PACKED.values())):
+            return None
+        dead, few = self._dead(m)
+        if not dead:
+            return []
+        (whole, _), (others, _) = dead
+        if not few or others.take(1):
+            return None
+        found = whole.select(*PARTS).limit(MOST_DROPPED + 1).collect()  # no other segment holds any
+        return [[*r] for r in found] if len(found) + len(m.dropped.get(held[0], [])) <= MOST_DROPPED else None
 
     def _rows(self) -> dict[str, DataFrame]:
         g = self.graph()
@@ -532,7 +563,7 @@ class Store:
         """Terms of any segment that no live token has."""
         m, every = self.manifest(), None
         for n, name in enumerate(m.segments):
-            part = self._part(name, "tokens").select(*FILE_KEY, "text", F.lit(n).alias("nth"))
+            part = self._part(name, "tokens", m.dropped.get(name)).select(*FILE_KEY, "text", F.lit(n).alias("nth"))
             every = part if every is None else every.union(part)
         if every is None:
             return self.spark.createDataFrame([], "text string")
@@ -551,31 +582,57 @@ class Store:
         return n
 
     def compact(self, grace: float = SNAPSHOT_SECONDS) -> None:
-        """Rewrites the live rows into one segment and deletes what no reader can hold any more.
+        """Brings the live rows into one segment and deletes what no reader can hold any more.
 
-        Readers pin a manifest for SNAPSHOT_SECONDS at most; manifests older than ``grace`` seconds go, but for the
-        newest, and then segments and staged files that no manifest left names.
+        If one segment holds them already and what is dead in it is whole repositories, it stays without these: no row
+        is moved, so nothing lies beside it. Else the live rows are rewritten. Readers pin a manifest for
+        SNAPSHOT_SECONDS at most; manifests older than ``grace`` seconds go, but for the newest, and then segments,
+        repositories of segments and staged files that no manifest left names.
         """
         m = self.manifest()
         if m.segments:
-            m.segments = [self._copied(self)]
+            with tidy(self.spark):
+                gone = self._droppable(m)
+            if gone is None:
+                m.segments = [self._copied(self)]
+            else:
+                m.segments = self._holders(m)
+                m.dropped = {s: [*m.dropped.get(s, []), *gone] for s in m.segments}
             self._commit(m)
         self._sweep(grace)
 
     def _sweep(self, grace: float) -> None:
         fs, p = self._fs(f"{self.root}/manifests")
         old = {int(f.getPath().getName().split(".")[0]): f for f in fs.listStatus(p)} if fs.exists(p) else {}
-        now, named = time.time() * 1000, set()
+        now, named = time.time() * 1000, {}  # by segment, the repositories that every manifest leaves out
         for version, f in sorted(old.items()):
             if version < max(old) and now - f.getModificationTime() >= grace * 1000:
                 fs.delete(f.getPath(), False)
             else:
-                named.update(self._read_manifest(version).segments)
+                m = self._read_manifest(version)
+                for s in m.segments:
+                    out = {(org, repo) for org, repo in m.dropped.get(s, [])}
+                    named[s] = named[s] & out if s in named else out
         for folder in ("segments", "staging"):
             fs, p = self._fs(f"{self.root}/{folder}")
             for f in fs.listStatus(p) if fs.exists(p) else []:
                 if f.getPath().getName() not in named and now - f.getModificationTime() >= grace * 1000:
                     fs.delete(f.getPath(), True)
+        for s, parts in named.items():
+            for table in TABLES:
+                self._drop_partitions(f"{self.root}/segments/{s}/{PACKED.get(table, table)}", parts)
+
+    def _drop_partitions(self, path: str, parts: set[tuple[str, str]]) -> None:
+        fs, p = self._fs(path)
+        jvm = self.spark._jvm
+        named = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        for org in sorted({o for o, _ in parts}) if parts and fs.exists(p) else []:
+            top = jvm.org.apache.hadoop.fs.Path(p, named(PARTS[0], org))
+            if fs.exists(top):
+                for repo in sorted(r for o, r in parts if o == org):
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(top, named(PARTS[1], repo)), True)
+                if not fs.listStatus(top):
+                    fs.delete(top, False)
 
     def inconsistent(self) -> DataFrame:
         """(what, side, rows): how the stored postings and counters differ from the base tables; no rows if they agree."""

@@ -356,3 +356,47 @@ def test_an_upsert_leaves_no_shuffle_files(spark, tmp_path):
     while (left := shuffled() - before) and time.time() < until:
         time.sleep(0.2)
     assert not left and spark.conf.get(TIDY, None) == conf
+
+
+def test_dead_repositories_go_without_a_copy_of_the_rest(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    odd = "a/b=c %d:é"
+    rows = [(odd, "r", "a.txt", "x y"), (odd, "r r", "b.txt", "x k"), ("p", odd, "c.txt", "y w"), ("p", "q", "d.txt", "z"), ("p", "r", "e.txt", "v v")]
+    s.upsert(frame(spark, *rows))
+    before, held = _tree_bytes(tmp_path / "store" / "segments"), s.manifest().segments
+    s.delete(odd)
+    s.delete("p", "q")
+    pinned = s.snapshot()
+    assert s.vacuum() == 3 and s.manifest().segments == held  # the snapshot may still hold what is dead
+    assert pinned.graph().files.count() == 2 and Store(spark, s.root, pinned=s._read_manifest(1)).graph().tokens.count() == 9
+    plan = s.graph().tokens._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [NOT" in plan and s.graph().tokens.count() == 4 and s.dead_terms().count() == 0
+    s.compact(grace=0)
+    after = _tree_bytes(tmp_path / "store" / "segments")
+    assert set(after) < set(before) and {os.path.dirname(k).split("/")[-2] for k in after if "=" in k} == {"org=p"}
+    assert len([k for k in before if "=" in k]) - len([k for k in after if "=" in k]) > 8 and not any("org=a" in d for d, _, _ in os.walk(tmp_path))
+    assert [r["live"] for r in s.space().collect()] == [True] and s.inconsistent().count() == 0
+    assert sorted((r["org"], r["repo"], r["text"]) for r in s.graph().tokens.collect()) == [("p", odd, "w"), ("p", odd, "y"), ("p", "r", "v"), ("p", "r", "v")]
+    # a repository that comes back, and goes again
+    s.upsert(frame(spark, rows[0], ("p", "r", "e.txt", "u")))
+    assert sorted(r["text"] for r in s.graph().tokens.collect()) == ["u", "w", "x", "y", "y"] and s.graph().files.count() == 3
+    copy = s.export_snapshot(str(tmp_path / "copy"))
+    assert s.vacuum(grace=0) == 1 and not s.manifest().dropped and s.space().count() == 1
+    for x in (s, copy):
+        assert sorted(r["text"] for r in x.graph().tokens.collect()) == ["u", "w", "x", "y", "y"] and x.inconsistent().count() == 0
+
+
+def test_all_repositories_may_go(spark, tmp_path, monkeypatch):
+    from arborlex.sources import store as module
+
+    s = Store(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, ("o", "r", "a.txt", "x y"), ("o", "q", "b.txt", "z"), ("p", "r", "c.txt", "z")))
+    monkeypatch.setattr(module, "MOST_DROPPED", 1)  # more are rewritten
+    held = s.manifest().segments
+    s.delete("o")
+    assert s.vacuum(grace=0) == 2 and s.manifest().segments != held and not s.manifest().dropped
+    s.delete("p")
+    assert s.vacuum(grace=0) == 1 and s.graph().tokens.count() == 0 and s.graph().files.count() == 0 and s.dead_terms().count() == 0
+    assert s.vacuum(grace=0) == 0 and s.inconsistent().count() == 0
+    s.upsert(frame(spark, ("p", "r", "c.txt", "back")))
+    assert [r["text"] for r in s.graph().tokens.collect()] == ["back"] and s.inconsistent().count() == 0
